@@ -117,9 +117,10 @@ def encode(df: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP)
         head, tail = [], []
         for part in b.column(2).to_pylist():
             ends = [0, *(m.end() for m in pattern.finditer(part))]
-            # The chunk may start inside a pre-token: its own first boundary counts only if the one before agrees.
+            # The chunk may start inside a pre-token: its own first boundaries count only where the chunk before agrees.
+            # No cut after white space: at the end of a piece, white space would match as one run.
             head.append([x for x in ends if x < overlap])
-            tail.append([x - chunk for x in ends if chunk <= x < len(part) - MARGIN])
+            tail.append([x - chunk for x in ends if chunk <= x < len(part) - MARGIN and not part[x - 1].isspace()])
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], names=["doc_id", "k", "part", "head", "tail"])
 
     chunks = map_batches(source.where(is_long), cut, "doc_id bigint, k int, part string", rows=50)
