@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import split, terms, tokens
+from . import encoding, lookalike, split, terms, tokens
 from .common import scan
 
 
+def _visible(spark: SparkSession, d: str) -> DataFrame:
+    pages = scan(spark, d, "pages", F.lit("page").alias("record_kind"), F.lit(0).cast("bigint").alias("scope"), F.col("page_id").alias("id"), F.col("markdown").alias("text"))
+    words = scan(spark, d, "lexicon_counts", F.lit("lexicon").alias("record_kind"), F.col("lexicon_id").alias("scope"), F.col("entry_id").alias("id"), F.col("word").alias("text"))
+    return pages.unionByName(words)
+
+
+def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
+    """Every page and list word in its consistent form."""
+    texts = _visible(spark, d)
+    return lookalike.canonical(texts, lookalike.learn(texts)).select("record_kind", "id", "text").distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = _visible(spark, d)
+    return lookalike.lookalike_pairs(lookalike.keyed(texts, lookalike.learn(texts)))
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     entries = scan(spark, d, "lexicon_counts", "lang", "word", F.col("lexicon_id").alias("record_id"), "entry_id", "freq")
     lists = scan(spark, d, "lexicons", "lexicon_id", "lang", "tokens").groupBy("lexicon_id", "lang").agg(F.max("tokens").alias("tokens"))
@@ -27,6 +44,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d).select("lang", "word", F.explode("marks").alias("mark"))
 
 
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled records with the encodings found and their restored text."""
+    pages = encoding.restored(scan(spark, d, "pages", "page_id", "markdown"), "page_id", "markdown").withColumn("record_kind", F.lit("page"))
+    fonts = encoding.restored(scan(spark, d, "font_words", "fw_id", "text"), "fw_id", "text").withColumn("record_kind", F.lit("font_words"))
+    return pages.unionByName(fonts).dropDuplicates(["record_kind", "record_id"]).select("record_kind", "record_id", "kinds", "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_restored(spark, d).select("record_kind", "record_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(scan(spark, d, "documents", "doc_id", "text"), tokens.vocabulary())
 
@@ -50,7 +78,7 @@ j AS (SELECT t.*, s.n_lists, s.n_tokens FROM t LEFT JOIN s ON t.lang IS NOT DIST
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_term_counts, p4_found, p7_ids, p9_pieces, p9_found)}
+    return {f.__name__: f for f in (p1_consistent, p1_found, p4_term_counts, p4_found, p6_restored, p6_found, p7_ids, p9_pieces, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
