@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, lookalike, split, terms, tokens
+from . import encoding, languages, lookalike, sentences, split, terms, tokens
 from .common import scan
 
 
@@ -28,6 +28,38 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(lookalike.keyed(texts, lookalike.learn(texts)))
 
 
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    pages = scan(spark, d, "pages", "page_id", "langs", F.coalesce(F.col("method.kind") == "ocr", F.lit(False)).alias("scanned"), F.col("markdown").alias("text"))
+    return languages.segments(pages, languages.learn(pages))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of one language in every page, with a confidence."""
+    return _segments(spark, d).drop("langs").distinct()
+
+
+def p2_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of every page by length, with their share and confidence."""
+    size = F.col("end_at") - F.col("start_at")
+    found = _segments(spark, d).drop("langs").distinct().groupBy("page_id", "lang").agg(F.sum(size).alias("chars"), (F.sum(F.col("confidence") * size) / F.sum(size)).alias("confidence"))
+    return found
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.relabelled(_segments(spark, d))
+
+
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of every page, with their order, kind and stored text."""
+    pages = scan(spark, d, "pages", F.col("page_id").alias("record_id"), F.col("markdown").alias("text"))
+    return sentences.sentences(pages).withColumnRenamed("record_id", "page_id").distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = scan(spark, d, "pages").where("method.kind in ('text_layer', 'office')").select(F.col("page_id").alias("record_id"), F.col("markdown").alias("text"))
+    return sentences.sentences(pages).select(F.col("record_id").alias("page_id"), "start_at", "end_at").distinct()
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     entries = scan(spark, d, "lexicon_counts", "lang", "word", F.col("lexicon_id").alias("record_id"), "entry_id", "freq")
     lists = scan(spark, d, "lexicons", "lexicon_id", "lang", "tokens").groupBy("lexicon_id", "lang").agg(F.max("tokens").alias("tokens"))
@@ -78,7 +110,7 @@ j AS (SELECT t.*, s.n_lists, s.n_tokens FROM t LEFT JOIN s ON t.lang IS NOT DIST
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_consistent, p1_found, p4_term_counts, p4_found, p6_restored, p6_found, p7_ids, p9_pieces, p9_found)}
+    return {f.__name__: f for f in (p1_consistent, p1_found, p2_segments, p2_pages, p2_found, p3_sentences, p3_found, p4_term_counts, p4_found, p6_restored, p6_found, p7_ids, p9_pieces, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
