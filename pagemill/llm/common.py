@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import checkpoint_dir, ship
 
 TOKENIZER_DIR = os.environ.get("PAGEMILL_TOKENIZERS", "/opt/tokenizers")
 
@@ -16,6 +16,7 @@ TOKENIZER_DIR = os.environ.get("PAGEMILL_TOKENIZERS", "/opt/tokenizers")
 def scan(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Read ``table`` and keep only ``columns`` so that the parquet scan is pruned."""
     ship(spark)
+    checkpoint_dir(spark, fallback="/tmp/pagemill-checkpoints")  # the fallback serves tests in one process only
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 

@@ -101,6 +101,7 @@ _MARK_LEADS, _VIRAMAS = "â", ("්", "்", "्")
 #: Pairs of printable ASCII bytes read as UTF-16 in either order, several in a row; upper Latin-1 in a row.
 _WIDE_SPAN = re.compile(r"[†-繾 ਠ-੾ -⁯]{4,}")
 _DOUBLE_SPAN = re.compile(r"[\xa1-\xfe]{4,}")
+_UPPER = re.compile("[\x80-\xff]")
 _LOST = re.compile("[\x80-\x84\x86-\x9f�]")
 _PLAIN = re.compile(rb"[a-z ]")
 _COMMON_WORDS = re.compile(rb" (?:the|of|and|to|in|was|der|die|und|hat|le|la|de|et|du) ")
@@ -189,7 +190,7 @@ def _edits(text: str) -> list[tuple[int, int, str, str]]:
                 out.append((m.start(), m.end(), new, name))
         if (n := sum(e - s for s, e, _, _ in out)) > size:
             best, size = out, n
-    if _DOUBLE_SPAN.search(text) or _LOST.search(text):
+    if (_DOUBLE_SPAN.search(text) or _LOST.search(text)) and 2 * size < len(_UPPER.findall(text)):
         out = _double(text)
         if (n := sum(e - s for s, e, _, _ in out)) > size:
             best, size = out, n

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
-from .sentences import units
+from .lookalike import rewriter
+from .sentences import FOLD, units
 
 BITS = 14
 #: Bound of the training sample: labelled rows per label; and centroids per label.
@@ -80,8 +81,9 @@ class Model:
         weight = (np.log1p(count) * self.idf[bucket]).astype(np.float32)
         edges = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
         norm = np.sqrt(np.add.reduceat(weight * weight, edges))
-        dots = np.add.reduceat(self.centroids[bucket] * weight[:, None], edges, axis=0)
-        out[unit[edges]] = dots / np.maximum(norm, 1e-9)[:, None]
+        norm, rows = np.maximum(norm, 1e-9), unit[edges]
+        for k, centroid in enumerate(self.centroids.T):  # one narrow table at a time stays in the processor's cache
+            out[rows, k] = np.add.reduceat(centroid[bucket] * weight, edges) / norm
         return out
 
     def classify(self, texts: list[str]) -> list[tuple[str | None, float]]:
@@ -91,13 +93,11 @@ class Model:
         cos = self.cosines(texts)
         best = cos.argmax(1)
         top = cos[np.arange(len(texts)), best]
-        names = np.array(self.langs)
-        out = []
-        for i, k in enumerate(best):
-            rival = cos[i][names != names[k]].max(initial=0.0)
-            ok = top[i] > 0 and top[i] >= self.least[k]
-            out.append((self.langs[k] if ok else None, float(top[i] / max(top[i] + rival, 1e-9))))
-        return out
+        code = np.unique(self.langs, return_inverse=True)[1]
+        rival = np.where(code[None, :] != code[best][:, None], cos, 0).max(1)
+        accepted = (top > 0) & (top >= self.least[best])
+        share = top / np.maximum(top + rival, 1e-9)
+        return [(self.langs[k] if ok else None, c) for k, ok, c in zip(best.tolist(), accepted.tolist(), share.tolist())]
 
 
 def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int = 7) -> Model:
@@ -128,7 +128,7 @@ def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int = 7)
     found: list[np.ndarray] = []
     for label in sorted(set(labels)):
         own = np.flatnonzero(labels == label)
-        start = rng.choice(own, min(centroids + 2, len(own)), replace=False)
+        start = rng.choice(own, min(centroids, len(own)), replace=False)
         current = np.stack([mean(np.array([i])) for i in start], axis=1)
         for _ in range(6):
             near = cosines(current)[own].argmax(1)
@@ -145,10 +145,29 @@ def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int = 7)
         if own.sum() < 5:
             continue
         votes = {x: (labels[own] == x).sum() / totals[x] for x in totals}
-        names.append(max(sorted(votes), key=votes.get))
+        names.append(str(max(sorted(votes), key=votes.get)))
         keep.append(k)
         least.append(REJECT_SLACK * float(np.quantile(top[own], REJECT_QUANTILE)))
-    return Model(idf, np.ascontiguousarray(matrix[:, keep]), names, np.array(least, np.float32))
+    return Model(idf, np.asfortranarray(matrix[:, keep]), names, np.array(least, np.float32))
+
+
+#: Letters by script, for units in which a lost end mark joined sentences of two scripts.
+_RUNS = re.compile("|".join(f"[{x}][^\\W{''.join(y for y in ('A-Za-zÀ-ɏ', '඀-෿', '஀-௿', 'ऀ-ॿ', '฀-๿', '぀-ヿ一-鿿') if y != x)}]*(?:[\\W\\d]+[{x}]+)*" for x in ("A-Za-zÀ-ɏ", "඀-෿", "஀-௿", "ऀ-ॿ", "฀-๿", "぀-ヿ一-鿿")))
+_SCRIPTS = [re.compile(f"[{x}]") for x in ("A-Za-zÀ-ɏ", "඀-෿", "஀-௿", "ऀ-ॿ", "฀-๿", "぀-ヿ一-鿿")]
+_DISGUISED = re.compile("[Ͱ-ӿ！-～]")
+MIXED_LETTERS, MIXED_WORDS = 20, 3
+
+
+def _by_script(start: int, end: int, text: str):
+    """The unit, or its long one-script runs if it has at least two of them; a single foreign name isn't one."""
+    if _DISGUISED.search(text):
+        text = rewriter(FOLD)(text)
+    if sum(bool(s.search(text)) for s in _SCRIPTS) > 1:
+        long = [r for r in _RUNS.findall(text) if sum(map(str.isalpha, r)) >= MIXED_LETTERS and (len(r.split()) >= MIXED_WORDS or r[0] >= "ก")]
+        if len(long) > 1:
+            yield from ((start, end, r) for r in long)
+            return
+    yield start, end, text
 
 
 def readable_units(text: str | None, scanned: bool) -> list[tuple[int, int, str]]:
@@ -157,7 +176,7 @@ def readable_units(text: str | None, scanned: bool) -> list[tuple[int, int, str]
         return []
     if scanned:  # blank out edge lines, keeping offsets
         text = "\n".join(" " * len(x) if _EDGE_LINE.match(x.strip()) else x for x in text.split("\n"))
-    return [(s, e, t) for s, e, k, t in units(text) if (k == "item" or (k == "sentence" and _ENDED.search(t))) and sum(map(str.isalpha, t)) >= 4]
+    return [x for s, e, k, t in units(text) for x in _by_script(s, e, t) if (k == "item" or (k == "sentence" and _ENDED.search(t))) and sum(map(str.isalpha, t)) >= 4]
 
 
 def learn(pages: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:

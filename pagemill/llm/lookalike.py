@@ -187,7 +187,7 @@ def lookalike_pairs(keys: DataFrame) -> DataFrame:
     Groups of exact copies only are dropped before the join, so that they cost nothing but their hashes; every pair of
     differing records of the other groups is wanted and comes out.
     """
-    rows = keys.dropDuplicates()
+    rows = keys.dropDuplicates().checkpoint()  # both branches below read the hashes instead of rewriting every text twice
     group = ["record_kind", "scope", "look"]
     mixed = rows.groupBy(group).agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low != high").select(group)
     members = rows.join(mixed, group, "left_semi")

@@ -42,7 +42,7 @@ THAI_WORDS = frozenset(
     "แก้ไข รอ ถูก ใหม่ สุดท้าย ชั่วคราว สาธารณะ ประจำปี".split()
 )
 
-_FOLD = representatives({})
+FOLD = representatives({})
 
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
 THAI = "฀-๿"
@@ -50,7 +50,7 @@ _OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』"}
 _QUOTE = re.compile(r"[“”„«»「」『』]")
 _LOST_QUOTE = re.compile(r"(?<=\s)�(?=\w)|(?<=[.?!])�")
 _EDGE = re.compile(
-    rf"(?P<dot>[.!?।…]+)(?P<close>[”\"»’'）\)\]“�]*)(?=\s|$)|(?P<wide>[。！？]+|[!?]+(?=[{CJK}“「]))(?P<wclose>[”」』’）\)]*)|(?<=[{THAI}])(?P<gap>\s+)(?=[^\W\d])"
+    rf"(?P<dot>[.!?।…]+)(?P<close>[”\"»’'）\)\]“�]*)(?=\s|$)|(?P<wide>[。！？]+|[!?]+(?=[{CJK}“「]))(?P<wclose>[”」』’）\)]*)|(?<=[{THAI}])(?P<gap>\s+)(?=[^\W\d]|\d[\d.,]*\s+[^\W\d{THAI}])"
 )
 _LINE = re.compile(r"[^\n]*\n?")
 _HEADING = re.compile(r"[ \t]*#{1,6}[ \t]+")
@@ -63,6 +63,9 @@ _HIDDEN = re.compile(f"[{_INVISIBLE}]")
 _PLAIN = {ord(c): " " for c in SPACES} | {ord(c): "-" for c in HYPHENS} | {0xFF01 + i: chr(0x21 + i) for i in range(94) if chr(0x21 + i).isalnum() or chr(0x21 + i) in "#|-*."}
 
 
+_ODD = re.compile("[" + re.escape("".join(map(chr, _PLAIN))) + "]")
+
+
 @lru_cache(200_000)
 def _thai_edges(run: str) -> tuple[str, str]:
     """First and last word of a Thai run, by the path through its word lattice with the fewest unknown characters."""
@@ -109,6 +112,8 @@ def _ends_at(text: str, m: re.Match, inside: bool) -> bool:
         return True
     nxt = after.lstrip("“„«\"'‘([「")[:1]
     if m["gap"] is not None:
+        after = re.sub(r"^[\d.,]+\s+", "", after)
+        nxt = after[:1]
         if not "฀" <= nxt <= "๿":
             word = re.match(rf"[^\s{THAI}]+\s*", after)  # a single foreign name doesn't end a Thai sentence
             return not (word and re.match(f"[{THAI}]", after[word.end() :]))
@@ -160,7 +165,7 @@ def _prose(text: str, lost: bool):
 
 @lru_cache(100_000)
 def _folded(word: str) -> str:
-    return rewriter(_FOLD)(word)
+    return rewriter(FOLD)(word)
 
 
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
@@ -224,11 +229,16 @@ def units(text: str) -> list[tuple[int, int, str, str]]:
             first = last = None
             lost = "�" in text
     if _HIDDEN.search(text):
-        keep = [i for i, c in enumerate(text) if not _HIDDEN.match(c)]
-        clean = "".join([text[i] for i in keep])
+        keep, at = [], 0
+        for m in _HIDDEN.finditer(text):
+            keep += range(at, m.start())
+            at = m.end()
+        keep += range(at, len(text))
+        clean = _HIDDEN.sub("", text)
         first, last = ([first[i] for i in keep], [last[i] for i in keep]) if first else (keep, [i + 1 for i in keep])
         text = clean
-    text = text.translate(_PLAIN)
+    if _ODD.search(text):
+        text = text.translate(_PLAIN)
     found = plain_units(text, lost)
     if first is None:
         return [(a, b, k, text[a:b]) for a, b, k in found]
