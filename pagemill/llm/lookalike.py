@@ -116,12 +116,16 @@ class Rewriter:
         for old, new in table.items():
             self.automaton.add_word(old, (len(old), new))
         self.automaton.make_automaton()
+        longer = [old for old in table if len(old) > 1]
+        # Quick looks that clean text passes without a walk through the automaton.
+        self.single = re.compile("[" + re.escape("".join(old for old in table if len(old) == 1)) + "]")
+        self.start = re.compile("[" + re.escape("".join({x[0] for x in longer})) + "][" + re.escape("".join({x[1] for x in longer})) + "]") if longer else None
 
     def __call__(self, text: str) -> str:
         if _MAYBE_DROP.search(text):
             text = _DROP.sub("", text)
         text = unicodedata.normalize("NFC", text)
-        for _ in range(4):  # a replacement may complete another member
+        for _ in range(4 if self.single.search(text) or (self.start and self.start.search(text)) else 0):  # a replacement may complete another member
             at, parts = 0, []
             for last, (size, new) in self.automaton.iter_long(text):
                 parts += [text[at : last + 1 - size], new]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, languages, lookalike, sentences, split, terms, tokens
+from . import encoding, languages, leaks, lookalike, sentences, split, terms, tokens
 from .common import scan
 
 
@@ -91,6 +91,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(scan(spark, d, "documents", "doc_id", "text"), tokens.vocabulary())
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the test items they leak, the words they share in alignment and the longest unbroken run."""
+    return leaks.find(scan(spark, d, "documents", "doc_id", "text"), scan(spark, d, "eval_items", "item_id", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split(scan(spark, d, "documents", "doc_id", "text"), tokens.vocabulary())
 
@@ -110,7 +119,7 @@ j AS (SELECT t.*, s.n_lists, s.n_tokens FROM t LEFT JOIN s ON t.lang IS NOT DIST
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_consistent, p1_found, p2_segments, p2_pages, p2_found, p3_sentences, p3_found, p4_term_counts, p4_found, p6_restored, p6_found, p7_ids, p9_pieces, p9_found)}
+    return {f.__name__: f for f in (p1_consistent, p1_found, p2_segments, p2_pages, p2_found, p3_sentences, p3_found, p4_term_counts, p4_found, p6_restored, p6_found, p7_ids, p8_leaks, p8_found, p9_pieces, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
