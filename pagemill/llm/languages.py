@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 from .lookalike import rewriter
+from .scans import furniture
 from .sentences import FOLD, units
 
 BITS = 14
@@ -31,8 +32,6 @@ LANGUAGES = ("en", "si", "ta", "hi", "fr", "de", "zh", "ja", "th")
 REJECT_QUANTILE, REJECT_SLACK = 0.002, 0.75
 _ENDED = re.compile(r"[.!?।。！？…][”\"»’'）\)\]“」』�]*$|[฀-๿]$")
 _STRIP = re.compile(r"[\d\W_]+")
-#: Lines of a scanned page that hold no prose: running heads with a date, running feet with a number, page numbers.
-_EDGE_LINE = re.compile(r"^(?:.{3,70}\s[—–-]\s?[\d.,:;iIlOo|]{6,12}(?:\s+\S{1,9})?|\S{1,9}\s+.{3,70}\s[—–-]\s?[\d.,:;iIlOo|]{6,12}|.{3,50}\s\S{0,3}\d{1,2}[/.1]\d{2,4}|\W*[\divxlc]{1,8}\W*|\w{4,8}\s\d{1,4}(?:\s?/\s?\d{1,4})?)$")
 
 
 def _ngrams(codes: np.ndarray, unit: np.ndarray, breaks: np.ndarray) -> np.ndarray:
@@ -175,7 +174,9 @@ def readable_units(text: str | None, scanned: bool) -> list[tuple[int, int, str]
     if not text:
         return []
     if scanned:  # blank out edge lines, keeping offsets
-        text = "\n".join(" " * len(x) if _EDGE_LINE.match(x.strip()) else x for x in text.split("\n"))
+        lines = text.split("\n")
+        gone, _ = furniture(lines)
+        text = "\n".join(" " * len(x) if k in gone else x for k, x in enumerate(lines))
     return [x for s, e, k, t in units(text) for x in _by_script(s, e, t) if (k == "item" or (k == "sentence" and _ENDED.search(t))) and sum(map(str.isalpha, t)) >= 4]
 
 

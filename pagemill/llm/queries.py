@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, languages, leaks, lookalike, sentences, split, terms, tokens
+from . import encoding, languages, leaks, lookalike, scans, sentences, split, terms, tokens
 from .common import scan
 
 
@@ -76,6 +76,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d).select("lang", "word", F.explode("marks").alias("mark"))
 
 
+def _scans(spark: SparkSession, d: str) -> scans.Findings:
+    return scans.Findings(spark, scan(spark, d, "ocr_pages", "ocr_id", "doc", "text"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Every scanned page as continuous paragraphs."""
+    return scans.paragraphs(_scans(spark, d))
+
+
+def p5_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """Rare words with the dictionary word each is a misreading of."""
+    return _scans(spark, d).fixes
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).found().select("ocr_id", "line_no", "kind").distinct()
+
+
 def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     """The garbled records with the encodings found and their restored text."""
     pages = encoding.restored(scan(spark, d, "pages", "page_id", "markdown"), "page_id", "markdown").withColumn("record_kind", F.lit("page"))
@@ -119,7 +137,7 @@ j AS (SELECT t.*, s.n_lists, s.n_tokens FROM t LEFT JOIN s ON t.lang IS NOT DIST
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_consistent, p1_found, p2_segments, p2_pages, p2_found, p3_sentences, p3_found, p4_term_counts, p4_found, p6_restored, p6_found, p7_ids, p8_leaks, p8_found, p9_pieces, p9_found)}
+    return {f.__name__: f for f in (p1_consistent, p1_found, p2_segments, p2_pages, p2_found, p3_sentences, p3_found, p4_term_counts, p4_found, p5_paragraphs, p5_corrections, p5_found, p6_restored, p6_found, p7_ids, p8_leaks, p8_found, p9_pieces, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
