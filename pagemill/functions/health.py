@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import chars
@@ -77,37 +77,51 @@ def replacement_share(text: Column) -> Column:
     return _float(F.regexp_count(text, F.lit("\\x{fffd}")) / F.greatest(F.length(text), F.lit(1)))
 
 
-def assess(text: Column, expected: Column | None = None, t: Thresholds = Thresholds()) -> Column:
-    """Struct of letters, measures, ``verdict`` (healthy, empty, broken) and ``reasons`` in a fixed order."""
-    text = F.coalesce(text, F.lit(""))
-    counts = script.script_counts(text)
-    indic = counts["si"] + counts["ta"]
-    visual = F.when(indic >= 50, visual_order_ratio(text)).otherwise(_float(0.0))
-    foreign = F.when(indic >= 50, foreign_ratio(text)).otherwise(_float(0.0))
-    gibberish = F.when(counts["latin"] >= 100, latin_gibberish_score(text)).otherwise(_float(0.0))
-    lost = replacement_share(text)
+def _reasons(m: Column, expected: Column | None, t: Thresholds) -> Column:
+    counts = m["letters"]
     wrong = F.lit(False)
     if expected is not None:
         own = F.when(expected == "si", script.share(counts, "si")).when(expected == "ta", script.share(counts, "ta"))
         wrong = F.coalesce((script.letters(counts) >= 100) & (own < _float(0.2)) & (script.share(counts, "latin") > _float(0.6)), F.lit(False))
-    reasons = F.array_compact(
+    return F.array_compact(
         F.array(
-            F.when(lost > _float(t.max_replacement), "replacement_chars"),
-            F.when(visual > _float(t.max_visual_order), "visual_order"),
-            F.when(foreign > _float(t.max_foreign), "foreign_code_points"),
-            F.when(gibberish >= _float(t.max_latin_gibberish), "latin_gibberish"),
+            F.when(m["replacement"] > _float(t.max_replacement), "replacement_chars"),
+            F.when(m["visual_order"] > _float(t.max_visual_order), "visual_order"),
+            F.when(m["foreign"] > _float(t.max_foreign), "foreign_code_points"),
+            F.when(m["latin_gibberish"] >= _float(t.max_latin_gibberish), "latin_gibberish"),
             F.when(wrong, "wrong_script"),
         )
     )
-    verdict = F.when(F.size(reasons) > 0, "broken").when(script.letters(counts) < t.min_letters, "empty").otherwise("healthy")
-    return F.struct(
-        counts.alias("letters"), visual.alias("visual_order"), foreign.alias("foreign"), gibberish.alias("latin_gibberish"), lost.alias("replacement"), verdict.alias("verdict"), reasons.alias("reasons")
+
+
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add ``column``, computed exactly once a row: a one-row generator keeps the optimizer from copying it into every use."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
+def assessed(df: DataFrame, text: str, name: str = "h", expected: Column | None = None, t: Thresholds = Thresholds()) -> DataFrame:
+    """Add struct ``name`` of letters, measures, ``verdict`` (healthy, empty, broken) and ``reasons`` in a fixed order."""
+    c, m = f"_{name}_c", f"_{name}_m"
+    body = F.coalesce(F.col(text), F.lit(""))
+    d = once(df, c, script.script_counts(body))
+    indic = F.col(c)["si"] + F.col(c)["ta"]
+    measures = F.struct(
+        F.col(c).alias("letters"),
+        F.when(indic >= 50, visual_order_ratio(body)).otherwise(_float(0.0)).alias("visual_order"),
+        F.when(indic >= 50, foreign_ratio(body)).otherwise(_float(0.0)).alias("foreign"),
+        F.when(F.col(c)["latin"] >= 100, latin_gibberish_score(body)).otherwise(_float(0.0)).alias("latin_gibberish"),
+        replacement_share(body).alias("replacement"),
     )
+    d = once(d, m, measures)
+    d = once(d, f"{m}r", _reasons(F.col(m), expected, t))
+    verdict = F.when(F.size(f"{m}r") > 0, "broken").when(script.letters(F.col(m)["letters"]) < t.min_letters, "empty").otherwise("healthy")
+    fields = [F.col(m)[x].alias(x) for x in ("letters", "visual_order", "foreign", "latin_gibberish", "replacement")]
+    return d.withColumn(name, F.struct(*fields, verdict.alias("verdict"), F.col(f"{m}r").alias("reasons"))).drop(c, m, f"{m}r")
 
 
-def script_hint(text: Column) -> Column:
-    """Languages that a broken text layer implies; none for legacy-font or Latin-only text."""
-    h = assess(text)
-    langs = F.filter(script.languages(h["letters"], 0.03, 50), lambda x: F.when(x == "si", h["letters"]["si"]).when(x == "ta", h["letters"]["ta"]).otherwise(h["letters"]["latin"]) >= 30)
+def script_hint(h: Column) -> Column:
+    """Languages that a broken text layer implies, from its ``assessed`` struct; none for legacy-font or Latin-only text."""
+    n = h["letters"]
+    langs = F.filter(script.languages(n, 0.03, 50), lambda x: F.when(x == "si", n["si"]).when(x == "ta", n["ta"]).otherwise(n["latin"]) >= 30)
     none = F.array().cast("array<string>")
     return F.when((h["latin_gibberish"] >= _float(0.5)) | ~F.exists(langs, lambda x: x != "en"), none).otherwise(langs)

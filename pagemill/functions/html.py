@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import HTML_BLOCKS, HTML_SKIPPED
 
@@ -251,7 +252,7 @@ def html_to_markdown(html: str) -> tuple[str, str | None]:
     return "\n\n".join(b.strip() for b in out if b.strip()), _collapse(tree.title or "") or None
 
 
-@F.arrow_udf("markdown string, title string")
+@F.arrow_udf(T.StructType([T.StructField("markdown", T.StringType()), T.StructField("title", T.StringType())]))
 def _convert(pages: pa.Array) -> pa.Array:
     rows = [(None, None) if x is None else html_to_markdown(x) for x in pages.to_pylist()]
     return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["markdown", "title"])

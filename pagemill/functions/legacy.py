@@ -13,6 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import chars
 from .normalize import normalize_text
@@ -158,7 +159,7 @@ def convert_markdown(markdown: str, words: FontWords | None, conv: Converter) ->
     return "".join(map(page.line, re.findall(r"[^\n]*\n|[^\n]+", markdown))), page.converted, page.kept, page.unmatched
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _convert_fm(texts: pa.Array) -> pa.Array:
     conv = converter("fm-abhaya")
     return pa.array([None if x is None else conv.convert(x) for x in texts.to_pylist()], pa.string())
@@ -170,7 +171,7 @@ def convert(text: Column, family: str = "fm-abhaya") -> Column:
     return _convert_fm(text)
 
 
-@F.arrow_udf("text string, converted int, kept int, unmatched int")
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("converted", T.IntegerType()), T.StructField("kept", T.IntegerType()), T.StructField("unmatched", T.IntegerType())]))
 def _convert_pages(texts: pa.Array, legacy: pa.Array, other: pa.Array, mixed: pa.Array, legacy_chars: pa.Array, other_chars: pa.Array) -> pa.Array:
     conv, rows = converter("fm-abhaya"), []
     for t, a, o, m, n, k in zip(*(x.to_pylist() for x in (texts, legacy, other, mixed, legacy_chars, other_chars))):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import chars
@@ -57,6 +57,18 @@ def agreement(a: Column, b: Column) -> Column:
     return dice(bigrams(a), bigrams(b))
 
 
+def agreement_of(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """``pairs(key, a, b)``, keys unique, to ``(key, score)``: the same for long texts, as counts of exploded bigrams.
+
+    Counts are added up in each partition before the shuffle; a pair without bigrams scores 1.
+    """
+    sides = pairs.select(*key, F.posexplode(F.array(bigrams(F.coalesce("a", F.lit(""))), bigrams(F.coalesce("b", F.lit("")))) ).alias("side", "grams"))
+    grams = sides.select(*key, "side", F.explode("grams").alias("gram"))
+    per_gram = grams.groupBy(*key, "gram").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
+    scores = per_gram.groupBy(*key).agg((2.0 * F.sum(F.least("na", "nb")) / F.sum(F.col("na") + F.col("nb"))).alias("score"))
+    return pairs.select(*key).join(scores, key, "left").select(*key, F.coalesce("score", F.lit(1.0)).alias("score"))
+
+
 def word_f1(a: Column, b: Column) -> Column:
     return dice(words(a), words(b))
 

@@ -12,6 +12,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import chars
 
@@ -55,17 +56,17 @@ def repair_text(text: str) -> tuple[str, int]:
     return unicodedata.normalize("NFC", "".join([*parts, text[at:]])), moved
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _normalize(texts: pa.Array) -> pa.Array:
     return pa.array([None if x is None else normalize_text(x) for x in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _canonical(texts: pa.Array) -> pa.Array:
     return pa.array([None if x is None else canonical_text(x) for x in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf("text string, moved int")
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("moved", T.IntegerType())]))
 def _repair(texts: pa.Array) -> pa.Array:
     rows = [(None, None) if x is None else repair_text(x) for x in texts.to_pylist()]
     return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["text", "moved"])

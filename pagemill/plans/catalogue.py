@@ -1,15 +1,624 @@
-"""Queries of the reference's operators over the test tables, with their SQL."""
+"""Queries of the engine's operators over the test tables, and their SQL where SQL can express them.
+
+Every query reads whole tables. Repeated deliveries count once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import chars
+from ..functions import fonts, health, html, legacy, metrics, normalize, render, script
+from ..functions.tables import FONT_FAMILIES, FUNCTION_WORDS, LATIN_FONTS, SINHALA_CONFUSIONS
+from ..operators import correct, documents, evaluate, learn, lexicon, ocr, router
+from ..session import checkpoint_dir, ship
+from ..sources import files
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    ship(spark)
+    checkpoint_dir(spark, fallback="/tmp/pagemill-checkpoints")  # the fallback serves tests in one process only
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def _pages(spark: SparkSession, d: str, *columns) -> DataFrame:
+    return _read(spark, d, "pages").select("page_id", *columns).dropDuplicates(["page_id"])
+
+
+def _once(spark: SparkSession, d: str, table: str, key: str, *columns) -> DataFrame:
+    return _read(spark, d, table).select(key, *columns).dropDuplicates([key])
+
+
+# --- SQL fragments ------------------------------------------------------------------------------------------------
+
+_W = chars.WS
+_N = lambda text, members: f"len(regexp_extract_all({text}, '[{members}]'))"
+_COUNTS = f"coalesce({_N('text', chars.SI)}, 0) AS si, coalesce({_N('text', chars.TA)}, 0) AS ta, coalesce({_N('text', chars.LATIN)}, 0) AS latin"
+_SHARE = lambda f: f"CAST({f} / CAST(greatest(si + ta + latin, 1) AS DOUBLE) AS FLOAT)"
+_DOMINANT = "CASE WHEN greatest(si, ta, latin) = 0 THEN NULL WHEN latin >= greatest(si, ta) THEN 'en' WHEN ta >= si THEN 'ta' ELSE 'si' END"
+_LANGS = lambda share, least: (
+    f"CASE WHEN si + ta + latin < {least} THEN '' ELSE array_to_string(list_transform(list_sort(list_filter([{{'n': -si, 'p': 0, 'l': 'si', 's': {_SHARE('si')}}}, {{'n': -ta, 'p': 1, 'l': 'ta', 's': {_SHARE('ta')}}}, "
+    f"{{'n': -latin, 'p': 2, 'l': 'en', 's': {_SHARE('latin')}}}], lambda r: r.s >= CAST({share} AS FLOAT) AND r.n < 0)), lambda r: r.l), ',') END"
+)
+_STRIPPED = "translate(regexp_replace(text, '<[^>]*(?:>|$)', '', 'g'), '*_#', '   ')"
+_TOKENS = f"list_filter(regexp_extract_all({_STRIPPED}, '[^{_W}]+'), lambda w: regexp_matches(w, '[A-Za-z][^A-Za-z]*[A-Za-z]'))"
+_WEIRD = health.WEIRD.replace("'", "''")
+_GIBBERISH = f"""
+CASE WHEN len(tk) < 30 THEN CAST(0 AS FLOAT) ELSE CAST(
+ greatest(least(CAST(CAST(1 AS FLOAT) - CAST(CAST(len(list_filter(tk, lambda w: list_contains({list(FUNCTION_WORDS)!r}, lower(regexp_replace(w, '[^A-Za-z]', '', 'g'))))) / CAST(len(tk) AS DOUBLE) AS FLOAT) / CAST(CAST(0.15 AS FLOAT) AS DOUBLE) AS FLOAT) AS FLOAT), CAST(1 AS FLOAT)), CAST(0 AS FLOAT))
+ * greatest(least(CAST(CAST(len(list_filter(tk, lambda w: regexp_matches(w, '{_WEIRD}'))) / CAST(len(tk) AS DOUBLE) AS FLOAT) / CAST(CAST(0.15 AS FLOAT) AS DOUBLE) AS FLOAT), CAST(1 AS FLOAT)), CAST(0 AS FLOAT)) AS FLOAT) END"""
+_PLAIN = f"regexp_replace(text, '[{chars.JOINERS}]', '', 'g')"
+_MEASURES = f"""
+m AS (SELECT *, len(regexp_extract_all(text, '{health.INDIC_WORD}')) AS words,
+ len(regexp_extract_all({_PLAIN}, '[{chars.SI_SIGNS}]')) - len(regexp_extract_all({_PLAIN}, '[{chars.SI_CONSONANTS}][{chars.SI_SIGNS}]')) + len(regexp_extract_all({_PLAIN}, '[{chars.TA_SIGNS}]')) - len(regexp_extract_all({_PLAIN}, '[{chars.TA_CONSONANTS}][{chars.TA_SIGNS}]')) AS errors,
+ len(list_filter(regexp_extract_all(text, '{health.INDIC_WORD}'), lambda w: regexp_matches(w, '[^{chars.ALLOWED}A-Za-z]'))) AS bad,
+ {_TOKENS} AS tk FROM c),
+h AS (SELECT *, CASE WHEN si + ta >= 50 AND words > 0 THEN CAST(errors / CAST(words AS DOUBLE) AS FLOAT) ELSE CAST(0 AS FLOAT) END AS visual_order,
+ CASE WHEN si + ta >= 50 AND words > 0 THEN CAST(bad / CAST(words AS DOUBLE) AS FLOAT) ELSE CAST(0 AS FLOAT) END AS foreign_share,
+ CASE WHEN latin >= 100 THEN {_GIBBERISH} ELSE CAST(0 AS FLOAT) END AS gibberish,
+ CAST(len(regexp_extract_all(text, '\\x{{fffd}}')) / CAST(greatest(length(text), 1) AS DOUBLE) AS FLOAT) AS lost FROM m),
+v AS (SELECT *, concat_ws('+', CASE WHEN lost > CAST(0.01 AS FLOAT) THEN 'replacement_chars' END, CASE WHEN visual_order > CAST(0.03 AS FLOAT) THEN 'visual_order' END,
+ CASE WHEN foreign_share > CAST(0.02 AS FLOAT) THEN 'foreign_code_points' END, CASE WHEN gibberish >= CAST(0.5 AS FLOAT) THEN 'latin_gibberish' END) AS reasons FROM h),
+w AS (SELECT *, CASE WHEN reasons <> '' THEN 'broken' WHEN si + ta + latin < 20 THEN 'empty' ELSE 'healthy' END AS verdict FROM v)"""
+_DOCS = f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT *, {_COUNTS} FROM d)"
+_PAGES = f"WITH d AS (SELECT DISTINCT page_id, coalesce(markdown, '') AS text FROM pages), c AS (SELECT *, {_COUNTS} FROM d)"
+
+
+# --- scripts, languages, health -------------------------------------------------------------------------------------
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("c", script.script_counts(F.col("text")))
+
+
+@_query(_DOCS + f" SELECT doc_id, si, ta, latin, round({_SHARE('si')}, 4) AS share_si, round({_SHARE('ta')}, 4) AS share_ta, round({_SHARE('latin')}, 4) AS share_latin FROM c")
+def script_shares(spark, d):
+    return _counted(spark, d).select("doc_id", "c.si", "c.ta", "c.latin", *[F.round(script.share(F.col("c"), x), 4).alias(f"share_{x}") for x in ("si", "ta", "latin")])
+
+
+@_query(_DOCS + f" SELECT doc_id, {_LANGS(0.05, 20)} AS langs FROM c")
+def languages_detected(spark, d):
+    return _counted(spark, d).select("doc_id", F.array_join(script.languages(F.col("c"), 0.05, 20), ",").alias("langs"))
+
+
+@_query(_DOCS + f" SELECT {_DOMINANT} AS lang, count(*) AS docs FROM c GROUP BY 1")
+def dominant_language(spark, d):
+    return _counted(spark, d).groupBy(script.dominant(F.col("c")).alias("lang")).agg(F.count("*").alias("docs"))
+
+
+@_query(_DOCS + f", m AS (SELECT *, {_TOKENS} AS tk FROM c) SELECT doc_id, round({_GIBBERISH}, 4) AS score FROM m")
+def latin_gibberish(spark, d):
+    return _counted(spark, d).select("doc_id", F.round(health.latin_gibberish_score(F.col("text")), 4).alias("score"))
+
+
+@_query(_DOCS + "," + _MEASURES + f" SELECT verdict, {_DOMINANT} AS lang, count(*) AS docs FROM w GROUP BY 1, 2")
+def health_verdicts(spark, d):
+    """Documents by verdict and dominant language: one scan, one small shuffle, no Python."""
+    h = health.assessed(_read(spark, d, "documents").select("text"), "text")
+    return h.groupBy("h.verdict", script.dominant(F.col("h.letters")).alias("lang")).agg(F.count("*").alias("docs"))
+
+
+@_query(_PAGES + "," + _MEASURES + " SELECT page_id, round(visual_order, 4) AS visual_order, round(foreign_share, 4) AS foreign_share, round(gibberish, 4) AS gibberish, round(lost, 4) AS lost, verdict, reasons FROM w")
+def health_measures(spark, d):
+    h = health.assessed(_pages(spark, d, "markdown"), "markdown")
+    r = lambda c, n: F.round(f"h.{c}", 4).alias(n)
+    return h.select("page_id", r("visual_order", "visual_order"), r("foreign", "foreign_share"), r("latin_gibberish", "gibberish"), r("replacement", "lost"), "h.verdict", F.array_join("h.reasons", "+").alias("reasons"))
+
+
+@_query(_DOCS + f" SELECT doc_id, md5({_STRIPPED}) AS digest FROM c")
+def markup_stripped(spark, d):
+    return _counted(spark, d).select("doc_id", F.md5(health.strip_markup(F.col("text"))).alias("digest"))
+
+
+@_query()
+def script_hints(spark, d):
+    return health.assessed(_pages(spark, d, "markdown"), "markdown").select("page_id", F.array_join(health.script_hint(F.col("h")), "+").alias("hint"))
+
+
+@_query("SELECT DISTINCT source, CASE WHEN lower(trim(main_lang)) IN ('si', 'sin', 'sinhala') THEN 'si' WHEN lower(trim(main_lang)) IN ('ta', 'tam', 'tamil') THEN 'ta' WHEN lower(trim(main_lang)) IN ('en', 'eng', 'english') THEN 'en' END AS lang, CASE lower(trim(main_lang)) WHEN 'si' THEN 'sin' WHEN 'ta' THEN 'tam' ELSE 'eng' END AS arg FROM collections")
+def language_names(spark, d):
+    t = _read(spark, d, "collections").select("source", script.parse_lang(F.col("main_lang")).alias("lang"))
+    return t.select("source", "lang", script.lang_arg(F.array("lang")).alias("arg")).distinct()
+
+
+# --- normal forms and metrics ------------------------------------------------------------------------------------------
+
+
+@_query()
+def canonical_text(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.md5(normalize.canonical(F.col("text"))).alias("digest"))
+
+
+@_query()
+def visual_order_repair(spark, d):
+    r = _pages(spark, d, "markdown").select("page_id", normalize.repair_visual_order(F.col("markdown")).alias("r"))
+    return r.select("page_id", "r.moved", F.md5("r.text").alias("digest"))
+
+
+_ASCII = lambda c: f"regexp_replace({c}, '[^\\x{{1}}-\\x{{7f}}]', '?', 'g')"
+
+
+def _titles(spark, d):
+    docs = _read(spark, d, "documents").select("doc_id", "title", "source").where("title is not null")
+    own = _read(spark, d, "collections").select("source", F.col("title").alias("other")).where("other is not null").distinct()
+    return docs.join(own, "source")
+
+
+_TITLES = "WITH p AS (SELECT d.doc_id, d.title, c.title AS other FROM documents d JOIN (SELECT DISTINCT source, title FROM collections WHERE title IS NOT NULL) c USING (source) WHERE d.title IS NOT NULL)"
+
+
+@_query(_TITLES + f" SELECT doc_id, round(levenshtein({_ASCII('title')}, {_ASCII('other')}) / CAST(greatest(length({_ASCII('title')}), 1) AS DOUBLE), 6) AS cer FROM p")
+def cer_pairs(spark, d):
+    plain = lambda c: F.regexp_replace(c, "[^\\x{1}-\\x{7f}]", "?")
+    return _titles(spark, d).select("doc_id", F.round(metrics.cer(plain("title"), plain("other")), 6).alias("cer"))
+
+
+@_query()
+def wer_pairs(spark, d):
+    return _titles(spark, d).select("doc_id", F.round(metrics.wer(F.col("title"), F.col("other")), 6).alias("wer"))
+
+
+_GRAMS = """
+, s AS (SELECT doc_id, 0 AS side, regexp_replace(title, '[{w}]', '', 'g') AS t FROM p UNION ALL SELECT doc_id, 1, regexp_replace(other, '[{w}]', '', 'g') FROM p),
+g AS (SELECT doc_id, side, unnest({grams}) AS g FROM s),
+n AS (SELECT doc_id, g, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM g GROUP BY 1, 2)
+SELECT doc_id, round(2.0 * sum(least(a, b)) / sum(a + b), 6) AS score FROM n GROUP BY doc_id
+"""
+
+
+@_query(_TITLES + _GRAMS.format(w=_W, grams="list_transform(range(1, length(t)), lambda i: substr(t, i, 2))"))
+def bigram_agreement(spark, d):
+    t = _titles(spark, d).select("doc_id", F.col("title").alias("a"), F.col("other").alias("b"))
+    return metrics.agreement_of(t, ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_query(_TITLES + _GRAMS.replace("'[{w}]', '', 'g'", "'^$', '', 'g'").format(w=_W, grams=f"regexp_extract_all(t, '[^{_W}]+')"))
+def word_f1(spark, d):
+    return _titles(spark, d).select("doc_id", F.round(metrics.word_f1(F.col("title"), F.col("other")), 6).alias("score"))
+
+
+# --- rendering -----------------------------------------------------------------------------------------------------------
+
+_H = _W.replace("\\x{9}-\\x{d}", "\\x{9}\\x{b}-\\x{d}")
+_TRIM = lambda c: f"regexp_replace({c}, '^[{_W}]+|[{_W}]+\\z', '', 'g')"
+
+
+@_query(f"SELECT doc_id, md5({_TRIM(f'''regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '(?m)[{_H}]+$', '', 'g'), '(?m)^([{_H}]*[#>|])', '{chr(92) * 2}{chr(92)}1', 'g'), '{chr(92)}n{{3,}}', chr(10) || chr(10), 'g')''')}) AS digest FROM documents")
+def text_as_markdown(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.md5(render.text_to_markdown(F.col("text"))).alias("digest"))
+
+
+@_query()
+def plain_text(spark, d):
+    return _pages(spark, d, "markdown").select("page_id", F.md5(render.plain_text(F.col("markdown"))).alias("digest"))
+
+
+@_query(f"WITH q AS (SELECT DISTINCT page_id, doc, page_number, {_TRIM('coalesce(markdown, chr(32))')} AS body FROM pages), r AS (SELECT doc, coalesce(string_agg(body, chr(10) || chr(10) ORDER BY page_number, page_id) FILTER (WHERE body <> ''), '') AS t FROM q GROUP BY doc) SELECT doc, md5(CASE WHEN t = '' THEN '' ELSE t || chr(10) END) AS digest FROM r")
+def document_markdown(spark, d):
+    p = _pages(spark, d, "doc", "page_number", "markdown").select("doc", F.struct("page_number", "page_id").alias("page"), "markdown")
+    return documents.markdown(p).select("doc", F.md5("text").alias("digest"))
+
+
+@_query()
+def document_json(spark, d):
+    kind = F.col("method.kind")
+    p = _pages(spark, d, "doc", "page_number", "method", "markdown", "langs", "confidence", "flags").select("doc", F.col("page_number").alias("page"), kind.alias("method"), "markdown", "langs", "confidence", F.when(F.size("flags") > 0, F.col("flags")).alias("flags"))
+    e = _once(spark, d, "extractions", "doc", "doc_format", "metadata", "warnings", F.col("seconds_spent").alias("seconds"), F.col("lipi_version").alias("version"))
+    return documents.to_json(p, e).select("doc", F.length("json").alias("size"), F.md5("json").alias("digest"))
+
+
+@_query("WITH q AS (SELECT DISTINCT page_id, doc, replace(method.kind, '_', '-') AS label FROM pages) SELECT doc, label, count(*) AS pages FROM q GROUP BY doc, label")
+def method_counts(spark, d):
+    return documents.method_counts(_pages(spark, d, "doc", F.col("method.kind").alias("kind")))
+
+
+@_query(f"WITH q AS (SELECT DISTINCT page_id, doc, coalesce(markdown, '') AS text, confidence, method.kind AS kind FROM pages), n AS (SELECT *, {_COUNTS} FROM q), a AS (SELECT doc, count(*) AS pages, CAST(sum(si) AS BIGINT) AS si, CAST(sum(ta) AS BIGINT) AS ta, CAST(sum(latin) AS BIGINT) AS latin, round(avg(CAST(confidence AS DOUBLE)), 3) AS confidence, count(*) FILTER (WHERE kind = 'failed') AS failed FROM n GROUP BY doc) SELECT doc, pages, {_LANGS(0.05, 20)} AS langs, confidence, failed FROM a")
+def document_summary(spark, d):
+    p = _pages(spark, d, "doc", F.col("method.kind").alias("kind"), "markdown", F.col("confidence").cast("double").alias("confidence"), F.col("seconds_spent").alias("seconds"))
+    return documents.summary(p).select("doc", "pages", F.array_join("langs", ",").alias("langs"), F.round("confidence", 3).alias("confidence"), F.col("failed").cast("bigint").alias("failed"))
+
+
+@_query()
+def summary_lines(spark, d):
+    p = _pages(spark, d, "doc", F.col("method.kind").alias("kind"), "markdown", "confidence", F.col("seconds_spent").alias("seconds"))
+    s = documents.summary(p)
+    return s.select(documents.summary_line(*[F.col(c) for c in ("doc", "methods", "langs", "confidence", "seconds")]).alias("line"))
+
+
+@_query("WITH q AS (SELECT DISTINCT page_id, doc, page_number, flags FROM pages WHERE len(flags) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page_number, flags, page_id) AS k FROM q) SELECT doc, page_number AS page, array_to_string(flags, ',') AS flags FROM r WHERE k <= 6")
+def flagged_pages(spark, d):
+    p = _pages(spark, d, "doc", F.col("page_number").alias("page"), "flags")
+    return documents.flagged(p).select("doc", "page", F.array_join("flags", ",").alias("flags"))
+
+
+@_query("WITH q AS (SELECT DISTINCT page_id, flags FROM pages), f AS (SELECT unnest(flags) AS flag FROM q) SELECT flag, count(*) AS n FROM f GROUP BY flag ORDER BY n DESC, flag LIMIT 10")
+def flags_most_common(spark, d):
+    return evaluate.most_common(_pages(spark, d, "flags").select(F.explode("flags").alias("flag")), "flag", 10)
+
+
+@_query("WITH q AS (SELECT DISTINCT page_id, doc, flags FROM pages), f AS (SELECT doc, unnest(flags) AS flag FROM q) SELECT doc, CAST(sum(CAST(regexp_extract(flag, ':(\\d+)$', 1) AS BIGINT)) AS BIGINT) AS tokens FROM f WHERE starts_with(flag, 'legacy_unmatched_tokens:') GROUP BY doc")
+def unmatched_tokens(spark, d):
+    return evaluate.unmatched_tokens(_pages(spark, d, "doc", "flags"))
+
+
+# --- recognition output ------------------------------------------------------------------------------------------------------
+
+
+def _ocr_words(spark, d):
+    t = _once(spark, d, "ocr_pages", "ocr_id", "text").where("text is not null")
+    lines = t.select("ocr_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    words = lines.select("ocr_id", "line", F.posexplode(F.regexp_extract_all("value", F.lit(f"[^{_W}]+"), F.lit(0))).alias("word_no", "text"))
+    fixed = lambda n: F.lit(n).alias
+    return words.select(F.col("ocr_id").alias("doc"), fixed(1)("page"), (F.col("line") / 20).cast("int").alias("block"), (F.col("line") / 5).cast("int").alias("par"), "line", "word_no", (F.abs(F.length("text") * 7 + F.col("word_no")) % 101).cast("float").alias("conf"), "text")
+
+
+_OCR_WORDS = f"""WITH t AS (SELECT DISTINCT ocr_id, text FROM ocr_pages WHERE text IS NOT NULL),
+l AS (SELECT ocr_id, unnest(string_split(text, chr(10))) AS value, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM t),
+x AS (SELECT ocr_id AS doc, CAST(line AS INT) AS line, regexp_extract_all(value, '[^{_W}]+') AS ws FROM l),
+w AS (SELECT doc, 1 AS page, line // 20 AS block, line // 5 AS par, line, unnest(range(0, len(ws))) AS word_no, unnest(ws) AS text FROM x)"""
+
+
+@_query(_OCR_WORDS + """, a AS (SELECT doc, page, block, par, line, string_agg(text, ' ' ORDER BY word_no) AS t FROM w GROUP BY ALL),
+p AS (SELECT doc, page, block, par, replace(regexp_replace(string_agg(t, chr(10) ORDER BY line), '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g'), chr(10), ' ') AS t FROM a GROUP BY ALL),
+q AS (SELECT doc, string_agg(t, chr(10) || chr(10) ORDER BY block, par) AS t FROM p GROUP BY doc),
+m AS (SELECT doc, count(*) AS words, round(CAST(CAST(avg(CAST((length(text) * 7 + word_no) % 101 AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) AS confidence FROM w GROUP BY doc)
+SELECT q.doc AS ocr_id, md5(t) AS digest, words, confidence FROM q JOIN m USING (doc)""")
+def ocr_paragraphs(spark, d):
+    p = ocr.paragraphs(_ocr_words(spark, d))
+    return p.select(F.col("doc").alias("ocr_id"), F.md5("text").alias("digest"), "words", F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
+
+
+@_query()
+def ocr_tsv(spark, d):
+    """The words written as TSV lines and parsed again."""
+    w = _ocr_words(spark, d)
+    line = F.concat_ws("\t", F.lit("5"), "page", "block", "par", "line", "word_no", F.lit("0"), F.lit("0"), F.lit("9"), F.lit("9"), "conf", "text")
+    return ocr.parse_tsv(w.select("doc", line.alias("value"))).groupBy("doc").agg(F.count("*").alias("words"), F.round(F.sum("conf"), 3).alias("conf"))
+
+
+@_query("WITH t AS (SELECT DISTINCT ocr_id, word_confidences FROM ocr_pages), w AS (SELECT ocr_id, unnest(word_confidences) AS w FROM t) SELECT ocr_id, w.word AS token, min(w.conf) AS conf FROM w WHERE w.conf IS NOT NULL GROUP BY 1, 2")
+def confidence_map(spark, d):
+    w = _once(spark, d, "ocr_pages", "ocr_id", "word_confidences").select("ocr_id", F.inline("word_confidences"))
+    return ocr.confidence_map(w.select(F.col("ocr_id").alias("id"), F.col("word").alias("token"), "conf")).withColumnRenamed("id", "ocr_id")
+
+
+@_query("""WITH t AS (SELECT doc_id, title FROM documents WHERE title IS NOT NULL), g AS (SELECT doc_id, unnest(range(1, length(title) + 1)) AS seq, title FROM t),
+c AS (SELECT doc_id, seq, substr(title, seq, 1) AS ch, seq * 6.0 + (CASE WHEN seq % 9 = 0 THEN 3.0 ELSE 0.0 END) AS l, seq * 6.0 + 6.0 AS r, CASE WHEN seq % 31 >= 20 THEN 20.0 ELSE 0.0 END AS b FROM g),
+x AS (SELECT *, regexp_matches(ch, '^[""" + _W + """]*$') AS blank, coalesce(lag(regexp_matches(ch, '^[""" + _W + """]*$')) OVER o OR abs(b - lag(b) OVER o) > 5 OR l - lag(r) OVER o > 2, true) AS starts FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY seq)),
+n AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS k FROM x)
+SELECT doc_id, CAST(k AS BIGINT) AS word_no, string_agg(ch, '' ORDER BY seq) AS word FROM n WHERE NOT blank GROUP BY doc_id, k""")
+def glyph_words(spark, d):
+    t = _read(spark, d, "documents").select("doc_id", "title").where("title is not null")
+    g = t.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.col("title").substr(i, F.lit(1)))).alias("p", "ch")).where("ch != ''").withColumn("seq", F.col("p") + 1)
+    left = F.col("seq") * 6.0 + F.when(F.col("seq") % 9 == 0, 3.0).otherwise(0.0)
+    glyphs = g.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "seq", "ch", F.lit(True).alias("legacy"), left.alias("left"), (F.col("seq") * 6.0 + 6.0).alias("right"), F.when(F.col("seq") % 31 >= 20, 20.0).otherwise(0.0).alias("bottom"), F.lit(10.0).alias("size"))
+    return ocr.word_breaks(glyphs).select(F.col("doc").alias("doc_id"), "word_no", "word")
+
+
+# --- word lists and correction ---------------------------------------------------------------------------------------------------
+
+
+def _word_sql(lang: str) -> str:
+    run = {"si": f"[{chars.SI}{chars.JOINERS}]+", "ta": f"[{chars.TA}{chars.JOINERS}]+", "en": f"[{chars.LATIN}]+"}[lang]
+    return f"WITH r AS (SELECT unnest(regexp_extract_all(text, '{run}')) AS w FROM documents), t AS (SELECT regexp_replace(w, '^[{chars.JOINERS}]+|[{chars.JOINERS}]+$', '', 'g') AS word FROM r), f AS (SELECT word, count(*) AS freq FROM t WHERE word <> '' GROUP BY word)"
+
+
+def _lexicon(spark, d, lang):
+    return lexicon.build(_read(spark, d, "documents").select("text"), lang)
+
+
+@_query(_word_sql("en") + " SELECT word, freq FROM f")
+def lexicon_en(spark, d):
+    return _lexicon(spark, d, "en").counts
+
+
+@_query(_word_sql("si") + " SELECT word, freq FROM f WHERE freq >= 3")
+def lexicon_si_pruned(spark, d):
+    return _lexicon(spark, d, "si").prune(3).counts
+
+
+@_query(_word_sql("ta") + f" SELECT word || chr(9) || freq AS value FROM f WHERE freq >= 2 UNION ALL SELECT '{lexicon.MAGIC} lang=ta types=' || count(*) FILTER (WHERE freq >= 2) || ' tokens=' || CAST(coalesce(sum(freq), 0) AS BIGINT) FROM f")
+def lexicon_file(spark, d):
+    return _lexicon(spark, d, "ta").prune(2).lines()
+
+
+_RULES = ", rules(src, dst, weight) AS (VALUES " + ", ".join(f"('{a}', '{b}', CAST(CAST({w} AS FLOAT) AS DOUBLE))" for a, b, w in SINHALA_CONFUSIONS) + ")"
+_STEP = "SELECT {a}.word, left({a}.form, i - 1) || dst || substr({a}.form, i + length(src)) AS form, {a}.score * weight AS score FROM {a} JOIN rules ON contains({a}.form, src) CROSS JOIN LATERAL unnest(range(1, length({a}.form) - length(src) + 2)) AS t(i) WHERE substr({a}.form, i, length(src)) = src"
+_VARIANTS = f"""
+WITH e AS (SELECT DISTINCT ocr_id, text FROM ocr_pages), x AS (SELECT unnest(regexp_extract_all(text, '[{chars.SI}{chars.JOINERS}]+')) AS w FROM e), y AS (SELECT regexp_replace(w, '^[{chars.JOINERS}]+|[{chars.JOINERS}]+$', '', 'g') AS word FROM x), l AS (SELECT word, count(*) AS freq FROM y WHERE word <> '' GROUP BY word){_RULES},
+lex AS (SELECT word, freq FROM l WHERE freq >= 40), u AS (SELECT word FROM l WHERE freq < 40 AND length(word) >= 3),
+s0 AS (SELECT word, word AS form, CAST(1.0 AS DOUBLE) AS score FROM u),
+r1 AS ({_STEP.format(a="s0")}), s1 AS (SELECT word, form, max(score) AS score FROM r1 WHERE form <> word GROUP BY word, form),
+r2 AS ({_STEP.format(a="s1")}), s2 AS (SELECT word, form, max(score) AS score FROM r2 WHERE form <> word GROUP BY word, form),
+v AS (SELECT word, form, max(score) AS weight FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY word, form)"""
+
+
+def _si_words(spark, d):
+    return lexicon.build(_once(spark, d, "ocr_pages", "ocr_id", "text").select("text"), "si").counts
+
+
+@_query(_VARIANTS + " SELECT word, form, round(weight, 9) AS weight FROM v")
+def word_variants(spark, d):
+    words = _si_words(spark, d).where("freq < 40 and length(word) >= 3").select("word")
+    return correct.variants(words, correct.sinhala_rules(spark)).select("word", "form", F.round("weight", 9).alias("weight"))
+
+
+@_query(_VARIANTS + """, k AS (SELECT v.word, v.form, lex.freq * v.weight AS score, row_number() OVER (PARTITION BY v.word ORDER BY lex.freq * v.weight DESC, v.form) AS rank,
+lead(lex.freq * v.weight) OVER (PARTITION BY v.word ORDER BY lex.freq * v.weight DESC, v.form) AS second FROM v JOIN lex ON lex.word = v.form)
+SELECT word, form AS fixed, round(score, 6) AS score FROM k WHERE rank = 1 AND score >= 0.05 AND (second IS NULL OR score >= 3.0 * second)""")
+def word_corrections(spark, d):
+    words = _si_words(spark, d)
+    return correct.corrections(words.where("freq < 40").select("word"), words.where("freq >= 40"), correct.sinhala_rules(spark)).select("word", "fixed", F.round("score", 6).alias("score"))
+
+
+@_query()
+def text_corrections(spark, d):
+    words = _si_words(spark, d).where("freq >= 40")
+    t = _once(spark, d, "ocr_pages", "ocr_id", "text", "word_confidences")
+    conf = ocr.confidence_map(t.select(F.col("ocr_id").alias("id"), F.inline("word_confidences")).select("id", F.col("word").alias("token"), "conf"))
+    done = correct.correct_texts(t.select(F.col("ocr_id").alias("id"), "text"), conf, words, correct.sinhala_rules(spark), "si")
+    return done.select(F.col("id").alias("ocr_id"), "changed", F.md5("text").alias("digest"))
+
+
+# --- fonts and conversion ------------------------------------------------------------------------------------------------------------
+
+_FAMILY = "CASE " + " ".join(f"WHEN starts_with(n, '{p}') THEN '{f}'" for p, f, _ in FONT_FAMILIES) + " WHEN regexp_matches(upper(regexp_replace(font, '^[^+]*\\+', '')), '^TA[MB]-') THEN 'tam-tab' END"
+_FONTS = f"WITH t AS (SELECT DISTINCT fw_id, doc, page, fonts, legacy_chars, other_chars FROM font_words), u AS (SELECT fw_id, doc, page, unnest(fonts) AS font FROM t), x AS (SELECT *, lower(regexp_replace(regexp_replace(font, '^[A-Z]{{6}}\\+', ''), '[^A-Za-z0-9]', '', 'g')) AS n FROM u), y AS (SELECT *, {_FAMILY} AS family FROM x)"
+
+
+def _font_pages(spark, d):
+    t = _once(spark, d, "font_words", "fw_id", "doc", "page", "fonts")
+    return t.select("fw_id", "doc", "page", F.explode("fonts").alias("font")).withColumn("family", fonts.legacy_font(F.col("font"))["family"])
+
+
+@_query(_FONTS + " SELECT font, family, count(*) AS pages FROM y GROUP BY font, family")
+def font_families(spark, d):
+    return _font_pages(spark, d).groupBy("font", "family").agg(F.count("*").alias("pages"))
+
+
+@_query(_FONTS + " SELECT family, count(DISTINCT doc) AS docs, count(DISTINCT (doc, page)) AS pages FROM y WHERE family IS NOT NULL GROUP BY family")
+def font_survey(spark, d):
+    return evaluate.font_survey(_font_pages(spark, d))
+
+
+@_query(_FONTS + ", z AS (SELECT doc, coalesce(array_to_string(list_sort(list_distinct(list(family) FILTER (WHERE family IS NOT NULL))), '+'), '') AS combo FROM y GROUP BY doc) SELECT CASE WHEN combo = '' THEN '(none)' ELSE combo END AS combo, count(*) AS docs FROM z GROUP BY 1")
+def font_combinations(spark, d):
+    return evaluate.font_combinations(_font_pages(spark, d))
+
+
+_LATIN = "|".join(LATIN_FONTS)
+
+
+@_query(f"SELECT DISTINCT fw_id, round(CASE WHEN coalesce(legacy_chars, 0) + coalesce(other_chars, 0) = 0 THEN 0 ELSE coalesce(legacy_chars, 0) / CAST(coalesce(legacy_chars, 0) + coalesce(other_chars, 0) AS DOUBLE) END, 6) AS share, coalesce(len(list_filter(fonts, lambda f: regexp_matches(lower(f), '{_LATIN}'))) > 0, false) AS has_latin, coalesce(len(list_filter(fonts, lambda f: regexp_matches(lower(f), 'glyphlessfont|hiddenhorzocr'))) > 0, false) AS prior FROM font_words")
+def font_shares(spark, d):
+    t = _once(spark, d, "font_words", "fw_id", "fonts", "legacy_chars", "other_chars")
+    return t.select("fw_id", F.round(legacy.legacy_share(F.col("legacy_chars"), F.col("other_chars")), 6).alias("share"), fonts.has_latin(F.col("fonts")).alias("has_latin"), F.coalesce(F.exists("fonts", fonts.is_prior_ocr), F.lit(False)).alias("prior"))
+
+
+@_query("WITH t AS (SELECT DISTINCT fw_id, doc, page, legacy_chars AS fm, coalesce(other_chars, 0) AS other FROM font_words WHERE legacy_chars >= 100 AND page < 50), k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, fw_id) AS k FROM t) SELECT doc, CAST(page AS INT) AS page, fm, other, CASE WHEN CAST(('0x' || left(sha1(doc), 8)) AS BIGINT) % 100 % 3 = 0 THEN 'holdout' ELSE 'train' END AS part FROM k WHERE k <= 2")
+def selected_pages(spark, d):
+    t = _once(spark, d, "font_words", "fw_id", "doc", F.col("page").cast("int").alias("page"), F.col("legacy_chars").alias("fm"), F.coalesce("other_chars", F.lit(0)).alias("other"))
+    return evaluate.select_pages(t.select("doc", "page", "fm", "other"), least=100)
+
+
+@_query()
+def legacy_conversion(spark, d):
+    """Every page whose fonts were read, its legacy words converted."""
+    t = _once(spark, d, "font_words", "fw_id", "legacy", "other", "mixed", "text", "legacy_chars", "other_chars")
+    page = legacy.convert_page(*[F.col(c) for c in ("text", "legacy", "other", "mixed", "legacy_chars", "other_chars")])
+    return t.select("fw_id", page.alias("p")).select("fw_id", "p.converted", "p.kept", "p.unmatched", F.md5("p.text").alias("digest"))
+
+
+# --- routing --------------------------------------------------------------------------------------------------------------------------
+
+
+def _pdf_pages(spark, d):
+    """Pages with a text layer and what is known of their fonts, as the router's input relation."""
+    p = _pages(spark, d, "doc", "page_number", "markdown", F.col("method.kind").alias("kind")).where("kind in ('text_layer', 'text_layer_repaired', 'legacy_converted', 'ocr', 'empty')")
+    w = _once(spark, d, "font_words", "page_id", "fonts", F.struct("legacy", "other", "mixed", "text", "legacy_chars", "other_chars").alias("legacy_words"))
+    return p.join(w, "page_id", "left").select("doc", F.struct("page_number", "page_id").alias("page"), F.col("markdown").alias("raw_md"), (F.col("kind") == "ocr").alias("needs_ocr"), F.when(F.col("kind") == "ocr", "scanned").alias("reason"), "fonts", "legacy_words")
+
+
+def _recognised(spark, d):
+    o = _once(spark, d, "ocr_pages", "page_id", "text", "confidence")
+    return _pages(spark, d, "doc", "page_number").join(o, "page_id").select("doc", F.struct("page_number", "page_id").alias("page"), "text", "confidence")
+
+
+@_query()
+def router_plan(spark, d):
+    p = router.plan(_pdf_pages(spark, d))
+    return p.select("page.page_id", "plan", "method", F.array_join("flags", ",").alias("flags"), F.array_join("ocr_langs", "+").alias("ocr_langs"))
+
+
+@_query()
+def router_pages(spark, d):
+    """Planned, verified against recognition, and assembled pages."""
+    read = _recognised(spark, d)
+    p = router.assemble(router.verify(router.plan(_pdf_pages(spark, d)), read), read)
+    return p.select("page.page_id", "label", F.array_join("flags", ",").alias("flags"), F.array_join("langs", ",").alias("langs"), F.length("markdown").alias("chars"))
+
+
+# --- evaluation and learning -----------------------------------------------------------------------------------------------------------
+
+
+@_query(_TITLES + f", q AS (SELECT levenshtein({_ASCII('title')}, {_ASCII('other')}) / CAST(greatest(length({_ASCII('title')}), 1) AS DOUBLE) AS cer, title AS text FROM p), c AS (SELECT cer, {_COUNTS} FROM q) SELECT {_DOMINANT} AS lang, count(*) AS pages, round(avg(cer), 6) AS cer FROM c GROUP BY 1")
+def bench_by_language(spark, d):
+    plain = lambda c: F.regexp_replace(c, "[^\\x{1}-\\x{7f}]", "?")
+    t = _titles(spark, d).select(script.dominant(script.script_counts(F.col("title"))).alias("lang"), metrics.cer(plain("title"), plain("other")).alias("cer"), F.lit(0.0).alias("wer"), F.lit(0.0).alias("seconds"))
+    return evaluate.by_language(t).select("lang", "pages", F.round("cer", 6).alias("cer"))
+
+
+def _runs(spark, d, shift):
+    p = _pages(spark, d, F.coalesce(F.get("langs", 0), F.lit("xx")).alias("lang"), "seconds_spent").where("seconds_spent is not null")
+    name = F.concat_ws("_", "lang", F.when(F.col("page_id") % 3 == 0, "mn").when(F.col("page_id") % 3 == 1, "sangam_mn"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, "clean").otherwise("scan"))
+    value = (F.col("page_id") * 7 + shift) % 100 / 100.0
+    return p.where(F.col("page_id") % 11 != shift).select(F.concat(name, F.lit(".png")).alias("file"), value.alias("cer"), (value * 3).alias("wer"))
+
+
+_RUN = lambda n: f"SELECT coalesce(langs[1], 'xx') || CASE page_id % 3 WHEN 0 THEN '_mn' WHEN 1 THEN '_sangam_mn' ELSE '' END || '_' || page_id || CASE WHEN page_id % 2 = 0 THEN '_clean' ELSE '_scan' END AS stem, ((page_id * 7 + {n}) % 100) / 100.0 AS cer FROM (SELECT DISTINCT page_id, langs, seconds_spent FROM pages) WHERE seconds_spent IS NOT NULL AND page_id % 11 <> {n}"
+
+
+@_query(f"""WITH b AS ({_RUN(1)}), a AS ({_RUN(2)}), j AS (SELECT stem, b.cer AS c0, a.cer AS c1, string_split(stem, '_') AS p FROM b JOIN a USING (stem)),
+k AS (SELECT *, CASE WHEN len(p) >= 4 THEN array_to_string(p[2:len(p) - 2], '_') ELSE 'all' END AS font, p[len(p)] AS variant FROM j),
+g AS (SELECT font, variant, c0, c1 FROM k UNION ALL SELECT 'all', variant, c0, c1 FROM k UNION ALL SELECT 'all', 'all', c0, c1 FROM k)
+SELECT font, variant, count(*) AS pages, round(100 * avg(c0), 4) AS cer0, round(100 * avg(c1), 4) AS cer1, round(300 * avg(c0), 4) AS wer0, round(300 * avg(c1), 4) AS wer1 FROM g GROUP BY font, variant""")
+def compare_runs(spark, d):
+    r = evaluate.compare(_runs(spark, d, 1), _runs(spark, d, 2))
+    return r.select("font", "variant", "pages", *[F.round(c, 4).alias(c) for c in ("cer0", "cer1", "wer0", "wer1")])
+
+
+@_query(f"WITH b AS ({_RUN(1)}), a AS ({_RUN(2)}) SELECT count(b.stem) AS before, count(a.stem) AS after, count(*) FILTER (WHERE a.stem IS NOT NULL AND b.stem IS NOT NULL) AS common FROM b FULL JOIN a ON a.stem = b.stem")
+def compare_unmatched(spark, d):
+    return evaluate.unmatched(_runs(spark, d, 1), _runs(spark, d, 2))
+
+
+_BUCKET = "CAST(('0x' || left(sha1(doc), 8)) AS BIGINT) % 100"
+
+
+@_query(f"WITH e AS (SELECT DISTINCT doc FROM extractions) SELECT doc, {_BUCKET} AS bucket, CASE WHEN {_BUCKET} < 80 THEN 'train' WHEN {_BUCKET} < 90 THEN 'learn' ELSE 'heldout' END AS part FROM e")
+def split_parts(spark, d):
+    return _read(spark, d, "extractions").select("doc").distinct().select("doc", evaluate.bucket(F.col("doc")).alias("bucket"), evaluate.split_of(F.col("doc")).alias("part"))
+
+
+@_query("WITH e AS (SELECT DISTINCT doc FROM extractions) SELECT doc FROM e ORDER BY sha1(doc), doc LIMIT 200")
+def sample_by_hash(spark, d):
+    return evaluate.hash_sample(_read(spark, d, "extractions").select("doc").distinct(), "doc", 200)
+
+
+@_query("""WITH t AS (SELECT DISTINCT ocr_id, doc, CAST(confidence AS DOUBLE) AS v FROM ocr_pages WHERE confidence IS NOT NULL), s AS (SELECT split_part(doc, '/', 1) AS source, list_sort(list(v)) AS a, count(*) AS n FROM t GROUP BY 1 HAVING count(*) > 1),
+q AS (SELECT *, unnest([10, 25, 50, 75, 90]) AS p FROM s), j AS (SELECT *, p // 5 AS k, greatest(1, least(n - 1, (n + 1) * (p // 5) // 20)) AS j FROM q),
+r AS (SELECT source, p, (a[j] * (20 - ((n + 1) * k - j * 20)) + a[j + 1] * ((n + 1) * k - j * 20)) / 20.0 AS v FROM j)
+SELECT source, round(max(v) FILTER (WHERE p = 10), 3) AS p10, round(max(v) FILTER (WHERE p = 25), 3) AS p25, round(max(v) FILTER (WHERE p = 50), 3) AS p50, round(max(v) FILTER (WHERE p = 75), 3) AS p75, round(max(v) FILTER (WHERE p = 90), 3) AS p90 FROM r GROUP BY source""")
+def confidence_quantiles(spark, d):
+    t = _once(spark, d, "ocr_pages", "ocr_id", F.split_part("doc", F.lit("/"), F.lit(1)).alias("source"), F.col("confidence").cast("double").alias("v"))
+    q = evaluate.quantiles_exclusive(t, ["source"], "v")
+    return q.select("source", *[F.round(c, 3).alias(c) for c in q.columns if c != "source"])
+
+
+@_query("WITH t AS (SELECT DISTINCT ocr_id, word_confidences FROM ocr_pages), w AS (SELECT length(w.word) AS size, w.conf AS conf FROM (SELECT unnest(word_confidences) AS w FROM t)) SELECT size, round(count(*) FILTER (WHERE conf < 70) / CAST(greatest(count(conf), 1) AS DOUBLE), 6) AS below_70, round(count(*) FILTER (WHERE conf < 90) / CAST(greatest(count(conf), 1) AS DOUBLE), 6) AS below_90 FROM w GROUP BY size")
+def confidence_below(spark, d):
+    w = _once(spark, d, "ocr_pages", "ocr_id", "word_confidences").select(F.inline("word_confidences")).select(F.length("word").alias("size"), "conf")
+    return evaluate.below(w, ["size"], "conf", (70, 90)).select("size", F.round("below_70", 6).alias("below_70"), F.round("below_90", 6).alias("below_90"))
+
+
+@_query("WITH t AS (SELECT DISTINCT page_id, method.kind AS kind, CAST(seconds_spent AS DOUBLE) AS v FROM pages) SELECT kind, count(v) AS n, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round(min(v), 4) AS least, round(max(v), 4) AS most FROM t GROUP BY kind")
+def seconds_stats(spark, d):
+    t = _pages(spark, d, F.col("method.kind").alias("kind"), F.col("seconds_spent").cast("double").alias("v"))
+    s = evaluate.stats(t, ["kind"], "v")
+    return s.select("kind", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "least", "most")])
+
+
+@_query("""WITH e AS (SELECT DISTINCT entry_id, lang, word FROM lexicon_counts WHERE word IS NOT NULL AND lang IS NOT NULL), s AS (SELECT list_distinct(regexp_extract_all(word, '(?s).')) AS codes, [lang] AS units FROM e),
+c AS (SELECT unnest(codes) AS code, units[1] AS unit FROM s), b AS (SELECT code, unit, count(*) AS n FROM c GROUP BY 1, 2), k AS (SELECT code, count(*) AS nc FROM c GROUP BY 1), u AS (SELECT units[1] AS unit, count(*) AS nu FROM s GROUP BY 1)
+SELECT code, unit, n, round(2 * n / CAST(nc + nu AS DOUBLE), 6) AS dice FROM b JOIN k USING (code) JOIN u USING (unit)""")
+def cooccurrence(spark, d):
+    e = _once(spark, d, "lexicon_counts", "entry_id", "lang", "word").where("word is not null and lang is not null")
+    c = learn.cooccurrence(e.select(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0)).alias("codes"), F.array("lang").alias("units")))
+    return c.select("code", "unit", "n", F.round("dice", 6).alias("dice"))
+
+
+@_query("""WITH t AS (SELECT DISTINCT ocr_id AS page, word_confidences AS w FROM ocr_pages WHERE word_confidences IS NOT NULL), x AS (SELECT page, unnest(range(0, len(w))) AS i FROM t),
+a AS (SELECT page, i, (i % 12) * 60.0 AS x0, (i // 12) * 30.0 AS y0 FROM x), b AS (SELECT page, i, (i % 12) * 60.0 + (i % 5) * 9.0 AS x0, (i // 12) * 30.0 + (i % 3) * 4.0 AS y0 FROM x),
+j AS (SELECT a.page, a.i AS a_idx, b.i AS b_idx, least(a.x0, b.x0) + 50 - greatest(a.x0, b.x0) AS w, least(a.y0, b.y0) + 20 - greatest(a.y0, b.y0) AS h FROM a JOIN b ON a.page = b.page AND abs(a.x0 - b.x0) < 50 AND abs(a.y0 - b.y0) < 20),
+s AS (SELECT page, a_idx, b_idx, w * h / (2000 - w * h) AS iou FROM j), f AS (SELECT * FROM s WHERE iou >= 0.2),
+r AS (SELECT *, row_number() OVER (PARTITION BY page, a_idx ORDER BY iou DESC, b_idx) AS ra, row_number() OVER (PARTITION BY page, b_idx ORDER BY iou DESC, a_idx) AS rb FROM f)
+SELECT page, CAST(a_idx AS INT) AS a_idx, CAST(b_idx AS INT) AS b_idx, round(iou, 6) AS iou FROM r WHERE ra = 1 AND rb = 1""")
+def boxes_mutual_best(spark, d):
+    t = _once(spark, d, "ocr_pages", "ocr_id", "word_confidences").where("word_confidences is not null")
+    i = t.select(F.col("ocr_id").alias("page"), F.posexplode("word_confidences").alias("idx", "w"))
+    x, y = (F.col("idx") % 12) * 60.0, F.floor(F.col("idx") / 12) * 30.0
+    a = i.select("page", F.lit("a").alias("side"), "idx", x.alias("x0"), y.alias("y0"))
+    b = i.select("page", F.lit("b").alias("side"), "idx", (x + (F.col("idx") % 5) * 9.0).alias("x0"), (y + (F.col("idx") % 3) * 4.0).alias("y0"))
+    boxes = a.unionByName(b).select("*", (F.col("x0") + 50).alias("x1"), (F.col("y0") + 20).alias("y1"))
+    return learn.mutual_best(boxes, least=0.2).select("page", "a_idx", "b_idx", F.round("iou", 6).alias("iou"))
+
+
+def _noisy(spark, d):
+    """Word pairs with a known truth: Sinhala list words, some with a letter changed by a rule of the confusion table."""
+    w = _si_words(spark, d).where("length(word) >= 3").select("word", "freq")
+    noisy = F.when(F.pmod(F.xxhash64("word"), F.lit(3)) == 0, F.translate("word", "වතන", "චනත")).otherwise(F.col("word"))
+    return w.select(noisy.alias("word"), F.col("word").alias("truth"), F.pmod(F.xxhash64("word"), F.lit(100)).cast("double").alias("conf"), "freq")
+
+
+@_query()
+def learned_rules(spark, d):
+    return learn.learn_rules(_noisy(spark, d))
+
+
+@_query()
+def grid_search(spark, d):
+    p = _noisy(spark, d)
+    lex = p.where("freq >= 10").select(F.col("truth").alias("word"), "freq")
+    return learn.simulate(p, lex, correct.sinhala_rules(spark), learn.grid(spark))
+
+
+@_query()
+def grid_best(spark, d):
+    return learn.best_by_gate(grid_search(spark, d))
+
+
+@_query()
+def code_alignment(spark, d):
+    """Codes learned back from words typed with a known table of single codes."""
+    letters = "කගතදනපබමයරලවසහිුාෙ"
+    words = _si_words(spark, d).select(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0)).alias("units"), F.translate("word", letters, "kgtdnpbmyrlvshiuae").alias("codes")).where("length(codes) between 3 and 12 and codes rlike '^[a-z]+$'")
+    return learn.align_codes(words, iterations=4).where("rank = 1").select("code", "unit", "n", F.round("share", 4).alias("share"))
+
+
+# --- files ------------------------------------------------------------------------------------------------------------------------------
+
+
+def _files(spark, d):
+    """Documents as files of five kinds."""
+    kind = F.col("doc_id") % 5
+    text = F.coalesce("text", F.lit(""))
+    content = F.when(kind == 0, F.concat(F.lit("<!DOCTYPE html><html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><p>"), F.regexp_replace(text, "\n\n", "<p>"), F.lit("</body></html>"))).when(kind == 1, F.concat(F.lit("%PDF-1.7\n"), text)).otherwise(text)
+    ext = F.element_at(F.array(F.lit(".htm"), F.lit(".bin"), F.lit(".md"), F.lit(".txt"), F.lit(".docx")), (kind + 1).cast("int"))
+    return _read(spark, d, "documents").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), ext).alias("path"), content.cast("binary").alias("content"))
+
+
+@_query("""WITH f AS (SELECT doc_id, doc_id % 5 AS k, coalesce(text, '') AS text FROM documents) SELECT 'in/' || doc_id || CASE k WHEN 0 THEN '.htm' WHEN 1 THEN '.bin' WHEN 2 THEN '.md' WHEN 3 THEN '.txt' ELSE '.docx' END AS path,
+CASE k WHEN 1 THEN 'pdf' WHEN 4 THEN 'office' WHEN 0 THEN 'html' WHEN 2 THEN 'markdown' ELSE CASE WHEN text = '' OR floor((least(octet_length(encode(text)), 4096) - len(regexp_extract_all(text, '[\\x{0}-\\x{8}\\x{b}\\x{c}\\x{e}-\\x{1f}]'))) * 100 / least(octet_length(encode(text)), 4096)) >= 95 THEN 'text' END END AS format FROM f""")
+def formats_sniffed(spark, d):
+    return _files(spark, d).select("path", files.sniff(F.col("path"), F.col("content")).alias("format"))
+
+
+@_query()
+def files_extracted(spark, d):
+    e = files.extract(_files(spark, d))
+    return e.select("doc", "format", "title", F.array_join("langs", ",").alias("langs"), F.array_join("flags", ",").alias("flags"), F.md5("markdown").alias("digest"))
+
+
+@_query()
+def html_markdown(spark, d):
+    h = _files(spark, d).where("path like '%.htm'").select("path", html.to_markdown(files.decode(F.col("content"))).alias("h"))
+    return h.select("path", "h.title", F.md5("h.markdown").alias("digest"))
+
+
+@_query("SELECT doc_id, sha256(coalesce(text, '')) AS checksum FROM documents")
+def checksums(spark, d):
+    return _read(spark, d, "documents").select("doc_id", files.checksum(F.coalesce("text", F.lit("")).cast("binary")).alias("checksum"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
