@@ -21,7 +21,9 @@ class Thresholds:
     max_replacement: float = 0.01
 
 
+#: A word with Sinhala or Tamil letters. The second form, for Java, tries word starts only, so that long runs stay linear.
 INDIC_WORD = f"[^{chars.WS}{chars.INDIC}]*[{chars.INDIC}][^{chars.WS}]*"
+_INDIC_WORD_ONCE = f"(?<![^{chars.WS}])[^{chars.WS}{chars.INDIC}]*+[{chars.INDIC}][^{chars.WS}]*+"
 WEIRD = "[A-Za-z][" + "".join("\\" + c for c in INNER_SYMBOLS) + "][A-Za-z]|[\\x{a1}-\\x{ff}]"
 
 
@@ -30,14 +32,14 @@ def _float(c: Column | float) -> Column:
 
 
 def indic_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(INDIC_WORD)).cast("bigint")
+    return F.regexp_count(text, F.lit(_INDIC_WORD_ONCE)).cast("bigint")
 
 
 def visual_order_errors(text: Column) -> Column:
-    """Signs whose previous character, joiners aside, isn't a consonant of their script: all signs less those after one."""
-    plain = F.regexp_replace(text, f"[{chars.JOINERS}]", "")
-    count = lambda p: F.regexp_count(plain, F.lit(p)).cast("bigint")
-    return count(f"[{chars.SI_SIGNS}]") - count(f"[{chars.SI_CONSONANTS}][{chars.SI_SIGNS}]") + count(f"[{chars.TA_SIGNS}]") - count(f"[{chars.TA_CONSONANTS}][{chars.TA_SIGNS}]")
+    """Signs whose previous character, joiners aside, isn't a consonant of their script."""
+    plain = F.regexp_replace(text, f"[{chars.JOINERS}]+", "")
+    count = lambda signs, consonants: F.regexp_count(plain, F.lit(f"(?<![{consonants}])[{signs}]")).cast("bigint")
+    return count(chars.SI_SIGNS, chars.SI_CONSONANTS) + count(chars.TA_SIGNS, chars.TA_CONSONANTS)
 
 
 def visual_order_ratio(text: Column) -> Column:
@@ -47,9 +49,9 @@ def visual_order_ratio(text: Column) -> Column:
 
 def foreign_ratio(text: Column) -> Column:
     """Share of Sinhala and Tamil words with a character that neither they nor ASCII text have."""
-    words = F.regexp_extract_all(text, F.lit(INDIC_WORD), F.lit(0))
-    bad = F.size(F.filter(words, lambda w: w.rlike(f"[^{chars.ALLOWED}A-Za-z]")))
-    return _float(F.when(F.size(words) <= 0, F.lit(0.0)).otherwise(bad / F.greatest(F.size(words), F.lit(1))))
+    words = indic_words(text)
+    bad = F.regexp_count(text, F.lit(f"(?<![^{chars.WS}])(?=[^{chars.WS}]*[{chars.INDIC}])[^{chars.WS}]*?[^{chars.ALLOWED}A-Za-z{chars.WS}][^{chars.WS}]*"))
+    return _float(F.when(words == 0, F.lit(0.0)).otherwise(bad / F.greatest(words, F.lit(1))))
 
 
 def strip_markup(text: Column) -> Column:
@@ -57,27 +59,34 @@ def strip_markup(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, "<[^>]*(?:>|$)", ""), "*_#", "   ")
 
 
-def latin_tokens(text: Column) -> Column:
-    words = F.regexp_extract_all(strip_markup(text), F.lit(f"[^{chars.WS}]+"), F.lit(0))
-    return F.filter(words, lambda w: w.rlike("[A-Za-z][^A-Za-z]*[A-Za-z]"))
+#: A token's first two letters and its rest; a function word with anything but letters between and around its letters;
+#: a token with a symbol between letters or an upper Latin-1 character, if it has two letters.
+_BETWEEN = f"[^{chars.WS}A-Za-z]*"
+_LATIN_TOKEN = f"[A-Za-z]{_BETWEEN}[A-Za-z][^{chars.WS}]*+"
+_FUNCTION_TOKEN = f"(?i)(?<![^{chars.WS}]){_BETWEEN}(?:" + "|".join(_BETWEEN.join(w) for w in FUNCTION_WORDS if len(w) > 1) + f"){_BETWEEN}(?![^{chars.WS}])"
+_WEIRD_TOKEN = f"(?<![^{chars.WS}])(?=[^{chars.WS}A-Za-z]*[A-Za-z]{_BETWEEN}[A-Za-z])[^{chars.WS}]*?(?:{WEIRD})[^{chars.WS}]*"
 
 
 def latin_gibberish_score(text: Column) -> Column:
     """0 for plausible English to 1 for legacy-font text, in 32-bit steps; 0 below 30 tokens."""
-    tokens = latin_tokens(text)
-    n = F.greatest(F.size(tokens), F.lit(1))
-    function = _float(F.size(F.filter(tokens, lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z]", "")).isin(*FUNCTION_WORDS))) / n)
-    weird = _float(F.size(F.filter(tokens, lambda w: w.rlike(WEIRD))) / n)
+    return _gibberish(strip_markup(text))
+
+
+def _gibberish(plain: Column) -> Column:
+    count = lambda p: F.regexp_count(plain, F.lit(p))
+    tokens = count(_LATIN_TOKEN)
+    n = F.greatest(tokens, F.lit(1))
     unit = lambda c: F.greatest(F.least(c, _float(1.0)), _float(0.0))
-    lack = unit(_float(_float(1.0) - _float(function / _float(0.15))))
-    return F.when(F.size(tokens) < 30, _float(0.0)).otherwise(_float(lack * unit(_float(weird / _float(0.15)))))
+    lack = unit(_float(_float(1.0) - _float(_float(count(_FUNCTION_TOKEN) / n) / _float(0.15))))
+    symbols = unit(_float(_float(count(_WEIRD_TOKEN) / n) / _float(0.15)))
+    return F.when(tokens < 30, _float(0.0)).otherwise(_float(lack * symbols))
 
 
 def replacement_share(text: Column) -> Column:
     return _float(F.regexp_count(text, F.lit("\\x{fffd}")) / F.greatest(F.length(text), F.lit(1)))
 
 
-def _reasons(m: Column, expected: Column | None, t: Thresholds) -> Column:
+def _reasons(m: dict[str, Column], expected: Column | None, t: Thresholds) -> Column:
     counts = m["letters"]
     wrong = F.lit(False)
     if expected is not None:
@@ -94,29 +103,36 @@ def _reasons(m: Column, expected: Column | None, t: Thresholds) -> Column:
     )
 
 
-def once(df: DataFrame, name: str, column: Column) -> DataFrame:
-    """Add ``column``, computed exactly once a row: a one-row generator keeps the optimizer from copying it into every use."""
-    return df.select("*", F.explode(F.array(column)).alias(name))
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns, each computed exactly once a row: a one-row generator keeps the optimizer from copying them into every use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def assessed(df: DataFrame, text: str, name: str = "h", expected: Column | None = None, t: Thresholds = Thresholds()) -> DataFrame:
-    """Add struct ``name`` of letters, measures, ``verdict`` (healthy, empty, broken) and ``reasons`` in a fixed order."""
-    c, m = f"_{name}_c", f"_{name}_m"
+def assessed(df: DataFrame, text: str, name: str = "h", expected: Column | None = None, t: Thresholds = Thresholds(), flat_columns: bool = False) -> DataFrame:
+    """Add struct ``name`` of letters, measures, ``verdict`` (healthy, empty, broken) and ``reasons`` in a fixed order.
+
+    ``flat_columns``: columns ``name_...`` instead; further generators must not read struct fields from below them.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    d = once(df, c, script.script_counts(body))
-    indic = F.col(c)["si"] + F.col(c)["ta"]
-    measures = F.struct(
-        F.col(c).alias("letters"),
-        F.when(indic >= 50, visual_order_ratio(body)).otherwise(_float(0.0)).alias("visual_order"),
-        F.when(indic >= 50, foreign_ratio(body)).otherwise(_float(0.0)).alias("foreign"),
-        F.when(F.col(c)["latin"] >= 100, latin_gibberish_score(body)).otherwise(_float(0.0)).alias("latin_gibberish"),
-        replacement_share(body).alias("replacement"),
-    )
-    d = once(d, m, measures)
-    d = once(d, f"{m}r", _reasons(F.col(m), expected, t))
-    verdict = F.when(F.size(f"{m}r") > 0, "broken").when(script.letters(F.col(m)["letters"]) < t.min_letters, "empty").otherwise("healthy")
-    fields = [F.col(m)[x].alias(x) for x in ("letters", "visual_order", "foreign", "latin_gibberish", "replacement")]
-    return d.withColumn(name, F.struct(*fields, verdict.alias("verdict"), F.col(f"{m}r").alias("reasons"))).drop(c, m, f"{m}r")
+    counts = [f"_{name}_{x}" for x in ("si", "ta", "latin")]
+    names = ("visual_order", "foreign", "latin_gibberish", "replacement")
+    flat = [f"_{name}_{x}" for x in names]
+    d = once(df, **dict(zip(counts, (script.count_of(body, m) for m in (chars.SI, chars.TA, chars.LATIN)))))
+    bare = f"_{name}_bare"
+    d = once(d, **{bare: F.when(F.col(counts[2]) >= 100, strip_markup(body))})
+    indic, latin = F.col(counts[0]) + F.col(counts[1]), F.col(counts[2])
+    gated = lambda test, c: F.when(test, c).otherwise(_float(0.0))
+    measures = (gated(indic >= 50, visual_order_ratio(body)), gated(indic >= 50, foreign_ratio(body)), gated(latin >= 100, _gibberish(F.col(bare))), replacement_share(body))
+    d = once(d, **dict(zip(flat, measures)))
+    letters = F.struct(*[F.col(c).alias(x) for c, x in zip(counts, ("si", "ta", "latin"))])
+    m = {"letters": letters} | {n: F.col(c) for n, c in zip(names, flat)}
+    d = once(d, **{f"_{name}_reasons": _reasons(m, expected, t)})
+    reasons = F.col(f"_{name}_reasons")
+    verdict = F.when(F.size(reasons) > 0, "broken").when(indic + latin < t.min_letters, "empty").otherwise("healthy")
+    if flat_columns:
+        rename = dict(zip([*counts, *flat, f"_{name}_reasons"], [f"{name}_{x}" for x in ("si", "ta", "latin", *names, "reasons")]))
+        return d.withColumn(f"{name}_verdict", verdict).drop(bare).withColumnsRenamed(rename)
+    return d.withColumn(name, F.struct(letters.alias("letters"), *[F.col(c).alias(n) for n, c in zip(names, flat)], verdict.alias("verdict"), reasons.alias("reasons"))).drop(*counts, *flat, bare, f"_{name}_reasons")
 
 
 def script_hint(h: Column) -> Column:

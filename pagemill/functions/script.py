@@ -17,7 +17,8 @@ SPELLINGS = {"si": "si sin sinhala", "ta": "ta tam tamil", "en": "en eng english
 
 
 def count_of(text: Column, members: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(f"[{members}]")), F.lit(0)).cast("bigint")
+    """Characters of a class: what is gone when its runs are removed, which takes far fewer matches than counting them."""
+    return F.coalesce(F.length(text) - F.length(F.regexp_replace(text, f"[{members}]+", "")), F.lit(0)).cast("bigint")
 
 
 def script_counts(text: Column) -> Column:

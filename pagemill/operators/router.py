@@ -51,57 +51,63 @@ def _blank(c: Column) -> Column:
 def plan(pages: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Adds ``plan`` (text, ocr, empty), ``method``, ``markdown``, ``moved``, ``flags`` and ``ocr_langs``."""
     first_font = F.get(F.filter(F.transform(F.coalesce("fonts", F.expr("cast(array() as array<string>)")), fonts.legacy_font), lambda x: x.isNotNull()), 0)
-    expected = F.lit(cfg.langs[0]) if cfg.langs else F.col("legacy.lang")
-    d = pages.withColumn("md", normalize.normalize(F.coalesce("raw_md", F.lit(""))))
-    d = health.assessed(health.once(d.drop("legacy"), "legacy", first_font), "md", "h", expected)
-    latin = script.share(F.col("h.letters"), "latin") > F.lit(0.5).cast("float")
+    expected = F.lit(cfg.langs[0]) if cfg.langs else F.col("font_lang")
+    w = F.col("legacy_words")
+    parts = [w[x].alias(f"w_{x}") for x in ("legacy", "other", "mixed", "text", "legacy_chars", "other_chars")]
+    d = pages.select("doc", "page", "raw_md", "needs_ocr", "reason", "fonts", w.isNotNull().alias("has_words"), *parts, normalize.normalize(F.coalesce("raw_md", F.lit(""))).alias("md"))
+    d = health.once(d, font_family=first_font["family"], font_lang=first_font["lang"])
+    d = health.assessed(d, "md", "h", expected, flat_columns=True)
+    letters = F.struct(F.col("h_si").alias("si"), F.col("h_ta").alias("ta"), F.col("h_latin").alias("latin"))
+    latin = script.share(letters, "latin") > F.lit(0.5).cast("float")
     if cfg.legacy_convert and cfg.ocr != "always":
-        convertible = F.coalesce((F.col("legacy.family") == "fm-abhaya") & (latin | _blank(F.col("md"))), F.lit(False))
-        stand_in = _blank(F.col("raw_md")) & ~_blank(F.col("legacy_words.text"))
-        source = F.when(convertible, F.when(stand_in, F.col("legacy_words.text")).otherwise(F.col("raw_md")))
-        w = F.col("legacy_words")
-        d = d.withColumn("stand_in", convertible & stand_in).withColumn("conv", legacy.convert_page(source, w["legacy"], w["other"], w["mixed"], w["legacy_chars"], w["other_chars"]))
-        d = health.assessed(d.withColumn("conv_text", F.col("conv.text")), "conv_text", "conv_h", F.lit("si")).withColumn("tried", convertible)
+        convertible = F.coalesce((F.col("font_family") == "fm-abhaya") & (latin | _blank(F.col("md"))), F.lit(False))
+        stand_in = convertible & _blank(F.col("raw_md")) & ~_blank(F.col("w_text"))
+        source = F.when(convertible, F.when(stand_in, F.col("w_text")).otherwise(F.col("raw_md")))
+        d = d.withColumn("tried", convertible).withColumn("stand_in", stand_in).withColumn("conv", legacy.convert_page(source, *[F.col(f"w_{x}") for x in ("legacy", "other", "mixed", "legacy_chars", "other_chars")]))
+        d = d.withColumn("conv_text", F.col("conv.text")).withColumn("unmatched", F.coalesce("conv.unmatched", F.lit(0))).drop("conv", *[f"w_{x}" for x in ("legacy", "other", "mixed", "text", "legacy_chars", "other_chars")])
+        d = health.assessed(d, "conv_text", "c", F.lit("si"), flat_columns=True)
     else:
-        d = d.withColumn("stand_in", F.lit(False)).withColumn("conv", F.lit(None).cast("struct<text:string,converted:int,kept:int,unmatched:int>")).withColumn("conv_h", F.struct(F.lit("broken").alias("verdict"), F.expr("cast(array() as array<string>)").alias("reasons"))).withColumn("tried", F.lit(False))
-    only_visual = F.coalesce((F.col("h.verdict") == "broken") & (F.array_join("h.reasons", "+") == "visual_order"), F.lit(False)) & F.lit(cfg.repair)
-    d = d.withColumn("fix", normalize.repair_visual_order(F.when(only_visual, F.col("md"))))
-    d = health.assessed(d.withColumn("fix_text", F.col("fix.text")), "fix_text", "fix_h", expected).withColumn("fixed", only_visual & (F.col("fix_h.verdict") == "healthy"))
+        none = F.expr("cast(array() as array<string>)")
+        d = d.withColumns({"tried": F.lit(False), "stand_in": F.lit(False), "conv_text": F.lit(None).cast("string"), "unmatched": F.lit(0), "c_verdict": F.lit("broken"), "c_reasons": none})
+    only_visual = F.coalesce((F.col("h_verdict") == "broken") & (F.array_join("h_reasons", "+") == "visual_order"), F.lit(False)) & F.lit(cfg.repair)
+    d = d.withColumn("only_visual", only_visual).withColumn("fix", normalize.repair_visual_order(F.when(only_visual, F.col("md"))))
+    d = d.withColumn("fix_text", F.col("fix.text")).withColumn("moved", F.col("fix.moved")).drop("fix")
+    d = health.assessed(d, "fix_text", "f", expected, flat_columns=True).withColumn("fixed", F.col("only_visual") & (F.col("f_verdict") == "healthy"))
 
     needs = F.coalesce("needs_ocr", F.lit(False))
-    converted = F.col("tried") & (F.col("conv_h.verdict") == "healthy")
-    is_legacy = F.coalesce(F.col("legacy").isNotNull() & latin, F.lit(False))
-    broken = F.col("h.verdict") == "broken"
+    converted = F.col("tried") & (F.col("c_verdict") == "healthy")
+    is_legacy = F.coalesce(F.col("font_family").isNotNull() & latin, F.lit(False))
+    broken = F.col("h_verdict") == "broken"
     step = (
         F.when(F.lit(cfg.ocr == "always"), "forced").when(converted, "converted").when(needs, "inspector").when(is_legacy, "legacy").when(broken & F.col("fixed"), "repaired").when(broken, "broken")
-        .when((F.col("h.verdict") == "empty") & _blank(F.col("md")), "empty").otherwise("layer")
+        .when((F.col("h_verdict") == "empty") & _blank(F.col("md")), "empty").otherwise("layer")
     )
-    d = health.once(d, "step", step)
+    d = health.once(d, step=step)
     some = lambda test: F.coalesce(F.exists("fonts", test), F.lit(False))
     on = lambda *names: F.col("step").isin(*names)
-    unmatched = F.coalesce(F.col("conv.unmatched"), F.lit(0))
+    unmatched = F.col("unmatched")
     flags = F.array_compact(
         F.array(
             F.when(some(fonts.is_prior_ocr), "prior_ocr_layer"),
             F.when(some(fonts.is_unnamed_truetype), "type3_truetype_fonts"),
             F.when(on("forced"), "ocr_forced"),
             F.when(F.col("stand_in"), "legacy_text_source:pdfium"),
-            F.when(on("converted"), F.concat(F.lit("legacy_converted:"), "legacy.family")),
-            F.when(on("converted") & F.col("legacy_words").isNull(), "legacy_convert:no_font_info"),
+            F.when(on("converted"), F.concat(F.lit("legacy_converted:"), "font_family")),
+            F.when(on("converted") & ~F.col("has_words"), "legacy_convert:no_font_info"),
             F.when(on("converted") & (unmatched > 0), F.concat(F.lit("legacy_unmatched_tokens:"), unmatched.cast("string"))),
-            F.when(F.col("tried") & ~on("converted", "forced"), F.concat(F.lit("legacy_convert_failed:"), F.array_join("conv_h.reasons", "+"))),
+            F.when(F.col("tried") & ~on("converted", "forced"), F.concat(F.lit("legacy_convert_failed:"), F.array_join("c_reasons", "+"))),
             F.when(on("inspector"), F.concat(F.lit("inspector:"), F.coalesce("reason", F.lit("unreliable_text")))),
-            F.when(on("legacy"), F.concat(F.lit("legacy_font:"), "legacy.family")),
+            F.when(on("legacy"), F.concat(F.lit("legacy_font:"), "font_family")),
             F.when(on("repaired"), "visual_order_repaired"),
-            F.when(on("broken"), F.concat(F.lit("text_layer:"), F.array_join("h.reasons", "+"))),
+            F.when(on("broken"), F.concat(F.lit("text_layer:"), F.array_join("h_reasons", "+"))),
         )
     )
     return d.select(
         "doc", "page", "raw_md", "md",
         F.when(on("empty"), "empty").when(on("converted", "repaired", "layer"), "text").otherwise("ocr").alias("plan"),
         F.when(on("converted"), "legacy_converted").when(on("repaired"), "text_layer_repaired").when(on("layer"), "text_layer").when(on("empty"), "empty").alias("method"),
-        F.when(on("converted"), F.col("conv.text")).when(on("repaired"), F.col("fix.text")).when(on("layer"), F.col("md")).alias("markdown"),
-        F.when(on("repaired"), F.col("fix.moved")).alias("moved"),
+        F.when(on("converted"), F.col("conv_text")).when(on("repaired"), F.col("fix_text")).when(on("layer"), F.col("md")).alias("markdown"),
+        F.when(on("repaired"), F.col("moved")).alias("moved"),
         flags.alias("flags"),
         F.when(on("forced", "inspector", "legacy", "broken"), _ocr_langs(cfg)).alias("ocr_langs"),
     )
@@ -112,10 +118,10 @@ def _ocr_langs(cfg: Config) -> Column:
     if cfg.langs:
         return F.array(*map(F.lit, cfg.langs))
     none = F.expr("cast(array() as array<string>)")
-    of_font = F.array_compact(F.array(F.col("legacy.lang"), F.when(fonts.has_latin(F.col("fonts")), "en")))
-    n = F.col("h.letters")
+    of_font = F.array_compact(F.array(F.col("font_lang"), F.when(fonts.has_latin(F.col("fonts")), "en")))
+    n = F.struct(F.col("h_si").alias("si"), F.col("h_ta").alias("ta"), F.col("h_latin").alias("latin"))
     seen = F.filter(script.languages(n, 0.03, 50), lambda x: F.when(x == "si", n["si"]).when(x == "ta", n["ta"]).otherwise(n["latin"]) >= 30)
-    return F.when(F.col("legacy").isNotNull(), of_font).when(F.col("h.latin_gibberish") < F.lit(0.5).cast("float"), seen).otherwise(none)
+    return F.when(F.col("font_family").isNotNull(), of_font).when(F.col("h_latin_gibberish") < F.lit(0.5).cast("float"), seen).otherwise(none)
 
 
 def verify(plans: DataFrame, ocr: DataFrame) -> DataFrame:

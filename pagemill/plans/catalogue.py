@@ -432,18 +432,18 @@ def _pdf_pages(spark, d):
     """Pages with a text layer and what is known of their fonts, as the router's input relation."""
     p = _pages(spark, d, "doc", "page_number", "markdown", F.col("method.kind").alias("kind")).where("kind in ('text_layer', 'text_layer_repaired', 'legacy_converted', 'ocr', 'empty')")
     w = _once(spark, d, "font_words", "page_id", "fonts", F.struct("legacy", "other", "mixed", "text", "legacy_chars", "other_chars").alias("legacy_words"))
-    return p.join(w, "page_id", "left").select("doc", F.struct("page_number", "page_id").alias("page"), F.col("markdown").alias("raw_md"), (F.col("kind") == "ocr").alias("needs_ocr"), F.when(F.col("kind") == "ocr", "scanned").alias("reason"), "fonts", "legacy_words")
+    return p.join(w, "page_id", "left").select("doc", F.col("page_id").alias("page"), F.col("markdown").alias("raw_md"), (F.col("kind") == "ocr").alias("needs_ocr"), F.when(F.col("kind") == "ocr", "scanned").alias("reason"), "fonts", "legacy_words")
 
 
 def _recognised(spark, d):
     o = _once(spark, d, "ocr_pages", "page_id", "text", "confidence")
-    return _pages(spark, d, "doc", "page_number").join(o, "page_id").select("doc", F.struct("page_number", "page_id").alias("page"), "text", "confidence")
+    return _pages(spark, d, "doc", "page_number").join(o, "page_id").select("doc", F.col("page_id").alias("page"), "text", "confidence")
 
 
 @_query()
 def router_plan(spark, d):
     p = router.plan(_pdf_pages(spark, d))
-    return p.select("page.page_id", "plan", "method", F.array_join("flags", ",").alias("flags"), F.array_join("ocr_langs", "+").alias("ocr_langs"))
+    return p.select(F.col("page").alias("page_id"), "plan", "method", F.array_join("flags", ",").alias("flags"), F.array_join("ocr_langs", "+").alias("ocr_langs"))
 
 
 @_query()
@@ -451,7 +451,7 @@ def router_pages(spark, d):
     """Planned, verified against recognition, and assembled pages."""
     read = _recognised(spark, d)
     p = router.assemble(router.verify(router.plan(_pdf_pages(spark, d)), read), read)
-    return p.select("page.page_id", "label", F.array_join("flags", ",").alias("flags"), F.array_join("langs", ",").alias("langs"), F.length("markdown").alias("chars"))
+    return p.select(F.col("page").alias("page_id"), "label", F.array_join("flags", ",").alias("flags"), F.array_join("langs", ",").alias("langs"), F.length("markdown").alias("chars"))
 
 
 # --- evaluation and learning -----------------------------------------------------------------------------------------------------------
