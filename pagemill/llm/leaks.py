@@ -129,6 +129,7 @@ def align(item: list[int], doc: np.ndarray) -> tuple[int, int]:
         raised = steps * tie
         raised[1:] += s
         score = np.maximum.accumulate(raised) - steps * tie  # gaps along the document
+        score[score < tie] = 0
         run[1:] = (run[:-1] + 1) * equal
         best = max(best, int(score.max()))
         longest = max(longest, int(run.max()))
