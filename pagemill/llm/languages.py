@@ -34,8 +34,8 @@ _ENDED = re.compile(r"[.!?।。！？…][”\"»’'）\)\]“」』�]*$|[
 _STRIP = re.compile(r"[\d\W_]+")
 
 
-def _ngrams(codes: np.ndarray, unit: np.ndarray, breaks: np.ndarray) -> np.ndarray:
-    """Keys unit << BITS | hash of the 1-, 2- and 3-grams that don't cross a unit's end."""
+def _ngrams(codes: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Keys unit << BITS | hash of the 2- and 3-grams that don't cross a unit's end; each unit starts and ends with a space."""
     keys = []
     c = codes.astype(np.uint32)
     h = np.zeros(len(c), np.uint32)
@@ -43,8 +43,11 @@ def _ngrams(codes: np.ndarray, unit: np.ndarray, breaks: np.ndarray) -> np.ndarr
         size = len(c) - n + 1
         if size <= 0:
             break
+        if n == 1:
+            h = c * np.uint32(0x9E3779B1)
+            continue
         h = (h[:size] * np.uint32(0x01000193)) ^ (c[n - 1 :] * np.uint32(0x9E3779B1))
-        ok = ~breaks[:size] if n == 1 else (unit[:size] == unit[n - 1 :]) & ~breaks[:size] & ~breaks[n - 1 :]
+        ok = unit[:size] == unit[n - 1 :]
         mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(n)
         keys.append((unit[:size].astype(np.uint32) << np.uint32(BITS) | (mixed >> np.uint32(32 - BITS)))[ok])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint32)
@@ -56,7 +59,7 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, prepared), np.int64, len(prepared))
     codes = np.frombuffer("".join(prepared).encode("utf-32-le"), np.uint32)
     unit = np.repeat(np.arange(len(prepared)), sizes)
-    keys = np.sort(_ngrams(codes, unit, np.zeros(len(codes), bool)))
+    keys = np.sort(_ngrams(codes, unit))
     if not len(keys):
         return (np.zeros(0, np.int64),) * 3
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -152,7 +155,9 @@ def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int = 7)
 
 #: Letters by script, for units in which a lost end mark joined sentences of two scripts.
 _RUNS = re.compile("|".join(f"[{x}][^\\W{''.join(y for y in ('A-Za-zÀ-ɏ', '඀-෿', '஀-௿', 'ऀ-ॿ', '฀-๿', '぀-ヿ一-鿿') if y != x)}]*(?:[\\W\\d]+[{x}]+)*" for x in ("A-Za-zÀ-ɏ", "඀-෿", "஀-௿", "ऀ-ॿ", "฀-๿", "぀-ヿ一-鿿")))
+_FOUR_LETTERS = re.compile(r"[^\W\d_](?:[\W\d_]*[^\W\d_]){3}")
 _SCRIPTS = [re.compile(f"[{x}]") for x in ("A-Za-zÀ-ɏ", "඀-෿", "஀-௿", "ऀ-ॿ", "฀-๿", "぀-ヿ一-鿿")]
+_OTHERS = [re.compile("[" + "".join(s.pattern[1:-1] for s in _SCRIPTS if s is not own) + "]") for own in _SCRIPTS]
 _DISGUISED = re.compile("[Ͱ-ӿ！-～]")
 MIXED_LETTERS, MIXED_WORDS = 20, 3
 
@@ -161,7 +166,8 @@ def _by_script(start: int, end: int, text: str):
     """The unit, or its long one-script runs if it has at least two of them; a single foreign name isn't one."""
     if _DISGUISED.search(text):
         text = rewriter(FOLD)(text)
-    if sum(bool(s.search(text)) for s in _SCRIPTS) > 1:
+    own = next((k for k, s in enumerate(_SCRIPTS) if s.search(text)), None)
+    if own is not None and _OTHERS[own].search(text):
         long = [r for r in _RUNS.findall(text) if sum(map(str.isalpha, r)) >= MIXED_LETTERS and (len(r.split()) >= MIXED_WORDS or r[0] >= "ก")]
         if len(long) > 1:
             yield from ((start, end, r) for r in long)
@@ -177,7 +183,7 @@ def readable_units(text: str | None, scanned: bool) -> list[tuple[int, int, str]
         lines = text.split("\n")
         gone, _ = furniture(lines)
         text = "\n".join(" " * len(x) if k in gone else x for k, x in enumerate(lines))
-    return [x for s, e, k, t in units(text) for x in _by_script(s, e, t) if (k == "item" or (k == "sentence" and _ENDED.search(t))) and sum(map(str.isalpha, t)) >= 4]
+    return [x for s, e, k, t in units(text) for x in _by_script(s, e, t) if (k == "item" or (k == "sentence" and _ENDED.search(t))) and _FOUR_LETTERS.search(t)]
 
 
 def learn(pages: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:

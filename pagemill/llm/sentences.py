@@ -49,9 +49,12 @@ THAI = "฀-๿"
 _OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』"}
 _QUOTE = re.compile(r"[“”„«»「」『』]")
 _LOST_QUOTE = re.compile(r"(?<=\s)�(?=\w)|(?<=[.?!])�")
-_EDGE = re.compile(
-    rf"(?P<dot>[.!?।…]+)(?P<close>[”\"»’'）\)\]“�]*)(?=\s|$)|(?P<wide>[。！？]+|[!?]+(?=[{CJK}“「]))(?P<wclose>[”」』’）\)]*)|(?<=[{THAI}])(?P<gap>\s+)(?=[^\W\d]|\d[\d.,]*\s+[^\W\d{THAI}])"
-)
+_WIDE = "。！？"
+#: A terminator with the marks that close over it, and what lets it be an edge; one leading class keeps the search fast.
+_EDGE = re.compile(rf"([.!?।…{_WIDE}]+)([”\"»’'）\)\]“�」』]*)(?:(?=\s|$)|(?=[{CJK}“「])|(?<=[{_WIDE}”」』’）\)]))")
+_THAI_LETTER = re.compile(f"[{THAI}]")
+_GAP = re.compile(rf"(?<=[{THAI}])\s+(?=[^\W\d]|\d[\d.,]*\s+[^\W\d{THAI}])")
+_CJK_NEXT = re.compile(f"[{CJK}“「]")
 _LINE = re.compile(r"[^\n]*\n?")
 _HEADING = re.compile(r"[ \t]*#{1,6}[ \t]+")
 _ITEM = re.compile(r"[ \t]*(?:[-*•+–][ \t]+|\d{1,3}[.)][ \t]+|\([A-Za-z0-9]{1,3}\)[ \t]*|[a-z]\)[ \t]+)")
@@ -105,28 +108,33 @@ def _quoted(text: str, lost: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _ends_at(text: str, m: re.Match, inside: bool) -> bool:
-    """Whether the lattice edge ``m`` is taken; ``inside``: its terminator lies in a quotation that ends with the edge."""
-    after = text[m.end() :].lstrip()
+def _gap_ends(text: str, m: re.Match) -> bool:
+    """Whether a gap after a Thai letter ends a sentence."""
+    after = re.sub(r"^[\d.,]+\s+", "", text[m.end() :])
+    if not "฀" <= after[:1] <= "๿":
+        word = re.match(rf"[^\s{THAI}]+\s*", after)  # a single foreign name doesn't end a Thai sentence
+        return not (word and re.match(f"[{THAI}]", after[word.end() :]))
+    left = re.search(f"[{THAI}]+$", text[max(0, m.start() - 24) : m.start()])
+    right = re.match(f"[{THAI}]+", after[:24])
+    return _thai_edges(left[0])[1] not in THAI_OPEN_ENDED and _thai_edges(right[0])[0] not in THAI_CONTINUING
+
+
+def _mark_ends(text: str, m: re.Match, inside: bool) -> bool:
+    """Whether the terminator ``m`` ends a sentence; ``inside``: it lies in a quotation that ends with it."""
+    mark, end = m[1], m.end()
+    wide = mark[-1] in _WIDE or (mark[-1] in "!?" and _CJK_NEXT.match(text, end))
+    if not wide and end < len(text) and not text[end].isspace():
+        return False
+    after = text[end:].lstrip()
     if not after:
         return True
-    nxt = after.lstrip("“„«\"'‘([「")[:1]
-    if m["gap"] is not None:
-        after = re.sub(r"^[\d.,]+\s+", "", after)
-        nxt = after[:1]
-        if not "฀" <= nxt <= "๿":
-            word = re.match(rf"[^\s{THAI}]+\s*", after)  # a single foreign name doesn't end a Thai sentence
-            return not (word and re.match(f"[{THAI}]", after[word.end() :]))
-        left = re.search(f"[{THAI}]+$", text[max(0, m.start() - 24) : m.start()])
-        right = re.match(f"[{THAI}]+", after[:24])
-        return _thai_edges(left[0])[1] not in THAI_OPEN_ENDED and _thai_edges(right[0])[0] not in THAI_CONTINUING
-    if m["wide"] is not None:
+    nxt = after[:4].lstrip("“„«\"'‘([「")[:1]
+    if wide:
         return not inside or nxt.isupper()
     if nxt.islower():
         return False
     if inside:
         return nxt.isupper()
-    mark = m["dot"]
     if mark != ".":
         return True
     begin = max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
@@ -143,21 +151,25 @@ def _ends_at(text: str, m: re.Match, inside: bool) -> bool:
         return False
     if _TAMIL_LETTER.fullmatch(tail):
         return False
-    return not (tail.isdigit() and len(tail) <= 2 and re.match(r"[^\W\d]+", after) and re.match(r"[^\W\d]+", after)[0] in GERMAN_MONTHS)
+    return not (tail.isdigit() and len(tail) <= 2 and (month := re.match(r"[^\W\d]+", after)) and month[0] in GERMAN_MONTHS)
 
 
 def _prose(text: str, lost: bool):
     """(start, end) of the sentences of a paragraph."""
-    quotes = _quoted(text, lost) if _QUOTE.search(text) or lost else []
+    quotes = _quoted(text, lost) if lost or _QUOTE.search(text) else []
+    edges = _EDGE.finditer(text)
+    if _THAI_LETTER.search(text):
+        edges = sorted([*edges, *_GAP.finditer(text)], key=lambda m: m.start())
     at, q = 0, 0
-    for m in _EDGE.finditer(text):
+    for m in edges:
         while q < len(quotes) and quotes[q][1] <= m.start():
             q += 1
         held = q < len(quotes) and quotes[q][0] <= m.start() < quotes[q][1]
         if held and m.end() < quotes[q][1]:
             continue
-        if _ends_at(text, m, held):
-            yield at, (m.start() if m["gap"] is not None else m.end())
+        gap = not m.re.groups
+        if _gap_ends(text, m) if gap else _mark_ends(text, m, held):
+            yield at, (m.start() if gap else m.end())
             at = m.end()
     if at < len(text):
         yield at, len(text)
