@@ -23,7 +23,7 @@ from .common import map_batches
 
 # Usual misreadings of scanned letters, as read and as printed, by script.
 MISREADINGS = {
-    "latin": [("c", "e"), ("l", "i"), ("1", "l"), ("5", "s"), ("0", "o"), ("f", "t"), ("n", "u"), ("u", "n"), ("b", "h"), ("cl", "d"), ("d", "cl"), ("rn", "m"), ("m", "rn"), ("q", "g"), ("vv", "w"), ("ii", "ü"), ("ê", "é"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("è", "é"), ("e", "é"), ("B", "ß"), ("i", "l"), ("I", "l"), ("l", "I"), ("8", "B"), ("O", "0")],
+    "latin": [("c", "e"), ("l", "i"), ("1", "l"), ("5", "s"), ("0", "o"), ("f", "t"), ("n", "u"), ("u", "n"), ("b", "h"), ("cl", "d"), ("d", "cl"), ("rn", "m"), ("m", "rn"), ("q", "g"), ("vv", "w"), ("ii", "ü"), ("ê", "é"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("è", "é"), ("e", "é"), ("B", "ß"), ("b", "ß"), ("i", "l"), ("I", "l"), ("l", "I"), ("8", "B"), ("O", "0")],
     "ta": [("ந", "த"), ("சு", "க"), ("ீ", "ி"), ("ா", "ர"), ("ய", "ப"), ("ன", "ை"), ("ழ", "ம"), ("வ", "ல"), ("ள", "ன"), ("ன", "ள")],
     "si": [("ශ", "ය"), ("ෘ", "ා"), ("ී", "ි"), ("ච", "ව"), ("ස", "ප"), ("ථ", "ර"), ("න", "ක"), ("ළ", "ල"), ("හ", "ග"), ("ව", "ම"), ("ූ", "ු"), ("ඳ", "ද")],
 }
@@ -74,9 +74,10 @@ def _script(word: str) -> str | None:
     return next((name for name, p in _SCRIPTS if p.search(word)), None)
 
 
-def _latin(text: str) -> str:
+def _latin(text: str, otherwise: str = "en") -> str:
+    """The language with most stop words in ``text``; ``otherwise`` without any, and of equals."""
     words = [w.strip(_EDGE_PUNCT).lower() for w in text.split()]
-    return max(STOP_WORDS, key=lambda lang: (sum(w in STOP_WORDS[lang] for w in words), lang == "en"))
+    return max(STOP_WORDS, key=lambda lang: (sum(w in STOP_WORDS[lang] for w in words), lang == otherwise))
 
 
 class _PageWords:
@@ -85,11 +86,16 @@ class _PageWords:
     def __init__(self, text: str):
         self.lines = text.split("\n")
         self.furniture, self.rest = furniture(self.lines)
-        latin = _latin(text)
+        whole, latins = _latin(text), {}
+        for block in re.finditer(r"[^\n]+(?:\n(?!\s*(?:\n|$))[^\n]+)*", text):  # a page may hold blocks of other languages
+            own = _latin(block[0], whole)
+            first = text.count("\n", 0, block.start())
+            latins |= dict.fromkeys(range(first, first + block[0].count("\n") + 1), own)
         self.words: list[tuple[str, str, int, int, str]] = []  # language, word, line, length of the part before the break or -1, mark
         tokens = {k: _TOKEN.findall(x) for k, x in enumerate(self.lines) if x.strip() and k not in self.furniture}
         used: set[int] = set()  # lines whose first token ends a word of the line above
         for k, own in tokens.items():
+            latin = latins.get(k, whole)
             for n, t in enumerate(own):
                 if n == 0 and k in used:
                     continue
