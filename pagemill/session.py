@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_checked: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,10 +30,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The cluster's shared folder for checkpoints; ``fallback`` is set only where the session names none (tests)."""
+    """The cluster's shared folder for checkpoints; ``fallback`` is set only where the session names none (tests).
+
+    Spark itself sets the folder of ``spark.checkpoint.dir`` where it knows that name; a folder once set stays.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        spark.sparkContext.setCheckpointDir(shared)
-    elif fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
+    app = spark.sparkContext.applicationId
+    if app not in _checked and spark.sparkContext.getCheckpointDir() is None and (shared or fallback):
+        spark.sparkContext.setCheckpointDir(shared or fallback)
+    _checked.add(app)
     return shared or fallback
