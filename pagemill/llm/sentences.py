@@ -44,7 +44,7 @@ THAI_WORDS = frozenset(
 
 FOLD = representatives({})
 
-CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
+CJK = "぀-ヿ㐀-䶿一-鿿\uf900-\ufaffｦ-ﾟ"
 THAI = "฀-๿"
 _OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』"}
 _QUOTE = re.compile(r"[“”„«»「」『』]")
