@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
-from .lookalike import rewriter
+from .lookalike import folder
 from .scans import furniture
-from .sentences import FOLD, units
+from .sentences import units
 
 BITS = 14
 #: Bound of the training sample: labelled rows per label; and centroids per label.
@@ -165,7 +165,7 @@ MIXED_LETTERS, MIXED_WORDS = 20, 3
 def _by_script(start: int, end: int, text: str):
     """The unit, or its long one-script runs if it has at least two of them; a single foreign name isn't one."""
     if _DISGUISED.search(text):
-        text = rewriter(FOLD)(text)
+        text = folder()(text)
     own = next((k for k, s in enumerate(_SCRIPTS) if s.search(text)), None)
     if own is not None and _OTHERS[own].search(text):
         long = [r for r in _RUNS.findall(text) if sum(map(str.isalpha, r)) >= MIXED_LETTERS and (len(r.split()) >= MIXED_WORDS or r[0] >= "ก")]

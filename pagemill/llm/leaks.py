@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 
 from . import encoding
 from .common import map_batches
-from .lookalike import rewriter
-from .sentences import FOLD
+from .lookalike import folder
 
 #: Characters of a seed, items that may share a rare one, seeds wanted in every run of ``RUN`` words.
 SEED, SHARED, SEEDS_PER_RUN = 12, 3, 2
@@ -43,7 +42,7 @@ def plain(text: str) -> str:
     """Restored, with look-alikes folded, in lower case."""
     if encoding.suspect(text):
         text = encoding.restore(text)[0]
-    return rewriter(FOLD)(text).lower()
+    return folder()(text).lower()
 
 
 def hashes(text: str) -> np.ndarray:

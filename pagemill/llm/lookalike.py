@@ -149,6 +149,12 @@ def rewriter(table: dict[str, str]) -> Rewriter:
     return _rewriters[key]
 
 
+@lru_cache(1)
+def folder() -> Rewriter:
+    """The rewriter without any counts: a fixed form for comparisons inside one operator."""
+    return Rewriter(representatives({}))
+
+
 def learn(texts: DataFrame) -> dict[str, str]:
     """The replacement table for ``texts(text)``: counts over all rows, added up in Spark; one row a class member returns."""
 

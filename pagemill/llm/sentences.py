@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import encoding
 from .common import map_batches
-from .lookalike import HYPHENS, SPACES, representatives, rewriter
+from .lookalike import HYPHENS, SPACES, folder
 
 # Words before a period that doesn't end a sentence, by language.
 ABBREVIATIONS = frozenset(
@@ -42,8 +42,6 @@ THAI_WORDS = frozenset(
     "แก้ไข รอ ถูก ใหม่ สุดท้าย ชั่วคราว สาธารณะ ประจำปี".split()
 )
 
-FOLD = representatives({})
-
 CJK = "぀-ヿ㐀-䶿一-鿿\uf900-\ufaffｦ-ﾟ"
 THAI = "฀-๿"
 _OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』"}
@@ -58,6 +56,7 @@ _CJK_NEXT = re.compile(f"[{CJK}“「]")
 _LINE = re.compile(r"[^\n]*\n?")
 _HEADING = re.compile(r"[ \t]*#{1,6}[ \t]+")
 _ITEM = re.compile(r"[ \t]*(?:[-*•+–][ \t]+|\d{1,3}[.)][ \t]+|\([A-Za-z0-9]{1,3}\)[ \t]*|[a-z]\)[ \t]+)")
+_MARK_STARTS = frozenset("#|-*•+–(0123456789")
 _TABLE = re.compile(r"[ \t]*\|")
 _TAMIL_LETTER = re.compile(r"[அ-ஹ][ா-்]*$")
 _INVISIBLE = "\xad͏​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿᠎"
@@ -177,7 +176,7 @@ def _prose(text: str, lost: bool):
 
 @lru_cache(100_000)
 def _folded(word: str) -> str:
-    return rewriter(FOLD)(word)
+    return folder()(word)
 
 
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
@@ -208,7 +207,10 @@ def plain_units(text: str, lost: bool = False):
     for line in _LINE.finditer(text):
         if line.start() == line.end():
             continue
-        if not line[0].strip():
+        first = text[line.start()]
+        if first not in _MARK_STARTS and not first.isspace() and text[line.start() + 1 : line.start() + 2] != ")":
+            block.append(line.span())
+        elif not line[0].strip():
             yield from close()
             kind = "sentence"
         elif _TABLE.match(line[0]):
