@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,14 +71,21 @@ def furniture(lines: list[str]) -> tuple[set[int], list[int]]:
     return found, [k for k in rest if k not in found]
 
 
+@lru_cache(200_000)
 def _script(word: str) -> str | None:
     return next((name for name, p in _SCRIPTS if p.search(word)), None)
 
 
+_STOPS: dict[str, tuple[str, ...]] = {w: tuple(lang for lang, own in STOP_WORDS.items() if w in own) for own in STOP_WORDS.values() for w in own}
+_LATIN = _SCRIPTS[2][1]
+
+
 def _latin(text: str, otherwise: str = "en") -> str:
     """The language with most stop words in ``text``; ``otherwise`` without any, and of equals."""
-    words = [w.strip(_EDGE_PUNCT).lower() for w in text.split()]
-    return max(STOP_WORDS, key=lambda lang: (sum(w in STOP_WORDS[lang] for w in words), lang == otherwise))
+    if not _LATIN.search(text):
+        return otherwise
+    found = Counter(lang for w in text.split() for lang in _STOPS.get(w.lower(), ()))
+    return max(STOP_WORDS, key=lambda lang: (found[lang], lang == otherwise))
 
 
 class _PageWords:
@@ -86,11 +94,14 @@ class _PageWords:
     def __init__(self, text: str):
         self.lines = text.split("\n")
         self.furniture, self.rest = furniture(self.lines)
-        whole, latins = _latin(text), {}
-        for block in re.finditer(r"[^\n]+(?:\n(?!\s*(?:\n|$))[^\n]+)*", text):  # a page may hold blocks of other languages
-            own = _latin(block[0], whole)
-            first = text.count("\n", 0, block.start())
-            latins |= dict.fromkeys(range(first, first + block[0].count("\n") + 1), own)
+        whole, latins, first = _latin(text), {}, 0
+        for k in range(len(self.lines) + 1):  # a page may hold blocks of other languages
+            if k == len(self.lines) or not self.lines[k].strip():
+                if k > first:
+                    own = _latin("\n".join(self.lines[first:k]), whole)
+                    if own != whole:
+                        latins |= dict.fromkeys(range(first, k), own)
+                first = k + 1
         self.words: list[tuple[str, str, int, int, str]] = []  # language, word, line, length of the part before the break or -1, mark
         tokens = {k: _TOKEN.findall(x) for k, x in enumerate(self.lines) if x.strip() and k not in self.furniture}
         used: set[int] = set()  # lines whose first token ends a word of the line above
