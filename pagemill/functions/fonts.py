@@ -14,13 +14,19 @@ def normal_name(name: Column) -> Column:
 
 def legacy_font(name: Column) -> Column:
     """Struct ``family, lang`` or null; the first prefix of the table wins, then the TAM- and TAB- families."""
-    n = normal_name(name)
-    known = F.lit(None).cast("struct<family:string,lang:string>")
+    none = F.lit(None).cast("struct<family:string,lang:string>")
+    pair = lambda family, lang: F.struct(F.lit(family).alias("family"), F.lit(lang).alias("lang"))
     tail = F.upper(F.regexp_replace(name, "^[^+]*\\+", ""))
-    known = F.when(tail.rlike("^TA[MB]-"), F.struct(F.lit("tam-tab").alias("family"), F.lit("ta").alias("lang"))).otherwise(known)
-    for prefix, family, lang in reversed(FONT_FAMILIES):
-        known = F.when(n.startswith(prefix), F.struct(F.lit(family).alias("family"), F.lit(lang).alias("lang"))).otherwise(known)
-    return known
+    other = F.when(tail.rlike("^TA[MB]-"), pair("tam-tab", "ta")).otherwise(none)
+
+    def first(n: Column) -> Column:
+        known = other
+        for prefix, family, lang in reversed(FONT_FAMILIES):
+            known = F.when(n.startswith(prefix), pair(family, lang)).otherwise(known)
+        return known
+
+    # The lambda binds the normalised name, so that it is computed once and not for each prefix.
+    return F.get(F.transform(F.array(normal_name(name)), first), 0)
 
 
 def is_prior_ocr(name: Column) -> Column:
