@@ -1,6 +1,6 @@
 """Files as rows: scanning folders, telling formats apart, decoding, and reading into pages.
 
-Empty files are text; unreadable bytes are decoded leniently; files of no known format keep a null format.
+Empty content is text (Spark's file sources skip files of no bytes); unreadable bytes are decoded leniently; files of no known format keep a null format.
 """
 
 from __future__ import annotations
