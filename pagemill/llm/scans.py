@@ -1,9 +1,9 @@
 """Problem 5: repair text of scanned pages into continuous readable paragraphs.
 
 * Running heads, feet and page numbers are edge lines of a known shape, or edge lines that other pages of the file repeat.
-* Word counts of the collection give, for each language, a dictionary of words above a relative frequency (hence bounded in
-  size). A rarer word is joined in SQL to the dictionary words from which its anagram value differs by that of one or two
-  confusions; candidates are checked, ranked by confusions and frequency, and the best is the correction.
+* Word counts of the collection give, for each language, a dictionary of all words counted often enough, names apart. A
+  rarer word is joined in SQL, by a shuffle, to the dictionary words from which its anagram value differs by that of one or
+  two confusions; candidates are checked, ranked by confusions and frequency, and the best is the correction.
 * A word broken at a line end is joined unless the compound with the mark is itself a word of the dictionary.
 
 Defined results: null and blank texts give no lines; a repeated delivery counts once; word confidences may be null, as they
@@ -30,10 +30,11 @@ MISREADINGS = {
 }
 #: Words that tell the Latin-script languages apart.
 STOP_WORDS = {"en": frozenset("the of and to was by is in for it not".split()), "fr": frozenset("le la les de du et un une pas été au".split()), "de": frozenset("der die das und hat wurde für aus sind den in".split())}
-#: Least share of a language's words, and count, of a dictionary word; a capitalised-only word outside German must be commoner, else it is taken for a name.
-SHARE, NAME_SHARE, LEAST_COUNT = 1 / 8000, 1 / 1200, 5
-#: Shares for the scripts without capitals and for German, whose nouns all have them.
-FLAT_SHARE = 1 / 3000
+#: Least count of a dictionary word. A word of ``CAPITALS`` languages that is hardly written in lower case, and with a capital inside sentences in at least PROPER of its places, is a name, unless it has NAME_SHARE of the language's words (months).
+LEAST_COUNT, NAME_SHARE, PROPER = 5, 1 / 1200, 1 / 4
+CAPITALS = ("en", "fr")
+#: Words of this share are looked up where they are read, all others by a join.
+SHARE = 1 / 8000
 #: How much commoner than the rare word its correction must be; for words of two letters.
 RATIO, RATIO_SHORT = 12, 60
 MARKS = "-‐\xad¬"
@@ -46,6 +47,8 @@ _FOOT = re.compile(r"^[^\d\s]\S*(?:\s\S+){0,4}?\s?\S?[\dilIO.'’]{1,3}/[\dilIO.
 _NUMBER = re.compile(r"^[\[(—–|-]*\s?(?:\d{1,4}|[ivxlcIl]{1,8})\s?[\])—–|-]*$|^[^\W\d_]\S{2,9}\s[\dilI]{1,4}(?:\s?/\s?[\dilI]{1,4})?$")
 _SCRIPTS = (("si", re.compile("[඀-෿]")), ("ta", re.compile("[஀-௿]")), ("latin", re.compile("[A-Za-zÀ-ɏ]")))
 EDGE = 4
+#: What the word before the first word of a sentence ends with, closing marks apart.
+_ENDS, _CLOSING = frozenset(".!?…:;"), "\"”»“’')]"
 
 
 def furniture(lines: list[str]) -> tuple[set[int], list[int]]:
@@ -102,12 +105,17 @@ class _PageWords:
                     if own != whole:
                         latins |= dict.fromkeys(range(first, k), own)
                 first = k + 1
-        self.words: list[tuple[str, str, int, int, str]] = []  # language, word, line, length of the part before the break or -1, mark
+        self.words: list[tuple[str, str, int, int, str, bool]] = []  # language, word, line, length of the part before the break or -1, mark, whether it has a capital inside a sentence
         tokens = {k: _TOKEN.findall(x) for k, x in enumerate(self.lines) if x.strip() and k not in self.furniture}
         used: set[int] = set()  # lines whose first token ends a word of the line above
+        before = "."
         for k, own in tokens.items():
             latin = latins.get(k, whole)
+            if k - 1 not in tokens:
+                before = "."
             for n, t in enumerate(own):
+                proper = t[0].isupper() and before.rstrip(_CLOSING)[-1:] not in _ENDS
+                before = t
                 if n == 0 and k in used:
                     continue
                 if n == len(own) - 1 and t[-1] in MARKS and len(t) > 1 and _letter_or_mark(t[-2]) and k + 1 in tokens:
@@ -115,14 +123,14 @@ class _PageWords:
                     if _letter_or_mark(after[0]):
                         used.add(k + 1)
                         head, tail = t[:-1].lstrip(_EDGE_PUNCT), after.rstrip(_EDGE_PUNCT)
-                        self._add(latin, head + tail, k, len(head), t[-1])
+                        self._add(latin, head + tail, k, len(head), t[-1], proper)
                         continue
-                self._add(latin, t.strip(_EDGE_PUNCT), k, -1, "")
+                self._add(latin, t.strip(_EDGE_PUNCT), k, -1, "", proper)
 
-    def _add(self, latin: str, word: str, line: int, cut: int, mark: str) -> None:
+    def _add(self, latin: str, word: str, line: int, cut: int, mark: str, proper: bool) -> None:
         s = _script(word)
         if s and len(word) > 1:
-            self.words.append((latin if s == "latin" else s, word, line, cut, mark))
+            self.words.append((latin if s == "latin" else s, word, line, cut, mark, proper))
 
 
 def _letter_or_mark(c: str) -> bool:
@@ -134,19 +142,20 @@ def _fold(word: str) -> str:
 
 
 def counts(pages: DataFrame) -> DataFrame:
-    """Counts of words outside furniture: ``(lang, word, n, lower)``; ``word`` in lower case, ``lower``: how often it was written so."""
+    """Counts of words outside furniture: ``(lang, word, n, lower, proper)``; ``word`` in lower case, ``lower``: how often it was written so, ``proper``: how often with a capital inside a sentence."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, low = Counter(), Counter()
+        n, low, capital = Counter(), Counter(), Counter()
         for text in b.column(0).to_pylist():
-            for lang, word, _, _, mark in _PageWords(text).words:
+            for lang, word, _, _, mark, proper in _PageWords(text).words:
                 if mark != "-":  # whether that mark belongs to the word isn't known yet
                     key = (lang, _fold(word))
                     n[key] += 1
                     low[key] += word[0] == key[1][0]
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([low[k] for k in n], pa.int64())], names=["lang", "word", "n", "lower"])
+                    capital[key] += proper
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([low[k] for k in n], pa.int64()), pa.array([capital[k] for k in n], pa.int64())], names=["lang", "word", "n", "lower", "proper"])
 
-    return map_batches(pages.select("text"), run, "lang string, word string, n bigint, lower bigint", rows=4000).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower"))
+    return map_batches(pages.select("text"), run, "lang string, word string, n bigint, lower bigint, proper bigint", rows=4000).groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("n", "lower", "proper")])
 
 
 #: Anagram value of a word: fifth powers of its characters, added up; equal for anagrams, so that a confusion adds a constant.
@@ -158,33 +167,45 @@ def _value(text: str) -> int:
 
 
 def _confusions(spark: SparkSession) -> DataFrame:
-    """One and two confusions by language: ``(lang, read1, read2, delta, steps, reach)``."""
+    """One and two confusions by language: ``(lang, read1, read2, print1, print2, delta, steps, reach)``."""
     rows = []
     for script, pairs in MISREADINGS.items():
         for lang in STOP_WORDS if script == "latin" else (script,):
-            one = [(r, "", _value(p) - _value(r), 1, max(len(r), len(p))) for r, p in pairs]
-            two = [(a[0], b[0], a[2] + b[2], 2, a[4] + b[4]) for i, a in enumerate(one) for b in one[i:]]
+            one = [(r, "", p, "", _value(p) - _value(r), 1, max(len(r), len(p))) for r, p in pairs]
+            two = [(a[0], b[0], a[2], b[2], a[4] + b[4], 2, a[6] + b[6]) for i, a in enumerate(one) for b in one[i:]]
             rows += [(lang, *x) for x in one + two]
-    return spark.createDataFrame(rows, "lang string, read1 string, read2 string, delta bigint, steps int, reach int")
+    return spark.createDataFrame(rows, "lang string, read1 string, read2 string, print1 string, print2 string, delta bigint, steps int, reach int")
 
 
 def dictionary(counted: DataFrame) -> DataFrame:
-    """Words above their language's share: ``(lang, word, n)``; at most ``1 / SHARE`` for each language."""
+    """Words counted often enough, names apart: ``(lang, word, n, share)``; ``share`` of their language's words."""
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = F.when(F.col("lang").isin("en", "fr"), F.when(F.col("lower") >= 0.1 * F.col("n"), F.lit(SHARE)).otherwise(F.lit(NAME_SHARE))).otherwise(F.lit(FLAT_SHARE))
-    return counted.join(F.broadcast(totals), "lang").where((F.col("n") >= F.greatest(F.lit(LEAST_COUNT).cast("double"), share * F.col("total"))) & (F.length("word") > 1)).select("lang", "word", "n")
+    name = F.col("lang").isin(*CAPITALS) & (F.col("lower") < 0.1 * F.col("n")) & (F.col("proper") >= PROPER * F.col("n"))
+    shared = counted.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
+    return shared.where((F.col("n") >= LEAST_COUNT) & (F.length("word") > 1) & (~name | (F.col("share") >= NAME_SHARE))).select("lang", "word", "n", "share")
 
 
 def corrections(spark: SparkSession, counted: DataFrame, words: DataFrame) -> DataFrame:
-    """The best correction of each rare word: ``(lang, word, fixed)``."""
-    known = F.broadcast(words.select("lang", F.col("word").alias("fixed"), F.col("n").alias("often"), F.expr(VALUE.format("word")).alias("value")))
-    least = F.when(F.col("lang").isin(*STOP_WORDS), 1).otherwise(2)
-    rare = counted.where(F.length("word") > least).select("lang", "word", "n", F.expr(VALUE.format("word")).alias("own"))
+    """The best correction of each rare word: ``(lang, word, fixed)``.
+
+    The confusions are undone from the dictionary's side, which has fewer words: only those of at least RATIO places can be
+    RATIO times as common as another. Both sides of the join are shuffled.
+    """
     rules = F.broadcast(_confusions(spark))
-    tried = rare.join(rules, "lang").where("contains(word, read1) and contains(word, read2)").select("lang", "word", "n", "steps", "reach", (F.col("own") + F.col("delta")).alias("value"))
-    fits = tried.join(known, ["lang", "value"]).where((F.col("often") >= F.when(F.length("word") > 2, RATIO).otherwise(RATIO_SHORT) * F.col("n")) & (F.levenshtein("word", "fixed") <= F.col("reach")) & ((F.col("steps") == 1) | (F.length("fixed") > 4)))
+    known = words.where(F.col("n") >= min(RATIO, RATIO_SHORT)).select("lang", F.col("word").alias("fixed"), F.col("n").alias("often"), F.expr(VALUE.format("word")).alias("whole"))
+    spoilt = known.join(rules, "lang").where("contains(fixed, print1) and contains(fixed, print2)").select("lang", "fixed", "often", "read1", "read2", "steps", "reach", (F.col("whole") - F.col("delta")).alias("value"))
+    least = F.when(F.col("lang").isin(*STOP_WORDS), 1).otherwise(2)
+    rare = counted.where(F.length("word") > least).select("lang", "word", "n", F.expr(VALUE.format("word")).alias("value"))
+    ratio = F.col("often") >= F.when(F.length("word") > 2, RATIO).otherwise(RATIO_SHORT) * F.col("n")
+    fits = rare.join(spoilt, ["lang", "value"]).where(ratio & F.expr("contains(word, read1) and contains(word, read2)") & (F.levenshtein("word", "fixed") <= F.col("reach")) & ((F.col("steps") == 1) | (F.length("fixed") > 4)))
     best = Window.partitionBy("lang", "word").orderBy("steps", F.desc("often"), "fixed")
-    return fits.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("lang", "word", "fixed")
+    fixes = fits.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("lang", "word", "fixed").checkpoint()
+    # A frequent misreading is in the dictionary as well: what it is corrected to takes its place. Each link is RATIO times as common, so this ends.
+    while True:
+        further = fixes.select("lang", F.col("word").alias("fixed"), F.col("fixed").alias("last"))
+        if fixes.join(further, ["lang", "fixed"], "left_semi").isEmpty():
+            return fixes
+        fixes = fixes.join(further, ["lang", "fixed"], "left").select("lang", "word", F.coalesce("last", "fixed").alias("fixed")).checkpoint()
 
 
 class Findings:
@@ -194,39 +215,41 @@ class Findings:
         self.spark = spark
         self.pages = pages.where("length(trim(text)) > 0").dropDuplicates(["ocr_id"]).select(F.col("ocr_id").cast("bigint"), "doc", "text")
         self.counted = counts(self.pages).checkpoint()
-        words = dictionary(self.counted)
-        self.fixes = corrections(spark, self.counted, words).checkpoint()
-        # A frequent misreading is above the share as well: it is no word of the dictionary.
-        self.known = words.join(self.fixes.select("lang", "word"), ["lang", "word"], "left_anti")
+        self.words = dictionary(self.counted)
+        self.fixes = corrections(spark, self.counted, self.words)
 
     def _places(self) -> DataFrame:
-        """Furniture and hyphens by shape, other edge lines, and words outside the dictionary with their places."""
-        held = frozenset((r.lang, r.word) for r in self.known.select("lang", "word").toLocalIterator())  # bounded by 1 / SHARE words a language
+        """Furniture and hyphens by shape, other edge lines, and words that may have a correction with their places."""
+        # Bounded by 1 / SHARE words a language, and only a short way for the commonest: words not held are joined.
+        often = self.words.where(F.col("share") >= SHARE).join(self.fixes, ["lang", "word"], "left_anti")
+        held = frozenset((r.lang, r.word) for r in often.select("lang", "word").toLocalIterator())
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for i, doc, text in zip(*(c.to_pylist() for c in b.columns)):
                 page = _PageWords(text)
-                rows += [(i, k, "furniture", None, None, -1, doc) for k in page.furniture]
-                rows += [(i, k, "edge", None, re.sub(r"[\W\d_]+", " ", page.lines[k]).strip(), -1, doc) for k in page.rest if not re.search(r"[.!?।]$", page.lines[k]) and len(page.lines[k].split()) > 1]
-                for lang, word, line, cut, mark in page.words:
-                    low = _fold(word)
+                rows += [(i, k, "furniture", None, None, -1, doc, None) for k in page.furniture]
+                rows += [(i, k, "edge", None, re.sub(r"[\W\d_]+", " ", page.lines[k]).strip(), -1, doc, None) for k in page.rest if not re.search(r"[.!?।]$", page.lines[k]) and len(page.lines[k].split()) > 1]
+                for lang, word, line, cut, mark, _ in page.words:
+                    low, compound = _fold(word), None
                     if cut >= 0:
-                        compound = (lang, f"{low[:cut]}-{low[cut:]}")
-                        if mark == "-" and compound in held:
+                        compound = f"{low[:cut]}-{low[cut:]}" if mark == "-" else None
+                        if (lang, compound) in held:
                             continue
-                        rows.append((i, line, "hyphen", lang, low, cut, doc))
+                        rows.append((i, line, "hyphen", lang, low, cut, doc, compound))
                     if (lang, low) not in held:
-                        rows.append((i, line, "word", lang, low, cut, doc))
-            columns = list(zip(*rows)) if rows else [()] * 7
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["ocr_id", "line_no", "kind", "lang", "word", "cut", "doc"])
+                        rows.append((i, line, "word", lang, low, cut, doc, compound))
+            columns = list(zip(*rows)) if rows else [()] * 8
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["ocr_id", "line_no", "kind", "lang", "word", "cut", "doc", "compound"])
 
-        return map_batches(self.pages, run, "ocr_id bigint, line_no int, kind string, lang string, word string, cut int, doc string")
+        places = map_batches(self.pages, run, "ocr_id bigint, line_no int, kind string, lang string, word string, cut int, doc string, compound string").checkpoint()
+        compounds = self.counted.where((F.col("n") >= LEAST_COUNT) & F.contains("word", F.lit("-"))).select("lang", F.col("word").alias("compound"))
+        return places.where("compound is null").unionByName(places.where("compound is not null").join(compounds, ["lang", "compound"], "left_anti").select(*places.columns)).drop("compound")
 
     def found(self) -> DataFrame:
         """``(ocr_id, line_no, kind)`` with the misread word and its correction: ``word, fixed``."""
-        places = self._places().checkpoint()
+        places = self._places()
         nothing = F.lit(None).cast("string")
         shaped = places.where("kind in ('furniture', 'hyphen')").select("ocr_id", "line_no", "kind", F.when(F.col("kind") == "hyphen", F.col("word")).alias("word"), nothing.alias("fixed"))
         edges = places.where("kind = 'edge' and length(word) > 3")

@@ -148,6 +148,25 @@ def test_scans(spark):
     assert none.found().count() == 0
 
 
+def test_scans_of_rare_words(spark):
+    """A word of the dictionary has its misreadings found, however small its share; a name does not, nor does an opener of sentences count as one."""
+    often = "the board met at noon and the report was read to the council by the clerk of the town.\n" * 1500
+    rare = "the granary of the town was by the quay of Kelzer. After the board met the one-eyed clerk came.\n" * 20
+    rows = [(k, "d", often) for k in range(8)] + [(8, "d", rare)]
+    rows += [(20, "d", "the board met.\nthe grauary was read\nby the clerk. Aftcr the board\nmet in Kelzcr the clerk was one-\neyed and the\nco-\nuncil met at noon and the\nboard met.")]
+    found = scans.Findings(spark, spark.createDataFrame(rows, "ocr_id bigint, doc string, text string"))
+    got = {(r.line_no, r.kind, r.word, r.fixed) for r in found.found().where("ocr_id = 20").collect()}
+    assert got == {(1, "misread", "grauary", "granary"), (2, "misread", "aftcr", "after"), (5, "hyphen", "council", None)}
+
+
+def test_links_of_corrections(spark):
+    """What a misreading is corrected to is no misreading itself."""
+    rows = [("en", "committee", 5000, 5000, 0), ("en", "cornmittee", 100, 100, 0), ("en", "cornmitfee", 1, 1, 0), ("en", "board", 5, 5, 0)]
+    counted = spark.createDataFrame(rows, "lang string, word string, n bigint, lower bigint, proper bigint")
+    got = {(r.word, r.fixed) for r in scans.corrections(spark, counted, scans.dictionary(counted)).collect()}
+    assert got == {("cornmittee", "committee"), ("cornmitfee", "committee")}
+
+
 # --- leaks
 
 ITEM = "The curved glacier of Rindulnavdultas lifts a sextant near Quenpelmar and 749 walnuts from Brelannavfal stand beside the painted sextant before the narrow kettle of Tasketmardul turns another silver lantern for the heavier umbrella"
