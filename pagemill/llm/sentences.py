@@ -2,8 +2,9 @@
 
 A text is read as blocks (headings, list items, tables, prose). Prose is cut at the accepted edges of a terminator lattice:
 every terminator outside a quotation is an edge whose acceptance depends on the word before it (abbreviations, initials,
-ordinals) and the character after it. In scripts without spaces or periods, the words on both sides of a gap are found by
-the best path through a dictionary lattice, and the gap is classified by final particles and opening words.
+ordinals) and the character after it. In Thai, the words on both sides of a gap are found by the best path through a
+lattice over a fixed list of words, and the gap ends a sentence unless the word before is open-ended or the word after
+continues. Final particles are no evidence here, and the list isn't taken from the collection.
 
 Defined results: null, empty and blank texts and tables give no unit. Garbled text is segmented as its restored form and
 invisible characters are looked through; offsets are always those of the stored text.
