@@ -584,11 +584,16 @@ def code_alignment(spark, d):
 # --- files ------------------------------------------------------------------------------------------------------------------------------
 
 
+def _as_html(text):
+    """A document as an HTML file."""
+    return F.concat(F.lit("<!DOCTYPE html><html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><p>"), F.regexp_replace(text, "\n\n", "<p>"), F.lit("</body></html>"))
+
+
 def _files(spark, d):
     """Documents as files of five kinds."""
     kind = F.col("doc_id") % 5
     text = F.coalesce("text", F.lit(""))
-    content = F.when(kind == 0, F.concat(F.lit("<!DOCTYPE html><html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><p>"), F.regexp_replace(text, "\n\n", "<p>"), F.lit("</body></html>"))).when(kind == 1, F.concat(F.lit("%PDF-1.7\n"), text)).otherwise(text)
+    content = F.when(kind == 0, _as_html(text)).when(kind == 1, F.concat(F.lit("%PDF-1.7\n"), text)).otherwise(text)
     ext = F.element_at(F.array(F.lit(".htm"), F.lit(".bin"), F.lit(".md"), F.lit(".txt"), F.lit(".docx")), (kind + 1).cast("int"))
     return _read(spark, d, "documents").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), ext).alias("path"), content.cast("binary").alias("content"))
 
@@ -607,7 +612,9 @@ def files_extracted(spark, d):
 
 @_query()
 def html_markdown(spark, d):
-    h = _files(spark, d).where("path like '%.htm'").select("path", html.to_markdown(files.decode(F.col("content"))).alias("h"))
+    """Every document, as HTML, to Markdown."""
+    path, content = F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".htm")), _as_html(F.coalesce("text", F.lit(""))).cast("binary")
+    h = _read(spark, d, "documents").select(path.alias("path"), html.to_markdown(files.decode(content)).alias("h"))
     return h.select("path", "h.title", F.md5("h.markdown").alias("digest"))
 
 

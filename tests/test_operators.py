@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import correct, documents, evaluate, learn, lexicon, ocr, router
+from pagemill.plans import catalogue
 from pagemill.sources import files
 
 
@@ -180,6 +181,13 @@ def test_code_alignment(spark):
     assert got == table
 
 
+def test_html_markdown_of_every_document(spark, tmp_path):
+    rows = [(k, f"Title {k}", None if k == 3 else f"First of {k}.\n\nSecond.") for k in range(7)]
+    spark.createDataFrame(rows, "doc_id bigint, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: r.title for r in catalogue.queries()["html_markdown"](spark, str(tmp_path)).collect()}
+    assert got == {f"in/{k}.htm": f"Title {k}" for k in range(7)}
+
+
 def test_grid_search(spark):
     lex, rules = spark.createDataFrame(LEXICON, "word string, freq bigint"), spark.createDataFrame(RULES, correct.RULES_SCHEMA)
     pairs = spark.createDataFrame([("චිජිත", "විජිත", 50.0), ("චිජිත", "විජිත", 96.0), ("පන්", "පන්", None)], "word string, truth string, conf double")
