@@ -575,10 +575,12 @@ def grid_best(spark, d):
 
 @_query()
 def code_alignment(spark, d):
-    """Codes learned back from words typed with a known table of single codes."""
+    """Codes learned back from all words, typed with a known table of single codes."""
     letters = "කගතදනපබමයරලවසහිුාෙ"
-    words = _si_words(spark, d).select(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0)).alias("units"), F.translate("word", letters, "kgtdnpbmyrlvshiuae").alias("codes")).where("length(codes) between 3 and 12 and codes rlike '^[a-z]+$'")
-    return learn.align_codes(words, iterations=4).where("rank = 1").select("code", "unit", "n", F.round("share", 4).alias("share"))
+    others = "".join(c for c in [*map(chr, range(0xD80, 0xE00)), "\u200c", "\u200d"] if c not in letters)
+    codes = "kgtdnpbmyrlvshiuae" + "".join(chr(0x100 + i) for i in range(len(others)))
+    words = _si_words(spark, d).select(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0)).alias("units"), F.translate("word", letters + others, codes).alias("codes"))
+    return learn.align_codes(words).where("rank = 1").select("code", "unit", "n", F.round("share", 4).alias("share"))
 
 
 # --- files ------------------------------------------------------------------------------------------------------------------------------

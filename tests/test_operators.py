@@ -188,6 +188,15 @@ def test_html_markdown_of_every_document(spark, tmp_path):
     assert got == {f"in/{k}.htm": f"Title {k}" for k in range(7)}
 
 
+def test_code_alignment_of_every_letter(spark, tmp_path):
+    rng = random.Random(5)
+    letters = "කගතදනඅආඛඝ්ී"
+    words = ["".join(rng.choice(letters) for _ in range(rng.choice((1, 2, 2, 3, 4, 5)))) for _ in range(300)] + ["ක" * 6 + "ඛ" * 8]
+    spark.createDataFrame([(1, " ".join(words))], "ocr_id bigint, text string").write.parquet(f"{tmp_path}/ocr_pages.parquet")
+    got = catalogue.queries()["code_alignment"](spark, str(tmp_path)).collect()
+    assert {r.unit for r in got if len(r.code) == 1} == set(letters)
+
+
 def test_grid_search(spark):
     lex, rules = spark.createDataFrame(LEXICON, "word string, freq bigint"), spark.createDataFrame(RULES, correct.RULES_SCHEMA)
     pairs = spark.createDataFrame([("චිජිත", "විජිත", 50.0), ("චිජිත", "විජිත", 96.0), ("පන්", "පන්", None)], "word string, truth string, conf double")
