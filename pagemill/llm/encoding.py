@@ -1,9 +1,10 @@
 """Problem 6: find text that was decoded with the wrong character encoding and decode it again where possible.
 
 Characters are mapped back to the bytes they had in a legacy code page, and an automaton over the byte structure finds the
-maximal well-formed multibyte spans; only those spans are decoded. What a span may decode to is limited to the scripts and
-punctuation of the collection's languages, which keeps genuine accented letters and legacy-font text untouched. The steps
-are repeated for text that was garbled several times.
+maximal well-formed multibyte spans; only those spans are decoded. Sequences of Latin-1, Indic, Thai and East Asian letters
+and of punctuation are decoded wherever they are well formed; spans of any other script must be plausible: one script, and
+several characters in a row or such a span elsewhere in the text. That keeps genuine accented letters, genuine Cyrillic and
+legacy-font text untouched. The steps are repeated until nothing is left to decode; each round makes the text shorter.
 
 Defined results: null gives null and no kind; text without a span comes back unchanged; a lost byte (U+FFFD) is named as
 garbled and stays where no decoding is certain.
@@ -12,6 +13,8 @@ garbled and stays where no decoding is certain.
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
+from .lookalike import CYRILLIC
 
 #: Legacy single-byte code pages as which UTF-8 bytes may have been read.
 CODE_PAGES = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "cp1254")
@@ -28,7 +32,8 @@ _LATIN = r"\xC3[\x80-\xBF]|\xC2[\x80-\xBF]|\xC5[\x92\x93\xA0\xA1\xB8\xBD\xBE]|\x
 _MARKS = r"\xCC[\x80-\xBF]|\xE2\x80[\x80-\xBF]|\xE2\x82\xAC|\xE2\x81\xA0|\xE2\x84\xA2|\xEF\xAC[\x80-\x86]|\xEF\xBB\xBF"
 _INDIC = r"\xE0[\xA4\xA5\xAE\xAF\xB6-\xB9][\x80-\xBF]"
 _EAST = r"[\xE3-\xE9][\x80-\xBF]{2}|\xEF[\xBC\xBD][\x80-\xBF]"
-ROUNDS = 4
+#: Every well-formed sequence of two to four bytes, up to the third plane.
+_ANY = r"[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}"
 
 
 def _chars(page: str) -> dict[int, str]:
@@ -65,9 +70,12 @@ class _Page:
         narrow = build(latin, "") + "|" + build(_MARKS + "|" + _INDIC, lost)
         east = build(_EAST, "")
         self.span = re.compile(f"(?:{narrow}|(?:{east})(?={east}|{narrow})|(?<={some(0x80, 0xBF)})(?:{east}))+")
-        self.likely = re.compile(some(0xC2, 0xEF) + some(0x80, 0xBF, lost))
-        self.sets = ["".join(by_byte.get(b, "") for b in r) for r in (range(0xC2, 0xF0), range(0x80, 0xC0))]
+        self.likely = re.compile(some(0xC2, 0xF0) + some(0x80, 0xBF, lost))
+        self.sets = ["".join(by_byte.get(b, "") for b in r) for r in (range(0xC2, 0xF1), range(0x80, 0xC0))]
         self.unit = re.compile(f"{narrow}|{east}")
+        self.any_unit = build(_ANY, "")
+        self.any_span = re.compile(f"(?:{self.any_unit})+")
+        self.any_unit = re.compile(self.any_unit)
 
     def decode(self, span: str) -> str | None:
         if "�" in span:
@@ -97,6 +105,89 @@ def _pages() -> dict[str, _Page]:
     return {p: _Page(p) for p in CODE_PAGES}
 
 
+#: Punctuation that may follow a letter in genuine text, several in a row.
+_USUAL = frozenset("«»‹›“”‘’„‚…–—•·°§©®™ \xa0!¡¿")
+_EAST_ASIAN = frozenset(("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HALFWIDTH", "FULLWIDTH", "IDEOGRAPHIC"))
+_FORMATS = frozenset("\xad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
+_GENUINE_CYRILLIC = re.compile("[Ѐ-ԯ]")
+
+
+@lru_cache(100_000)
+def _kind(c: str) -> str | None:
+    """Script of a letter or mark, SIGN of symbols and digits, an empty string of punctuation; None where text holds no such character."""
+    category = unicodedata.category(c)
+    if category[0] in "LM":
+        name = unicodedata.name(c, "?").split()[0]
+        return "EAST" if name in _EAST_ASIAN else "" if name in ("COMBINING", "VARIATION") else name
+    if category in ("Cn", "Co", "Cs", "Cc") or (category == "Cf" and c not in _FORMATS):
+        return None
+    return "SIGN" if category[0] in "SN" else ""
+
+
+def _strong(text: str, start: int, end: int, units: list[str], new: str) -> bool:
+    """Whether a span reads as garbled on its own: several characters of one script in a row, a pictograph, or letters and
+    marks mingled as no genuine word has them."""
+    kinds = [k for c in new if (k := _kind(c))]
+    letters = [k for k in kinds if k != "SIGN"]
+    if any(len(u) == 4 for u in units):
+        return True
+    if len(letters) > 1 and "LATIN" not in letters:
+        return True
+    if letters.count("LATIN") > 2:
+        return True
+    at = start
+    for u, c in zip(units, new):
+        lead, tail, around = u[0], u[1:], (text[at - 1 : at] if at else "") + text[at + len(u) : at + len(u) + 1]
+        latin = _kind(c) == "LATIN" and c.islower() and around.isascii() and any(map(str.islower, around))
+        if latin and lead.isalpha() and (lead.isupper() and text[at - 1 : at].islower() or not any(map(str.isalpha, tail)) and around[-1:].isalpha()):
+            return True
+        if latin and ("─" <= lead <= "▟" or unicodedata.category(lead) == "Sm"):
+            return True  # line drawing or a mathematical sign within a word
+        if len(tail) == 2 and not any(map(str.isalnum, tail)) and not set(tail) <= _USUAL:
+            return True
+        at += len(u)
+    return False
+
+
+def _other_scripts(text: str, page: _Page, name: str, known: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``known`` edits with the plausible spans of all other scripts; a span takes the place of the known ones within it."""
+    ends = [e for _, e, _, _ in known]
+    spans = []
+    for m in page.any_span.finditer(text):
+        k = bisect_left(ends, m.end())
+        if k == len(ends) or known[k][0] > m.start():  # not within a known edit, which may reach further over lost bytes
+            spans.append(m)
+    seen: list[tuple[int, int, str, frozenset, bool]] = []
+    for m in spans:
+        new = page.decode(m[0])
+        if new is None or any(_kind(c) is None for c in new):
+            continue
+        scripts = frozenset(k for c in new if (k := _kind(c)) and k != "SIGN")
+        if len(scripts) < 2:
+            seen.append((*m.span(), new, scripts, _strong(text, *m.span(), page.any_unit.findall(m[0]), new)))
+    sure = frozenset().union(*(x[3] for x in seen if x[4]))
+    # Latin-1 and punctuation follow any other span of the page, other scripts a strong one of their own.
+    usual = [x[4] or bool(known or sure) and all(c < "Ā" or "\u2000" <= c <= "⁯" for c in x[2]) for x in seen]
+    taken = [(s, e, new, name) for (s, e, new, scripts, _), ok in zip(seen, usual) if ok or (scripts and scripts <= sure)]
+    out, k = [], 0
+    for edit in known:  # maximal spans hold a known one whole or not at all
+        while k < len(taken) and taken[k][1] <= edit[0]:
+            k += 1
+        if k == len(taken) or taken[k][0] >= edit[1]:
+            out.append(edit)
+    return sorted(out + taken)
+
+
+def _overwhelmed(text: str, edits: list[tuple[int, int, str, str]]) -> bool:
+    """Whether ``text`` has many Cyrillic letters outside the edits, those that pass for Latin ones apart: genuine Cyrillic."""
+    inside = sum(e - s for s, e, _, _ in edits)
+    outside, at = 0, 0
+    for s, e, _, _ in [*edits, (len(text), len(text), "", "")]:
+        outside += sum(c not in CYRILLIC for c in _GENUINE_CYRILLIC.findall(text[at:s]))
+        at = e
+    return 3 * outside > inside
+
+
 _MARK_LEADS, _VIRAMAS = "â", ("්", "்", "्")
 #: Pairs of printable ASCII bytes read as UTF-16 in either order, several in a row; upper Latin-1 in a row.
 _WIDE_SPAN = re.compile(r"[†-繾 ਠ-੾ -⁯]{4,}")
@@ -145,6 +236,9 @@ _COMMON = {
 }
 
 
+_UTF8_BYTES = re.compile(_ANY)
+
+
 @lru_cache(None)
 def _bytes_1252() -> dict[int, int]:
     return {ord(c): b for b, c in _chars("cp1252").items()}
@@ -153,6 +247,8 @@ def _bytes_1252() -> dict[int, int]:
 def _double(text: str) -> list[tuple[int, int, str, str]]:
     """Edits of the double-byte encoding that explains the most of ``text``; kana must be among the Japanese."""
     as_bytes = text.translate(_bytes_1252())
+    if sum(len(m[0]) for m in _UTF8_BYTES.finditer(as_bytes)) >= 0.8 * len(_UPPER.findall(as_bytes)):
+        return []  # sound UTF-8, which these encodings hardly ever are
     best: list[tuple[int, int, str, str]] = []
     for name, pattern in _DOUBLE_BYTE.items():
         out, kana, common, size, longest = [], 0, 0, 0, 0
@@ -188,6 +284,9 @@ def _edits(text: str) -> list[tuple[int, int, str, str]]:
             new = page.decode(m[0])
             if new is not None and new != m[0]:
                 out.append((m.start(), m.end(), new, name))
+        out = _other_scripts(text, page, name, out)
+        if name == "cp1251" and _overwhelmed(text, out):
+            continue
         if (n := sum(e - s for s, e, _, _ in out)) > size:
             best, size = out, n
     if (_DOUBLE_SPAN.search(text) or _LOST.search(text)) and 2 * size < len(_UPPER.findall(text)):
@@ -204,10 +303,7 @@ def restore(text: str | None) -> tuple[str | None, list[str]]:
     if not text or not suspect(text):
         return text, []
     kinds: list[str] = []
-    for _ in range(ROUNDS):
-        edits = _edits(text)
-        if not edits:
-            break
+    while edits := _edits(text):
         at, parts = 0, []
         for start, end, new, _name in edits:
             parts += [text[at:start], new]
@@ -220,10 +316,7 @@ def restore(text: str | None) -> tuple[str | None, list[str]]:
 def restore_aligned(text: str) -> tuple[str, list[int], list[int]]:
     """``restore`` with, for each character of the result, where its source starts and ends in ``text``."""
     first, last = list(range(len(text))), list(range(1, len(text) + 1))
-    for _ in range(ROUNDS):
-        edits = _edits(text)
-        if not edits:
-            break
+    while edits := _edits(text):
         at, parts, a, b = 0, [], [], []
         for start, end, new, name in edits:
             parts += [text[at:start], new]
