@@ -28,6 +28,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(lookalike.keyed(texts, lookalike.learn(texts)))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every record that has differing look-alikes, with its class and their number."""
+    texts = _visible(spark, d)
+    return lookalike.lookalike_classes(lookalike.keyed(texts, lookalike.learn(texts)))
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     pages = scan(spark, d, "pages", "page_id", "langs", F.coalesce(F.col("method.kind") == "ocr", F.lit(False)).alias("scanned"), F.col("markdown").alias("text"))
     return languages.segments(pages, languages.learn(pages))
@@ -137,7 +143,7 @@ j AS (SELECT t.*, s.n_lists, s.n_tokens FROM t LEFT JOIN s ON t.lang IS NOT DIST
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_consistent, p1_found, p2_segments, p2_pages, p2_found, p3_sentences, p3_found, p4_term_counts, p4_found, p5_paragraphs, p5_corrections, p5_found, p6_restored, p6_found, p7_ids, p8_leaks, p8_found, p9_pieces, p9_found)}
+    return {f.__name__: f for f in (p1_consistent, p1_found, p1_classes, p2_segments, p2_pages, p2_found, p3_sentences, p3_found, p4_term_counts, p4_found, p5_paragraphs, p5_corrections, p5_found, p6_restored, p6_found, p7_ids, p8_leaks, p8_found, p9_pieces, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
