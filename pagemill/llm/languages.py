@@ -3,7 +3,8 @@
 Nearest-centroid classification of sentence units: normalised TF-IDF vectors of hashed character n-grams are compared by
 cosine with several centroids per language. Centroids come from k-means within each label of a bounded sample of labelled
 rows; since labels are partly wrong, every centroid then takes the language for which most of its nearest sample units
-vote. A unit further from its centroid than nearly all units of the sample are is rejected.
+vote. A unit further from its centroid than nearly all units of the sample are is rejected. The languages are the labels that
+the collection has.
 
 Defined results: pages without text, headings, tables, running heads and rejected units carry no language; an absent label
 counts as no language. Garbled text is classified as its restored form.
@@ -12,12 +13,11 @@ counts as no language. Garbled text is classified as its restored form.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches
@@ -26,9 +26,9 @@ from .scans import furniture
 from .sentences import units
 
 BITS = 14
-#: Bound of the training sample: labelled rows per label; and centroids per label.
-SAMPLE_PER_LABEL, CENTROIDS = 400, 3
-LANGUAGES = ("en", "si", "ta", "hi", "fr", "de", "zh", "ja", "th")
+#: Bounds of the training sample: labelled pages per label, and labels, more of which are an error; centroids per label.
+SAMPLE_PER_LABEL, MOST_LABELS, CENTROIDS = 400, 256, 3
+_HASHES = 1 << 63
 REJECT_QUANTILE, REJECT_SLACK = 0.002, 0.75
 _ENDED = re.compile(r"[.!?।。！？…][”\"»’'）\)\]“」』�]*$|[฀-๿]$")
 _STRIP = re.compile(r"[\d\W_]+")
@@ -114,6 +114,7 @@ def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int = 7)
     norm = np.sqrt(np.bincount(unit, weight * weight, size))
     weight /= np.maximum(norm[unit], 1e-9)
     bounds = np.searchsorted(unit, np.arange(size + 1))
+    filled = np.flatnonzero(np.diff(bounds))
 
     def mean(members: np.ndarray) -> np.ndarray:
         pick = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in members])
@@ -122,9 +123,8 @@ def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int = 7)
 
     def cosines(matrix: np.ndarray) -> np.ndarray:
         out = np.zeros((size, matrix.shape[1]), np.float32)
-        for a in range(0, size, 2000):
-            lo, hi = bounds[a], bounds[min(a + 2000, size)]
-            np.add.at(out, unit[lo:hi], matrix[bucket[lo:hi]] * weight[lo:hi, None])
+        for k in range(matrix.shape[1]):  # one narrow table at a time stays in the processor's cache
+            out[filled, k] = np.add.reduceat(np.ascontiguousarray(matrix[:, k])[bucket] * weight, bounds[:-1][filled])
         return out
 
     found: list[np.ndarray] = []
@@ -186,19 +186,30 @@ def readable_units(text: str | None, scanned: bool) -> list[tuple[int, int, str]
     return [x for s, e, k, t in units(text) for x in _by_script(s, e, t) if (k == "item" or (k == "sentence" and _ENDED.search(t))) and _FOUR_LETTERS.search(t)]
 
 
+def hash_limit(rows: int, wanted: int) -> int:
+    """Of hashes below 2**63, the limit under which some twice ``wanted`` of ``rows`` rows fall; never 0."""
+    return _HASHES - 1 if rows <= 2 * wanted else max(1, _HASHES * 2 * wanted // rows)
+
+
 def learn(pages: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """A model from ``pages(page_id, langs, scanned, text)``: the rows with one label, at most ``per_label`` of each by hash."""
-    labelled = pages.where("size(langs) = 1 and length(text) > 0").select("page_id", F.element_at("langs", 1).alias("label"), "scanned", "text").where(F.col("label").isin(*LANGUAGES))
-    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a language
-    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(int(min(1.0, per_label / n) * 1e6)))]) if sizes else None
+    """A model from ``pages(page_id, langs, scanned, text)``: of the pages with one label, the ``per_label`` of least hash of each label.
+
+    Without a labelled page the model rejects every unit.
+    """
+    labelled = pages.where("size(langs) = 1 and length(text) > 0").select("page_id", F.element_at("langs", 1).alias("label"), "scanned", "text").where("label is not null")
+    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: the column doesn't hold languages")
     rows: list[tuple[str, str]] = []
-    if share is not None:
-        sample = labelled.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < share[F.col("label")])
-        taken: dict[str, int] = defaultdict(int)
-        for r in sample.orderBy("page_id").limit(2 * per_label * len(sizes)).collect():  # bounded by the parameter
-            taken[r.label] += 1
-            if taken[r.label] <= 2 * per_label:
-                rows += [(r.label, t) for _, _, t in readable_units(r.text, r.scanned)]
+    if sizes:
+        limits = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(hash_limit(n, per_label)))])
+        hashed = labelled.withColumn("hash", F.xxhash64("page_id").bitwiseAND(F.lit(_HASHES - 1))).where(F.col("hash") < limits[F.col("label")]).dropDuplicates(["page_id"])
+        least = Window.partitionBy("label").orderBy("hash", "page_id")  # over some twice ``per_label`` rows
+        sample = hashed.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= per_label).collect()
+        if not sample:
+            raise ValueError("no page of the sample is left")
+        for r in sorted(sample, key=lambda r: (r.label, r.rank)):
+            rows += [(r.label, t) for _, _, t in readable_units(r.text, r.scanned)]
     return fit(rows) if rows else Model(np.ones(1 << BITS, np.float32), np.zeros((1 << BITS, 1), np.float32), ["und"], np.ones(1, np.float32))
 
 
