@@ -6,7 +6,9 @@ no look-behind, so from a common boundary on both see the same pre-tokens); the
 parallel and their ids concatenated. Seams without a common boundary (one pre-token longer than the overlap) are closed
 by joining the two chunks into one piece, so the result equals encoding the whole text at once.
 
-Defined results: a null text and an empty text give an empty list; special-token strings are ordinary text.
+Defined results: a null text and an empty text give an empty list; special-token strings are ordinary text. Every row of the
+input gives one row, whatever its length, its ``doc_id`` null or repeated: long texts are told apart by a hash of the text
+beside their id, and equal rows are encoded once and given back as often as they came.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ def _boundaries(pattern, chunk: str, low: int, high: int) -> list[int]:
 def encode(df: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``df(doc_id, text)`` to ``(doc_id, ids)``, one row for each row of ``df``.
 
-    Other columns are ignored. ``doc_id`` must be unique among texts longer than ``chunk``.
+    Other columns are ignored.
     """
     source = df.select(F.col("doc_id").cast("bigint"), F.col("text"))
     is_long = F.coalesce(F.length("text") > chunk + overlap, F.lit(False))
@@ -103,11 +105,13 @@ def encode(df: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP)
     short = map_batches(source.where(~is_long), whole, "doc_id bigint, ids array<int>")
 
     def cut(b: pa.RecordBatch):
+        from xxhash import xxh3_128_digest as digest
+
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             starts = range(0, len(text), chunk)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([doc] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array([text[s : s + chunk + overlap] for s in starts])],
-                names=["doc_id", "k", "part"],
+                [pa.array([doc] * len(starts), pa.int64()), pa.array([digest(text.encode())] * len(starts), pa.binary()), pa.array(range(len(starts)), pa.int32()), pa.array([text[s : s + chunk + overlap] for s in starts])],
+                names=["doc_id", "own", "k", "part"],
             )
 
     def pretokenise(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -115,37 +119,37 @@ def encode(df: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP)
 
         pattern = regex.compile(PATTERN)
         head, tail = [], []
-        for part in b.column(2).to_pylist():
+        for part in b.column(4).to_pylist():
             ends = [0, *(m.end() for m in pattern.finditer(part))]
             # The chunk may start inside a pre-token: its own first boundaries count only where the chunk before agrees.
             # No cut after white space: at the end of a piece, white space would match as one run.
             head.append([x for x in ends if x < overlap])
             tail.append([x - chunk for x in ends if chunk <= x < len(part) - MARGIN and not part[x - 1].isspace()])
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], names=["doc_id", "k", "part", "head", "tail"])
-
-    chunks = map_batches(source.where(is_long), cut, "doc_id bigint, k int, part string", rows=50)
-    # A doc_id may be null: chunks are grouped by a null-safe key, as groupBy and windows treat null as one value.
-    parts = map_batches(chunks.repartition("doc_id", "k"), pretokenise, "doc_id bigint, k int, part string, head array<int>, tail array<int>", rows=50)
-    by_doc = Window.partitionBy("doc_id").orderBy("k")
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], names=["doc_id", "own", "k", "copies", "part", "head", "tail"])
+
+    # A doc_id may be null: groupBy and windows treat null as one value. Chunks of equal rows meet here and are one from here on.
+    key = ["doc_id", "own"]
+    chunks = map_batches(source.where(is_long), cut, "doc_id bigint, own binary, k int, part string", rows=50)
+    once = chunks.groupBy(*key, "k").agg(F.count("*").alias("copies"), F.first("part").alias("part"))
+    parts = map_batches(once, pretokenise, "doc_id bigint, own binary, k int, copies bigint, part string, head array<int>, tail array<int>", rows=50)
+    by_doc = Window.partitionBy(*key).orderBy("k")
     seams = parts.withColumn("next", F.array_min(F.array_intersect("tail", F.lead("head").over(by_doc)))).withColumn("from", F.lag("next").over(by_doc))
     # A piece starts at each chunk whose seam with the chunk before is resolved; other chunks continue the piece.
     starts = (F.col("k") == 0) | F.col("from").isNotNull()
     body = F.expr(f"substring(part, coalesce(from, 0) + 1, {chunk} + coalesce(next, 0) - coalesce(from, 0))")
     pieces = (
-        seams.select("doc_id", "k", F.sum(starts.cast("int")).over(by_doc).alias("piece"), body.alias("body"))
-        .groupBy("doc_id", "piece")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "body"))), lambda x: x.body), "").alias("text"))
+        seams.select(*key, "k", "copies", F.sum(starts.cast("int")).over(by_doc).alias("piece"), body.alias("body"))
+        .groupBy(*key, "piece")
+        .agg(F.max("copies").alias("copies"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "body"))), lambda x: x.body), "").alias("text"))
     )
 
     def piece_ids(b: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(path)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), id_lists([e.encode(x) for x in b.column(2).to_pylist()])], names=["doc_id", "piece", "ids"])
+        return pa.RecordBatch.from_arrays([*b.columns[:4], id_lists([e.encode(x) for x in b.column(4).to_pylist()])], names=["doc_id", "own", "piece", "copies", "ids"])
 
-    long = (
-        map_batches(pieces.repartition("doc_id", "piece"), piece_ids, "doc_id bigint, piece bigint, ids array<int>", rows=50)
-        .groupBy("doc_id")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x.ids)).alias("ids"))
-    )
+    encoded = map_batches(pieces.select(*key, "piece", "copies", "text").repartition(*key, "piece"), piece_ids, "doc_id bigint, own binary, piece bigint, copies bigint, ids array<int>", rows=50)
+    joined = encoded.groupBy(*key).agg(F.max("copies").alias("copies"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x.ids)).alias("ids"))
+    long = joined.select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("doc_id", "ids")
     return short.unionByName(long)
 
 
