@@ -3,6 +3,9 @@
 The fewest pieces that can hold the text are computed, equal-length targets placed, each target snapped to the strongest
 boundary near it (blank line, line break, sentence end, white space, else a character), every piece is encoded again on
 its own, and one more piece is tried whenever any piece is above the limit.
+
+Defined results: null, empty and fitting texts give no piece; a text without any boundary is cut between characters; repeated
+rows are cut each for itself, alike.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from .tokens import Encoder, encoder
 
 LIMIT, OVERLAP, SLACK = 4096, 256, 64
 #: Natural boundaries from strong to weak, as patterns over the UTF-8 bytes of a text; a cut is at the end of a match.
-_STRENGTHS = [re.compile(p) for p in (rb"\n[ \t]*\n\s*", rb"\n", rb"[.!?\xe2\x80\xa6][\"')\]]*\s+|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\xe0\xa5\xa4\s*", rb"[ \t]+")]
+_STRENGTHS = [re.compile(p) for p in (rb"\n[ \t]*\n\s*", rb"\n", rb"(?:[.!?]|\xe2\x80\xa6)(?:[\"')\]]|\xe2\x80[\x99\x9d]|\xc2\xbb)*\s+|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)(?:\xe3\x80[\x8d\x8f]|\xe2\x80\x9d)*|\xe0\xa5[\xa4\xa5]\s*", rb"[ \t]+")]
 
 
 def _cut_points(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
