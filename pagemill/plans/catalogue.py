@@ -47,9 +47,18 @@ def _once(spark: SparkSession, d: str, table: str, key: str, *columns) -> DataFr
 
 # --- SQL fragments ------------------------------------------------------------------------------------------------
 
-_W = chars.WS
+# Fixed values, stated again for the SQL and not taken from the engine, so that a slip in the engine's own shows: white space,
+# scripts, signs and consonants, what a Sinhala or Tamil word may hold, words and symbols of the gibberish score.
+_W = "\\x{9}-\\x{d}\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_H = "\\x{9}\\x{b}-\\x{d}\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_S, _T, _L, _J = "\\x{d80}-\\x{dff}", "\\x{b80}-\\x{bff}", "A-Za-z", "\\x{200c}\\x{200d}"
+_S_SIGN, _S_CONSONANT, _T_SIGN, _T_CONSONANT = "\\x{dca}-\\x{ddf}\\x{df2}\\x{df3}", "\\x{d9a}-\\x{dc6}", "\\x{bbe}-\\x{bcd}\\x{bd7}", "\\x{b95}-\\x{bb9}"
+_IN_WORD = f"{_S}{_T}{_J}0-9!-/:-@\\[-`{{-~\\x{{2018}}-\\x{{201f}}\\x{{2013}}\\x{{2014}}\\x{{2026}}\\x{{a0}}"
+_COMMON = "['the', 'of', 'and', 'to', 'in', 'a', 'is', 'that', 'for', 'by', 'be', 'or', 'as', 'on', 'with', 'any', 'shall', 'this', 'which', 'under', 'such', 'are', 'it', 'from', 'at', 'an', 'not', 'was', 'has', 'have', 'been', 'other', 'may', 'no', 'all', 'his', 'her', 'its', 'their']"
+_ODD = "[A-Za-z][%;,''\\[\\]^$|`~@&*=+\\\\{}#][A-Za-z]|[\\x{a1}-\\x{ff}]"
+_INDIC_WORD = f"[^{_W}{_S}{_T}]*[{_S}{_T}][^{_W}]*"
 _N = lambda text, members: f"len(regexp_extract_all({text}, '[{members}]'))"
-_COUNTS = f"coalesce({_N('text', chars.SI)}, 0) AS si, coalesce({_N('text', chars.TA)}, 0) AS ta, coalesce({_N('text', chars.LATIN)}, 0) AS latin"
+_COUNTS = f"coalesce({_N('text', _S)}, 0) AS si, coalesce({_N('text', _T)}, 0) AS ta, coalesce({_N('text', _L)}, 0) AS latin"
 _SHARE = lambda f: f"CAST({f} / CAST(greatest(si + ta + latin, 1) AS DOUBLE) AS FLOAT)"
 _DOMINANT = "CASE WHEN greatest(si, ta, latin) = 0 THEN NULL WHEN latin >= greatest(si, ta) THEN 'en' WHEN ta >= si THEN 'ta' ELSE 'si' END"
 _LANGS = lambda share, least: (
@@ -58,16 +67,15 @@ _LANGS = lambda share, least: (
 )
 _STRIPPED = "translate(regexp_replace(text, '<[^>]*(?:>|$)', '', 'g'), '*_#', '   ')"
 _TOKENS = f"list_filter(regexp_extract_all({_STRIPPED}, '[^{_W}]+'), lambda w: regexp_matches(w, '[A-Za-z][^A-Za-z]*[A-Za-z]'))"
-_WEIRD = health.WEIRD.replace("'", "''")
 _GIBBERISH = f"""
 CASE WHEN len(tk) < 30 THEN CAST(0 AS FLOAT) ELSE CAST(
- greatest(least(CAST(CAST(1 AS FLOAT) - CAST(CAST(len(list_filter(tk, lambda w: list_contains({list(FUNCTION_WORDS)!r}, lower(regexp_replace(w, '[^A-Za-z]', '', 'g'))))) / CAST(len(tk) AS DOUBLE) AS FLOAT) / CAST(CAST(0.15 AS FLOAT) AS DOUBLE) AS FLOAT) AS FLOAT), CAST(1 AS FLOAT)), CAST(0 AS FLOAT))
- * greatest(least(CAST(CAST(len(list_filter(tk, lambda w: regexp_matches(w, '{_WEIRD}'))) / CAST(len(tk) AS DOUBLE) AS FLOAT) / CAST(CAST(0.15 AS FLOAT) AS DOUBLE) AS FLOAT), CAST(1 AS FLOAT)), CAST(0 AS FLOAT)) AS FLOAT) END"""
-_PLAIN = f"regexp_replace(text, '[{chars.JOINERS}]', '', 'g')"
+ greatest(least(CAST(CAST(1 AS FLOAT) - CAST(CAST(len(list_filter(tk, lambda w: list_contains({_COMMON}, lower(regexp_replace(w, '[^A-Za-z]', '', 'g'))))) / CAST(len(tk) AS DOUBLE) AS FLOAT) / CAST(CAST(0.15 AS FLOAT) AS DOUBLE) AS FLOAT) AS FLOAT), CAST(1 AS FLOAT)), CAST(0 AS FLOAT))
+ * greatest(least(CAST(CAST(len(list_filter(tk, lambda w: regexp_matches(w, '{_ODD}'))) / CAST(len(tk) AS DOUBLE) AS FLOAT) / CAST(CAST(0.15 AS FLOAT) AS DOUBLE) AS FLOAT), CAST(1 AS FLOAT)), CAST(0 AS FLOAT)) AS FLOAT) END"""
+_PLAIN = f"regexp_replace(text, '[{_J}]', '', 'g')"
 _MEASURES = f"""
-m AS (SELECT *, len(regexp_extract_all(text, '{health.INDIC_WORD}')) AS words,
- len(regexp_extract_all({_PLAIN}, '[{chars.SI_SIGNS}]')) - len(regexp_extract_all({_PLAIN}, '[{chars.SI_CONSONANTS}][{chars.SI_SIGNS}]')) + len(regexp_extract_all({_PLAIN}, '[{chars.TA_SIGNS}]')) - len(regexp_extract_all({_PLAIN}, '[{chars.TA_CONSONANTS}][{chars.TA_SIGNS}]')) AS errors,
- len(list_filter(regexp_extract_all(text, '{health.INDIC_WORD}'), lambda w: regexp_matches(w, '[^{chars.ALLOWED}A-Za-z]'))) AS bad,
+m AS (SELECT *, len(regexp_extract_all(text, '{_INDIC_WORD}')) AS words,
+ len(regexp_extract_all({_PLAIN}, '[{_S_SIGN}]')) - len(regexp_extract_all({_PLAIN}, '[{_S_CONSONANT}][{_S_SIGN}]')) + len(regexp_extract_all({_PLAIN}, '[{_T_SIGN}]')) - len(regexp_extract_all({_PLAIN}, '[{_T_CONSONANT}][{_T_SIGN}]')) AS errors,
+ len(list_filter(regexp_extract_all(text, '{_INDIC_WORD}'), lambda w: regexp_matches(w, '[^{_IN_WORD}A-Za-z]'))) AS bad,
  {_TOKENS} AS tk FROM c),
 h AS (SELECT *, CASE WHEN si + ta >= 50 AND words > 0 THEN CAST(errors / CAST(words AS DOUBLE) AS FLOAT) ELSE CAST(0 AS FLOAT) END AS visual_order,
  CASE WHEN si + ta >= 50 AND words > 0 THEN CAST(bad / CAST(words AS DOUBLE) AS FLOAT) ELSE CAST(0 AS FLOAT) END AS foreign_share,
@@ -104,7 +112,7 @@ def dominant_language(spark, d):
 
 @_query(_DOCS + f", m AS (SELECT *, {_TOKENS} AS tk FROM c) SELECT doc_id, round({_GIBBERISH}, 4) AS score FROM m")
 def latin_gibberish(spark, d):
-    return _counted(spark, d).select("doc_id", F.round(health.latin_gibberish_score(F.col("text")), 4).alias("score"))
+    return _counted(spark, d).select("doc_id", F.round(health.latin_gibberish_score(health.counts(F.col("text"))), 4).alias("score"))
 
 
 @_query(_DOCS + "," + _MEASURES + f" SELECT verdict, {_DOMINANT} AS lang, count(*) AS docs FROM w GROUP BY 1, 2")
@@ -195,7 +203,6 @@ def word_f1(spark, d):
 
 # --- rendering -----------------------------------------------------------------------------------------------------------
 
-_H = _W.replace("\\x{9}-\\x{d}", "\\x{9}\\x{b}-\\x{d}")
 _TRIM = lambda c: f"regexp_replace({c}, '^[{_W}]+|[{_W}]+\\z', '', 'g')"
 
 
@@ -315,8 +322,8 @@ def glyph_words(spark, d):
 
 
 def _word_sql(lang: str) -> str:
-    run = {"si": f"[{chars.SI}{chars.JOINERS}]+", "ta": f"[{chars.TA}{chars.JOINERS}]+", "en": f"[{chars.LATIN}]+"}[lang]
-    return f"WITH r AS (SELECT unnest(regexp_extract_all(text, '{run}')) AS w FROM documents), t AS (SELECT regexp_replace(w, '^[{chars.JOINERS}]+|[{chars.JOINERS}]+$', '', 'g') AS word FROM r), f AS (SELECT word, count(*) AS freq FROM t WHERE word <> '' GROUP BY word)"
+    run = {"si": f"[{_S}{_J}]+", "ta": f"[{_T}{_J}]+", "en": f"[{_L}]+"}[lang]
+    return f"WITH r AS (SELECT unnest(regexp_extract_all(text, '{run}')) AS w FROM documents), t AS (SELECT regexp_replace(w, '^[{_J}]+|[{_J}]+$', '', 'g') AS word FROM r), f AS (SELECT word, count(*) AS freq FROM t WHERE word <> '' GROUP BY word)"
 
 
 def _lexicon(spark, d, lang):
@@ -341,7 +348,7 @@ def lexicon_file(spark, d):
 _RULES = ", rules(src, dst, weight) AS (VALUES " + ", ".join(f"('{a}', '{b}', CAST(CAST({w} AS FLOAT) AS DOUBLE))" for a, b, w in SINHALA_CONFUSIONS) + ")"
 _STEP = "SELECT {a}.word, left({a}.form, i - 1) || dst || substr({a}.form, i + length(src)) AS form, {a}.score * weight AS score FROM {a} JOIN rules ON contains({a}.form, src) CROSS JOIN LATERAL unnest(range(1, length({a}.form) - length(src) + 2)) AS t(i) WHERE substr({a}.form, i, length(src)) = src"
 _VARIANTS = f"""
-WITH e AS (SELECT DISTINCT ocr_id, text FROM ocr_pages), x AS (SELECT unnest(regexp_extract_all(text, '[{chars.SI}{chars.JOINERS}]+')) AS w FROM e), y AS (SELECT regexp_replace(w, '^[{chars.JOINERS}]+|[{chars.JOINERS}]+$', '', 'g') AS word FROM x), l AS (SELECT word, count(*) AS freq FROM y WHERE word <> '' GROUP BY word){_RULES},
+WITH e AS (SELECT DISTINCT ocr_id, text FROM ocr_pages), x AS (SELECT unnest(regexp_extract_all(text, '[{_S}{_J}]+')) AS w FROM e), y AS (SELECT regexp_replace(w, '^[{_J}]+|[{_J}]+$', '', 'g') AS word FROM x), l AS (SELECT word, count(*) AS freq FROM y WHERE word <> '' GROUP BY word){_RULES},
 lex AS (SELECT word, freq FROM l WHERE freq >= 40), u AS (SELECT word FROM l WHERE freq < 40 AND length(word) >= 3),
 s0 AS (SELECT word, word AS form, CAST(1.0 AS DOUBLE) AS score FROM u),
 r1 AS ({_STEP.format(a="s0")}), s1 AS (SELECT word, form, max(score) AS score FROM r1 WHERE form <> word GROUP BY word, form),
