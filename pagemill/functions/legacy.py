@@ -7,6 +7,7 @@ Null text gives null; text without codes comes back normalised.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -159,6 +160,31 @@ def convert_markdown(markdown: str, words: FontWords | None, conv: Converter) ->
     return "".join(map(page.line, re.findall(r"[^\n]*\n|[^\n]+", markdown))), page.converted, page.kept, page.unmatched
 
 
+_CLUSTER_SIGN = re.compile("((?:[ක-ෆ]්‍)*[ක-ෆ])([ෙෛ]+)")
+
+
+def clean_recognised(word: str) -> str:
+    """A recognised Sinhala word in NFC without non-joiners, and without joiners at its ends."""
+    return unicodedata.normalize("NFC", word).replace(chars.ZWNJ, "").strip(chars.ZWJ)
+
+
+def visual_units(word: str) -> list[str]:
+    """A Sinhala word as a legacy font draws it: parts of vowels apart, signs that stand in front before their whole
+    consonant cluster; a virama and its joiner are one unit."""
+    drawn = _CLUSTER_SIGN.sub(r"\2\1", unicodedata.normalize("NFD", word))
+    return re.findall("්‍|.", drawn, re.S)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _drawn(words: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else visual_units(clean_recognised(x)) for x in words.to_pylist()], pa.list_(pa.string()))
+
+
+def drawn_units(word: Column) -> Column:
+    """``visual_units`` of recognised words."""
+    return _drawn(word)
+
+
 @F.arrow_udf(T.StringType())
 def _convert_fm(texts: pa.Array) -> pa.Array:
     conv = converter("fm-abhaya")

@@ -2,37 +2,38 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import chars
+from . import sequences
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[^{chars.WS}]+"), F.lit(0))
 
 
-def cer(reference: Column, other: Column) -> Column:
-    """Edit distance of code points over the length of the reference."""
-    return F.levenshtein(reference, other) / F.greatest(F.length(reference), F.lit(1)).cast("double")
+def edits(a: Column, b: Column) -> Column:
+    """Edit distance of code points; near texts need only a narrow band of the table, so growing bands are tried first."""
+    near = lambda most: F.nullif(F.levenshtein(a, b, most), F.lit(-1))
+    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(near(16), near(256), F.levenshtein(a, b)))
 
 
-def sequence_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays: a row of the table is folded over ``a``, its cells over ``b``."""
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: i.cast("int"))
+def cer(reference: Column, other: Column) -> Column:
+    """Edit distance of code points over the length of the reference."""
+    return edits(reference, other) / F.greatest(F.length(reference), F.lit(1)).cast("double")
 
-    def step(row: Column, word: Column) -> Column:
-        start = F.array((row[0] + 1).cast("int"))
-        numbered = F.arrays_zip(b.alias("w"), F.slice(row, 1, F.size(b)).alias("diagonal"), F.slice(row, 2, F.size(b)).alias("up"))
-        cell = lambda acc, x: F.concat(acc, F.array(F.least(x["diagonal"] + F.when(x["w"] == word, 0).otherwise(1), x["up"] + 1, F.element_at(acc, -1) + 1).cast("int")))
-        return F.aggregate(numbered, start, cell)
 
-    return F.when(F.size(b) <= 0, F.greatest(F.size(a), F.lit(0))).otherwise(F.element_at(F.aggregate(a, first, step), -1))
+@F.arrow_udf(T.IntegerType())
+def _word_edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else sequences.distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
 
 
 def wer(reference: Column, other: Column) -> Column:
-    a, b = words(reference), words(other)
-    return sequence_distance(a, b) / F.greatest(F.size(a), F.lit(1)).cast("double")
+    """Edit distance of words over the number of words of the reference."""
+    return _word_edits(words(reference), words(other)) / F.greatest(F.size(words(reference)), F.lit(1)).cast("double")
 
 
 def bigrams(text: Column) -> Column:
