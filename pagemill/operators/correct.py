@@ -1,8 +1,9 @@
 """Lexicon-constrained word correction as joins over distinct words.
 
-Each distinct word outside the lexicon is expanded once: two rounds of a broadcast join with the rules that occur in it,
-keeping the best weight of each variant. Variants are joined with the lexicon, ranked, and the accepted correction of a
-word is mapped back to all its occurrences.
+Each distinct word outside the lexicon is expanded once: two rounds of an equi-join of its short runs of characters with the
+sources of the rules, keeping the best weight of each variant. Variants are joined with the lexicon, ranked, and the accepted
+correction of a word is mapped back to all its occurrences. Rule tables of any size are joined by key: the optimizer sends a
+small one to all executors and shuffles a large one.
 
 Null words are ignored; a word without an accepted candidate has no row; ties between candidates go to the smaller word.
 """
@@ -18,8 +19,6 @@ from .. import chars
 from ..functions.tables import SINHALA_CONFUSIONS
 
 RULES_SCHEMA = "src string, dst string, weight float"
-#: Rules up to which the table is broadcast; larger tables are joined by their first character instead.
-BROADCAST_RULES = 10_000
 
 
 @dataclass(frozen=True)
@@ -44,33 +43,42 @@ def parse_rules(lines: DataFrame) -> DataFrame:
     return rows.where("src is not null and dst is not null and weight is not null and src != dst and src != ''").withColumn("weight", F.least(F.greatest("weight", F.lit(0.0).cast("float")), F.lit(1.0).cast("float")))
 
 
-def _expand(frontier: DataFrame, rules: DataFrame, depth: int) -> DataFrame:
-    """Every rule at every place of ``form``."""
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length("form") - F.length("src") + 1, F.lit(1))), lambda i: F.col("form").substr(i, F.length("src")) == F.col("src"))
-    put = F.transform(places, lambda i: F.concat(F.col("form").substr(F.lit(1), i - 1), F.col("dst"), F.substring("form", i + F.length("src"), F.length("form"))))
-    joined = frontier.join(rules, F.contains("form", "src"))
-    return joined.select("word", F.explode(put).alias("form"), (F.col("score") * F.col("weight").cast("double")).alias("score"), F.lit(depth).alias("edits"))
+def _expand(frontier: DataFrame, rules: DataFrame, longest: int, depth: int, sets: list[str]) -> DataFrame:
+    """Every rule at every place of ``form``: runs of up to ``longest`` characters meet the rules' sources."""
+    places = lambda k: F.transform(F.sequence(F.lit(1), F.length("form") - k + 1), lambda i: F.struct(i.alias("i"), F.col("form").substr(i, F.lit(k)).alias("src")))
+    none = F.expr("cast(array() as array<struct<i: int, src: string>>)")
+    runs = F.flatten(F.array(*[F.when(F.length("form") >= k, places(k)).otherwise(none) for k in range(1, longest + 1)]))
+    placed = frontier.select(*sets, "word", "form", "score", F.inline(runs))
+    joined = placed.join(rules, [*sets, "src"])
+    put = F.concat(F.col("form").substr(F.lit(1), F.col("i") - 1), F.col("dst"), F.substring("form", F.col("i") + F.length("src"), F.length("form")))
+    return joined.select(*sets, "word", put.alias("form"), (F.col("score") * F.col("weight").cast("double")).alias("score"), F.lit(depth).alias("edits"))
 
 
-def variants(words: DataFrame, rules: DataFrame, max_edits: int = 2) -> DataFrame:
-    """``words(word)``, distinct, to ``(word, form, edits, score)``: each form once, with its best weight product."""
-    table = rules.select("src", "dst", "weight")
-    small = F.broadcast(table) if table.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else table
+def variants(words: DataFrame, rules: DataFrame, max_edits: int = 2, sets: list[str] | None = None) -> DataFrame:
+    """``words(word)``, distinct, to ``(word, form, edits, weight)``: each form once, with its best weight product.
+
+    ``sets``: columns of ``rules`` that tell several tables apart; each is applied for itself and comes out beside the forms.
+    """
+    sets = sets or []
+    table = rules.where("src != ''").select(*sets, "src", "dst", "weight")
+    longest = table.agg(F.coalesce(F.max(F.length("src")), F.lit(0))).first()[0]
     frontier = words.where("word is not null").select("word", F.col("word").alias("form"), F.lit(1.0).alias("score"))
+    if sets:
+        frontier = frontier.join(F.broadcast(table.select(*sets).distinct()))  # a row a set
+    best = lambda df: df.groupBy(*sets, "word", "form").agg(F.max(F.struct("score", (-F.col("edits")).alias("less"))).alias("best")).select(*sets, "word", "form", F.col("best.score").alias("score"), (-F.col("best.less")).cast("int").alias("edits"))
     out = None
     for depth in range(1, max_edits + 1):
-        step = _expand(frontier, small, depth).where("form != word").groupBy("word", "form").agg(F.max(F.struct("score", (-F.col("edits")).alias("less"))).alias("best"))
-        level = step.select("word", "form", F.col("best.score").alias("score"), (-F.col("best.less")).cast("int").alias("edits"))
+        level = best(_expand(frontier, table, longest, depth, sets).where("form != word"))
         out = level if out is None else out.unionByName(level)
-        frontier = level.select("word", "form", "score")
-    return out.groupBy("word", "form").agg(F.max(F.struct("score", (-F.col("edits")).alias("less"))).alias("best")).select("word", "form", (-F.col("best.less")).cast("int").alias("edits"), F.col("best.score").alias("weight"))
+        frontier = level.select(*sets, "word", "form", "score")
+    return best(out).withColumnRenamed("score", "weight")
 
 
-def candidates(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
+def candidates(forms: DataFrame, lexicon: DataFrame, sets: list[str] | None = None) -> DataFrame:
     """Forms that are in ``lexicon(word, freq)``, with their score and rank."""
     known = lexicon.where("freq > 0").select(F.col("word").alias("form"), "freq")
     scored = forms.join(known, "form").withColumn("score", F.col("freq").cast("double") * F.col("weight"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "form")))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*(sets or []), "word").orderBy(F.desc("score"), "form")))
 
 
 def corrections(words: DataFrame, lexicon: DataFrame, rules: DataFrame, options: Options = Options()) -> DataFrame:

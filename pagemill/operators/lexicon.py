@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import chars
 
 # Fixed value: first line of the file format.
-MAGIC = "#lipi-lexicon 1"
+MAGIC = "#pagemill-lexicon 1"
 _RUN = {"si": f"[{chars.SI}{chars.JOINERS}]+", "ta": f"[{chars.TA}{chars.JOINERS}]+", "en": f"[{chars.LATIN}]+"}
 
 
@@ -50,13 +50,13 @@ def build(texts: DataFrame, lang: str) -> Lexicon:
     return Lexicon(lang, counts, counts.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("tokens")))
 
 
-def read(spark: SparkSession, path: str) -> Lexicon:
-    """A saved list; a wrong header or line is an error."""
+def read(spark: SparkSession, path: str, magic: str = MAGIC) -> Lexicon:
+    """A saved list; a wrong header or line is an error. Lists of other programs are read by naming their first words as ``magic``."""
     rows = spark.read.text(path)
-    head = rows.where(F.col("value").startswith(MAGIC)).head()
+    head = rows.where(F.col("value").startswith(magic)).head()
     if head is None:
-        raise ValueError(f"{path}: not a lexicon, {MAGIC!r} expected")
-    fields = dict(x.split("=", 1) for x in head.value[len(MAGIC) :].split() if "=" in x)
+        raise ValueError(f"{path}: not a lexicon, {magic!r} expected")
+    fields = dict(x.split("=", 1) for x in head.value[len(magic) :].split() if "=" in x)
     if fields.get("lang") not in _RUN or not fields.get("tokens", "0").isdigit():
         raise ValueError(f"{path}: header without a known language and token count")
     body = rows.where((F.length("value") > 0) & ~F.col("value").startswith("#"))
