@@ -37,7 +37,16 @@ def test_health(spark):
     assert got[1].reasons == ["visual_order"] and got[3].latin_gibberish > 0.7 and got[4].latin_gibberish < 0.2 and got[5].latin_gibberish < 0.2
 
 
-@pytest.mark.parametrize(("text", "want"), [("ශ්‍රී", "ශ්‍රී"), ("ක්‌ක", "ක්ක"), ("a​b‍ cﬁ\r\n", "ab cfi\n"), ("ක" + "ෙ" + "ා", "කො"), ("க" + "ெ" + "ா", "கொ")])
+GA, MA, VIRAMA, E_SIGN, A_SIGN, ZWJ, ZWNJ = "ග", "ම", "\u0dca", "\u0dd9", "\u0dcf", "\u200d", "\u200c"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (GA + VIRAMA + ZWJ + MA, GA + VIRAMA + ZWJ + MA), (ZWJ + GA + MA + ZWJ, GA + MA), (GA + VIRAMA + ZWNJ + MA, GA + VIRAMA + MA), (GA + ZWNJ + MA, GA + ZWNJ + MA), ("x" + ZWNJ + "y", "xy"),
+        ("o\ufb03ce\rnext\r\nline", "office\nnext\nline"), ("\ufeffso\u00adft\u2060", "soft"), ("tab\there\x07", "tab\there"), (GA + E_SIGN + A_SIGN, GA + "\u0ddc"), ("e\u0301", "é"), ("", ""),
+    ],
+)
 def test_normalize(text, want):
     assert normalize.normalize_text(text) == want
 
@@ -49,8 +58,25 @@ def test_canonical_text_is_clean(text):
     assert got == " ".join(got.split()) and not set(got) & set(normalize.DROPPED + "\r\n") and not set(got) & set(normalize.LIGATURES)
 
 
-@pytest.mark.parametrize(("text", "want", "moved"), [("පළාෙත්", "පළාතේ", 1), ("ෙකාළඹ", "කොළඹ", 1), ("இலங்ைகச்", "இலங்கைச்", 1), (GOOD, GOOD, 0), ("", "", 0)])
-def test_repair(text, want, moved):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("කගජටතනපබමයරලවසහ"), st.sampled_from(["", E_SIGN, "\u0ddb", "\u0dd2", "\u0dcf"]), st.booleans()), max_size=12))
+def test_repair(syllables):
+    """A sign typed before its consonant, as it is drawn, comes back behind it, and only then."""
+    logical = drawn = ""
+    moved = 0
+    for k, (consonant, sign, wrong) in enumerate(syllables):
+        # Behind a bare consonant a sign reads as that one's own: only after another sign or at the start it is out of place.
+        early = wrong and sign in (E_SIGN, "\u0ddb") and (not drawn or not "ක" <= drawn[-1] <= "ෆ")
+        logical, drawn, moved = logical + consonant + sign, drawn + (sign + consonant if early else consonant + sign), moved + early
+        if k % 3 == 2:
+            logical, drawn = logical + " ", drawn + " "
+    import unicodedata
+
+    assert normalize.repair_text(drawn) == (unicodedata.normalize("NFC", logical), moved)
+
+
+@pytest.mark.parametrize(("text", "want", "moved"), [("\u0bc7" + "மற்கு", "மேற்கு", 1), (E_SIGN + MA + VIRAMA + ZWJ + "ර", MA + VIRAMA + ZWJ + "ර" + E_SIGN, 1), (GOOD, GOOD, 0), ("Galle road", "Galle road", 0), ("", "", 0)])
+def test_repair_of_clusters_and_clean_text(text, want, moved):
     assert normalize.repair_text(text) == (want, moved)
 
 
@@ -60,29 +86,42 @@ def test_fonts(spark):
     assert [g[0] for g in got] == ["fm-abhaya", "dl-manel", "tam-tab", None, None, None] and got[4][1]
 
 
-MINI = {"f": "ෙ", "ff": "ෛ", "l": "ක", "d": "ා", "g": "ට", "j": "ව", "o": "ද", "H": "්‍ය", "r": "ර", "re": "රු", "$": "/", "Y": "ශ", "%": "්‍ර", "S": "ී", "i": "ස"}
+TOY = {"q": "\u0dd9", "qq": "\u0ddb", "m": "ම", "n": "න", "v": "වි", "vv": "වී", "W": "\u0dca\u200dය", "u": "\u0dcf", ";": ":"}
 
 
 def test_converter():
-    c = legacy.Converter("mini", "si", MINI)
-    assert [c.convert(x) for x in ("fldg", "ffjoH", "re", "12$3 x", "YS%")] == ["කොට", "වෛද්‍ය", "රු", "12/3 x", "ශ්‍රී"]
-    assert c.maps("f") and not c.maps("9") and len(c) == len(MINI)
+    c = legacy.Converter("toy", "si", TOY)
+    # Longest codes first; a sign in front goes behind its consonant, with all that hangs on it; what no code draws stays.
+    assert [c.convert(x) for x in ("vvvn", "qmu", "qqnWu", "7;x")] == ["වීවින", "මො", "න්‍යෛා", "7:x"]
+    assert c.maps("q") and not c.maps("7") and len(c) == len(TOY)
 
 
 def test_legacy_markdown():
-    c = legacy.converter("fm-abhaya")
-    words = legacy.FontWords(frozenset({"fldg"}), frozenset({"No."}), {"$WS$": [False, True, True, False]}, 10, 2)
-    text, converted, kept, unmatched = legacy.convert_markdown("**fldg**: $WS$\n| fldg | No. |\n|---|---|\n", words, c)
-    assert text.splitlines()[1:] == ["| කොට | No. |", "|---|---|"] and text.startswith("**කොට**") and (converted, kept) == (3, 1)
-    assert legacy.convert_markdown("<u>Y%S</u>", None, c)[0] == "<u>ශ්‍රී</u>"
+    c = legacy.Converter("toy", "si", TOY)
+    words = legacy.FontWords(frozenset({"qmu", "vn"}), frozenset({"nm"}), {"mAm": [True, False, False]}, 8, 3)
+    got = legacy.convert_markdown("## **qmu**, nm\n| vn | mAm |\n|---|---|\n", words, c)
+    assert got == ("## **මො**, nm\n| වින | මAm |\n|---|---|\n", 3, 1, 0)
+    assert legacy.convert_markdown("unknown `vv`", words, c)[3] == 2
+    assert legacy.convert_markdown("<u>vv</u>", None, c)[0] == "<u>වී</u>"
     assert legacy.convert_markdown("", words, c) == ("", 0, 0, 0)
 
 
+def test_drawn_order():
+    """Words in the order in which a legacy font draws them, and back by conversion."""
+    assert legacy.visual_units("කොළ") == [E_SIGN, "ක", A_SIGN, "ළ"]
+    assert legacy.visual_units("ප්‍රේම") == [E_SIGN, "ප", "්‍", "ර", "්", "ම"]
+    assert legacy.visual_units("") == [] and legacy.clean_recognised("‍ක්‌ක‌‍") == "ක්ක"
+    codes = {u: chr(0x4E00 + k) for k, u in enumerate(sorted({"ක", "ළ", "ම", "ප", "ර", "්", "්‍", E_SIGN, "\u0ddb", A_SIGN}))}
+    c = legacy.Converter("made up", "si", {v: k for k, v in codes.items()})
+    for word in ("කොළ", "ප්‍රේම", "මෛර", "කළ"):
+        assert c.convert("".join(codes[u] for u in legacy.visual_units(word))) == word
+
+
 def test_rendering(spark):
     got = rows(spark, ["a\n\n\n\nb\n# not a heading", "# Title\n\n| a | b |\n|---|---|\n| 1 | 2 |", "", None], render.text_to_markdown(F.col("t")), render.plain_text(F.col("t")))
     assert got[0][0] == "a\n\nb\n\\# not a heading" and got[1][1] == "Title\n\na\tb\n1\t2\n" and got[2] == ("", "") and got[3][0] is None
-    lines = F.array(F.lit("the judg-"), F.lit(" ment was "), F.lit(""), F.lit("ශ්‍රී-"), F.lit("ලංකා"))
-    assert spark.range(1).select(render.join_lines(lines)).first()[0] == "the judgment was ශ්‍රී- ලංකා"
+    lines = F.array(F.lit("a har-"), F.lit(" bour wall, the Well-"), F.lit(""), F.lit("Known"), F.lit("මාර්-"), F.lit("ගය"))
+    assert spark.range(1).select(render.join_lines(lines)).first()[0] == "a harbour wall, the Well- Known මාර්- ගය"
 
 
 def test_metrics(spark):
