@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pagemill.llm import encoding, languages, lookalike, split
+from pagemill.llm import encoding, languages, leaks, lookalike, split
 
 TEXTS = {
     "ru": "Вчера комитет рассмотрел отчёт и отложил решение. Он ушёл в 8 часов.",
@@ -117,3 +117,31 @@ def test_labels_of_the_collection(spark):
 @pytest.mark.parametrize(("text", "strong"), [("නව ගම", False), ("बाद में", False), ("தம் இந்", False), ("එක. දෙක", True), ("एक। दो", True), ("one… two", True), ("“Go.” He", True), ("。次", True)])
 def test_sentence_ends_among_cut_points(text, strong):
     assert (2 in split._cut_points(text.encode())[1].tolist()) is strong
+
+
+def test_leaks_of_short_words_and_hot_items(spark):
+    """Ten characters of Chinese, an item of few letters, one item in most documents, repeated rows, texts of many items."""
+    zh = "应村民要求屿澜登记处公布了公开计划书记员说桥梁工程还没有完成我们必须等待"
+    tiny = "an ox or a hen is up to me"
+    hot = "the curved glacier of the north lifts a sextant near the harbour and seven walnuts"
+    many = [f"item {k} holds quiet marble bridges beside lantern {k} under willow number {k * 7} today" for k in range(150)]
+    items = spark.createDataFrame([(1, zh), (2, tiny), (3, hot), (4, "cat"), (5, "ab")] + [(100 + k, t) for k, t in enumerate(many)], "item_id bigint, text string")
+    docs = [(1, "前言。" + zh[4:15] + "。"), (2, "前言。" + zh[4:12] + "。"), (3, "He said: " + tiny.upper() + "!"), (4, "\n".join(many)), (None, hot), (5, hot + "."), (5, hot + ".")] + [(k, f"{k} x {hot} y") for k in range(10, 60)]
+    found = leaks.find(spark.createDataFrame(docs, "doc_id bigint, text string"), items)
+    got = [(r.doc_id, r.item_id) for r in found.collect()]
+    assert len(got) == len(set(got))
+    assert {x for x in got if x[1] < 100} == {(1, 1), (3, 2), (None, 3), (5, 3)} | {(k, 3) for k in range(10, 60)}
+    assert {x for x in got if x[1] >= 100} == {(4, 100 + k) for k in range(150)}
+
+
+def test_filter_passes_every_seed():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 2**63, 5000, np.int64).view(np.uint64)
+    bits = np.zeros(1 << leaks.FILTER_BITS, bool)
+    for k in range(leaks.PROBES):
+        bits[leaks.probes(seeds, k)] = True
+    packed = np.packbits(bits).reshape(-1, 1 << (leaks.PART_BITS - 3))
+    known = leaks.Filter({k: packed[k].tobytes() for k in np.flatnonzero(packed.any(1))})
+    assert len(known.passed(seeds)) == len(seeds) and len(known.passed(rng.integers(0, 2**63, 100_000, np.int64).view(np.uint64))) < 20
