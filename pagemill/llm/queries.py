@@ -58,12 +58,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units of every page, with their order, kind and stored text."""
     pages = scan(spark, d, "pages", F.col("page_id").alias("record_id"), F.col("markdown").alias("text"))
-    return sentences.sentences(pages).withColumnRenamed("record_id", "page_id").distinct()
+    return sentences.sentences(pages, sentences.learn(pages)).withColumnRenamed("record_id", "page_id").distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pages = scan(spark, d, "pages").where("method.kind in ('text_layer', 'office')").select(F.col("page_id").alias("record_id"), F.col("markdown").alias("text"))
-    return sentences.sentences(pages).select(F.col("record_id").alias("page_id"), "start_at", "end_at").distinct()
+    know = sentences.learn(scan(spark, d, "pages", F.col("markdown").alias("text")))
+    return sentences.sentences(pages, know).select(F.col("record_id").alias("page_id"), "start_at", "end_at").distinct()
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:

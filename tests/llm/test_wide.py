@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pagemill.llm import encoding, languages, leaks, lookalike, split
+from pagemill.llm import encoding, languages, leaks, lookalike, sentences, split
 
 TEXTS = {
     "ru": "Вчера комитет рассмотрел отчёт и отложил решение. Он ушёл в 8 часов.",
@@ -145,3 +145,40 @@ def test_filter_passes_every_seed():
     packed = np.packbits(bits).reshape(-1, 1 << (leaks.PART_BITS - 3))
     known = leaks.Filter({k: packed[k].tobytes() for k in np.flatnonzero(packed.any(1))})
     assert len(known.passed(seeds)) == len(seeds) and len(known.passed(rng.integers(0, 2**63, 100_000, np.int64).view(np.uint64))) < 20
+
+
+def cut(text, *know):
+    return [text[a:b] for a, b, _, _ in sentences.units(text, *know)]
+
+
+def test_gaps_of_chinese_and_japanese():
+    assert cut("今日は晴れです 明日は雨です") == ["今日は晴れです", "明日は雨です"] and cut("我来了 他走了") == ["我来了", "他走了"]
+    assert cut("東京 大阪") == ["東京 大阪"] and cut("彼は 来た。次。") == ["彼は 来た。", "次。"] and cut("行\n数です。") == ["行\n数です。"]
+
+
+def test_abbreviations():
+    for text in ("Gov. Brown spoke.", "Univ. of Oxford.", "Jan. 5 was cold.", "The U.S. Senate met."):
+        assert cut(text) == [text]
+
+
+def test_words_of_the_collection(spark):
+    """Words that nobody listed: what stands only before numbers holds a gap open, what ends paragraphs closes it, abbreviations are learned."""
+    rng = random.Random(6)
+    names = ["ตาก", "เลย", "น่าน", "ระนอง", "สตูล", "ลำปาง", "พังงา", "กระบี่"]
+    thai = [f"{rng.choice(names)}อยู่ทางเหนือ ราคา {rng.randint(10, 99)} หน่วยตลอดมา{rng.choice(names)}\n\n" for _ in range(400)]
+    chinese = [f"{rng.choice('甲乙丙丁戊己')}到学校上课{rng.choice('天地人山水火')}说完毕。" for _ in range(400)]
+    english = [f"Plot xq. {rng.randint(1, 9)} of the xq. {rng.randint(1, 9)} land was let. The rest was sold.\n\n" for _ in range(60)]
+    df = spark.createDataFrame([("".join(thai[k : k + 20]),) for k in range(0, 400, 20)] + [("".join(chinese[k : k + 20]),) for k in range(0, 400, 20)] + [(x,) for x in english] + [(None,), ("",)], "text string")
+    know = sentences.learn(df)
+    assert "xq" in know.abbreviations and "sold" not in know.abbreviations
+    assert cut("The xq. 5 was let. It was sold.", know) == ["The xq. 5 was let.", "It was sold."] and len(cut("The xq. 5 was let. It was sold.")) == 3
+    assert "说完毕" in know.closing and cut("甲到学校上课山说完毕 乙到学校上课人说完毕", know) == ["甲到学校上课山说完毕", "乙到学校上课人说完毕"]
+    assert know.closing["ราคา"][1] >= 300 and cut("ตากราคา ระนอง", know) == ["ตากราคา ระนอง"] and cut("ตากราคา ระนอง") == ["ตากราคา", "ระนอง"]
+    assert sentences.learn(df.limit(0)).opening == {}
+    rows = sentences.sentences(spark.createDataFrame([(1, "甲到学校上课山说完毕 乙到学校上课人说完毕")], "record_id bigint, text string"), know)
+    assert rows.count() == 2
+
+
+def test_long_runs_without_spaces():
+    assert len(cut("ก" * 100_000)) == 1 and len(cut("天" * 100_000 + " " + "地" * 100_000)) == 1
+    assert len(cut("ตาก " * 3000)) == 3000
