@@ -84,7 +84,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, d: str) -> scans.Findings:
-    return scans.Findings(spark, scan(spark, d, "ocr_pages", "ocr_id", "doc", "text"))
+    pages = scan(spark, d, "ocr_pages", "ocr_id", "doc", "text", F.expr("transform(word_confidences, x -> x.conf)").alias("confs"))
+    return scans.Findings(spark, pages, scan(spark, d, "pages", "langs", F.col("markdown").alias("text")))
 
 
 def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +93,14 @@ def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scans.paragraphs(_scans(spark, d))
 
 
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The markdown of every scanned page as continuous paragraphs, whether its recognition is on record or not."""
+    pages = scan(spark, d, "pages", "page_id", "doc", "langs", F.col("method.kind").alias("kind"), F.col("markdown").alias("text"))
+    confs = scan(spark, d, "ocr_pages", "page_id", F.expr("transform(word_confidences, x -> x.conf)").alias("confs")).where("confs is not null").dropDuplicates(["page_id"])
+    scanned = pages.where("kind = 'ocr'").join(confs, "page_id", "left").select(F.col("page_id").alias("ocr_id"), "doc", "text", "confs")
+    return scans.paragraphs(scans.Findings(spark, scanned, pages.select("langs", "text"))).withColumnRenamed("ocr_id", "page_id")
+
+
 def p5_corrections(spark: SparkSession, d: str) -> DataFrame:
     """Rare words with the dictionary word each is a misreading of."""
     return _scans(spark, d).fixes
@@ -144,7 +153,7 @@ j AS (SELECT t.*, s.n_lists, s.n_tokens FROM t LEFT JOIN s ON t.lang IS NOT DIST
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_consistent, p1_found, p1_classes, p2_segments, p2_pages, p2_found, p3_sentences, p3_found, p4_term_counts, p4_found, p5_paragraphs, p5_corrections, p5_found, p6_restored, p6_found, p7_ids, p8_leaks, p8_found, p9_pieces, p9_found)}
+    return {f.__name__: f for f in (p1_consistent, p1_found, p1_classes, p2_segments, p2_pages, p2_found, p3_sentences, p3_found, p4_term_counts, p4_found, p5_paragraphs, p5_pages, p5_corrections, p5_found, p6_restored, p6_found, p7_ids, p8_leaks, p8_found, p9_pieces, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
