@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pagemill.llm import encoding, languages, leaks, lookalike, sentences, split
+from pagemill.llm import encoding, languages, leaks, lookalike, scans, sentences, split
 
 TEXTS = {
     "ru": "Вчера комитет рассмотрел отчёт и отложил решение. Он ушёл в 8 часов.",
@@ -182,3 +182,56 @@ def test_words_of_the_collection(spark):
 def test_long_runs_without_spaces():
     assert len(cut("ก" * 100_000)) == 1 and len(cut("天" * 100_000 + " " + "地" * 100_000)) == 1
     assert len(cut("ตาก " * 3000)) == 3000
+
+
+def test_misreadings_in_a_large_vocabulary(spark):
+    """Of 100,000 words by Zipf's law, misreadings of rare ones are found as well as those of common ones."""
+    rng = random.Random(12)
+    vocabulary = sorted({"".join(rng.choice("abdeghiklmnoprstuvwyz") for _ in range(rng.randint(6, 11))) for _ in range(101_000)})[:100_000]
+    rng.shuffle(vocabulary)
+    counted = {w: 3_000_000 // (k + 20) for k, w in enumerate(vocabulary)}
+    misread = {}
+    for k in range(0, 100_000, 40):
+        w = vocabulary[k]
+        options = [(r, p) for r, p in scans.MISREADINGS["latin"] if p in w and r.islower() and r.isascii()]
+        if options and counted[w] >= 2 * scans.RATIO:
+            read, printed = rng.choice(options)
+            at = rng.choice([i for i in range(len(w)) if w.startswith(printed, i)])
+            misread[w[:at] + read + w[at + len(printed) :]] = w
+    rows = [("en", w, n, n, 0) for w, n in counted.items()] + [("en", w, 1, 1, 0) for w in misread if w not in counted]
+    df = spark.createDataFrame(rows, "lang string, word string, n bigint, lower bigint, proper bigint")
+    got = {r.word: r.fixed for r in scans.corrections(spark, df, scans.dictionary(df)).collect()}
+    assert len(misread) > 2000 and sum(got.get(w) == fixed for w, fixed in misread.items()) >= 0.9 * len(misread)
+
+
+def test_confidences_are_evidence(spark):
+    """A suspect reading needs a less common word, a sure one a commoner; no confidence changes nothing."""
+    rows = [("en", "granary", 20, 20, 0, None), ("en", "grauary", 2, 2, 0, None), ("en", "harbour", 20, 20, 0, 90.0), ("en", "harbonr", 2, 2, 0, 40.0), ("en", "library", 40, 40, 0, None), ("en", "llbrary", 2, 2, 0, 99.0), ("en", "journey", 40, 40, 0, None), ("en", "jouruey", 2, 2, 0, 80.0)]
+    df = spark.createDataFrame(rows, "lang string, word string, n bigint, lower bigint, proper bigint, conf double")
+    assert {r.word for r in scans.corrections(spark, df, scans.dictionary(df)).collect()} == {"harbonr", "jouruey"}
+    page = scans._PageWords("the bro-\nken one", confs=[90.0, 30.0, 50.0, None])
+    assert [(w[1], w[6]) for w in page.words] == [("the", 90.0), ("broken", 30.0), ("one", None)]
+    assert {w[6] for w in scans._PageWords("the bro-\nken one", confs=[1.0]).words} == {None}
+
+
+def test_confusions_of_a_script_without_a_table(spark):
+    """Devanagari: words broken over lines are joined, and an exchange of letters that many pairs show is undone."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("कगचजटडतदपबमयरलसह") + rng.choice(["", "ा", "ि", "ु"]) for _ in range(4)) + "घन" for _ in range(12)]
+    pages = [(k, "d", "\n".join(" ".join(rng.sample(words, 8)) for _ in range(12))) for k in range(30)]
+    wrong = [w.replace("घ", "ध") for w in words]
+    pages += [(100 + k, f"d{k}", "यह पृष्ठ है\n" + w + " यहाँ है\nऔर " + words[0][:3] + "-\n" + words[0][3:] + " फिर\nअंत में है") for k, w in enumerate(wrong)]
+    found = scans.Findings(spark, spark.createDataFrame(pages, "ocr_id bigint, doc string, text string"))
+    assert {(r.word, r.fixed) for r in found.fixes.collect()} == set(zip(wrong, words))
+    assert {(r.line_no, r.kind) for r in found.found().where("ocr_id = 103").collect()} == {(1, "misread"), (2, "hyphen")}
+    assert "और " + words[0] + " फिर" in scans.paragraphs(found).where("ocr_id = 103").first().text
+
+
+def test_telling_words_of_labelled_pages(spark):
+    """A language that no list names is told by the words of its pages."""
+    rows = [(["es"], "el informe de la junta se aplazó y el acuerdo no fue firmado por la ciudad")] * 6 + [(["en"], "the report of the board was read by the clerk and it was not signed")] * 6 + [(None, "x y")]
+    words = scans.telling_words(spark.createDataFrame(rows, "langs array<string>, text string"))
+    assert {"el", "la", "informe"} <= words["es"] and words["en"] >= scans.STOP_WORDS["en"] and words["de"] == scans.STOP_WORDS["de"]
+    page = scans._PageWords("el acuerdo\nde la junta", scans._telling(words))
+    assert {w[0] for w in page.words} == {"es"}
+    assert scans.telling_words(spark.createDataFrame([], "langs array<string>, text string")) == scans.STOP_WORDS
