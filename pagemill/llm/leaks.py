@@ -201,7 +201,7 @@ def _seeds(items: DataFrame) -> DataFrame:
     hashed = map_batches(one, grams, "item_id bigint, text string, grams array<bigint>", rows=500).checkpoint()
     each = hashed.select("item_id", F.explode("grams").alias("gram"))
     shared = each.groupBy("gram").agg(F.count("*").alias("shared"))
-    counted = each.join(shared, "gram").groupBy("item_id").agg(F.collect_list(F.struct("gram", "shared")).alias("shared"))  # as many as the item has letters
+    counted = each.join(shared.hint("merge"), "gram").groupBy("item_id").agg(F.collect_list(F.struct("gram", "shared")).alias("shared"))  # as many as the item has letters
 
     def choose(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, rows = b.column(0).to_pylist(), []
@@ -272,9 +272,10 @@ def find(documents: DataFrame, items: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     salt = F.pmod(F.hash("own"), F.lit(SALTS)).alias("salt")
     spots = found.select(*key, salt, F.inline(F.arrays_zip("grams", "places"))).withColumnsRenamed({"grams": "gram", "places": "place"})
-    met = spots.join(seeds.select("gram", "item_id", salts), ["gram", "salt"]).groupBy(*key, "item_id").agg(F.array_sort(F.collect_set("place")).alias("hits"))
+    # Seeds and items are never broadcast: their number has no bound.
+    met = spots.join(seeds.select("gram", "item_id", salts).hint("merge"), ["gram", "salt"]).groupBy(*key, "item_id").agg(F.array_sort(F.collect_set("place")).alias("hits"))
     wanted = chosen.select("item_id", "words", "least", salts)
-    pairs = met.withColumn("salt", F.pmod(F.hash("own"), F.lit(SALTS))).join(wanted, ["item_id", "salt"]).where(F.size("hits") >= F.col("least")).drop("salt", "least").withColumnRenamed("words", "item_words")
+    pairs = met.withColumn("salt", F.pmod(F.hash("own"), F.lit(SALTS))).join(wanted.hint("merge"), ["item_id", "salt"]).where(F.size("hits") >= F.col("least")).drop("salt", "least").withColumnRenamed("words", "item_words")
     # The items of a document in groups of bounded size, so that no row grows with what a document leaks.
     groups = F.ceil(F.count("*").over(Window.partitionBy(*key)) / GROUP).cast("int")
     grouped = pairs.select(*key, "item_id", "item_words", "hits", F.pmod(F.hash("item_id"), groups).alias("part"))
