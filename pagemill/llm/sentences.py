@@ -344,7 +344,7 @@ def learn(pages: DataFrame) -> Knowledge:
     pieces = counted.where("script != ''")
     longer = pieces.where("length(piece) > 1").groupBy("script", "opens", F.expr("left(piece, length(piece) - 1)").alias("piece")).agg(F.count("*").alias("followers"), F.max("n").alias("first"))
     varied = (F.coalesce("first", F.lit(0)) < LEADING * F.col("n")) & ((F.coalesce("followers", F.lit(0)) >= VARIETY) | F.col("first").isNull())
-    words = pieces.join(longer, ["script", "opens", "piece"], "left").where(varied & ((F.col("script") != "th") | (F.length("piece") > 1)))
+    words = pieces.join(longer.hint("merge"), ["script", "opens", "piece"], "left").where(varied & ((F.col("script") != "th") | (F.length("piece") > 1)))
     rank = F.row_number().over(Window.partitionBy("script", "opens").orderBy(F.desc("n"), "piece"))
     opening, closing = {}, {}
     for r in words.withColumn("rank", rank).where(F.col("rank") <= MOST_WORDS).collect():
