@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -30,13 +31,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The cluster's shared folder for checkpoints; ``fallback`` is set only where the session names none (tests).
+    """The shared folder for checkpoints that the session names in ``spark.checkpoint.dir``.
 
-    Spark itself sets the folder of ``spark.checkpoint.dir`` where it knows that name; a folder once set stays.
+    Where it names none and Spark runs in this one process, ``fallback`` is set. On a cluster nothing is: a folder of one
+    machine is no checkpoint, and Spark says at the first one that none is set. A folder once set stays.
     """
+    context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if app not in _checked and spark.sparkContext.getCheckpointDir() is None and (shared or fallback):
-        spark.sparkContext.setCheckpointDir(shared or fallback)
-    _checked.add(app)
-    return shared or fallback
+    chosen = shared or (fallback if re.fullmatch(r"local(\[.*\])?", context.master) else None)
+    if context.applicationId not in _checked and context.getCheckpointDir() is None and chosen:
+        context.setCheckpointDir(chosen)
+    _checked.add(context.applicationId)
+    return chosen
