@@ -61,3 +61,10 @@ def human_bytes(n: Column) -> Column:
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
         out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(out)
     return out
+
+
+def hold_note(kind: Column, available: Column, required: Column, load: Column) -> Column:
+    """Why work waits, in words: low memory, memory pressure of a named degree, or load."""
+    memory = F.concat(F.lit("low memory ("), human_bytes(available), F.lit(" available, "), human_bytes(required), F.lit(" reserved for the system): pausing or running one page at a time"))
+    pressed = F.concat(F.initcap(kind), F.lit(" memory pressure: pausing or running one page at a time"))
+    return F.when(kind == "low_memory", memory).when(kind == "load", F.concat(F.lit("system load "), F.format_string("%.1f", load), F.lit(" is high: running one page at a time"))).otherwise(pressed)

@@ -42,6 +42,12 @@ def languages(counts: Column, min_share: float, min_letters: int) -> Column:
     return F.when(letters(counts) < min_letters, F.array().cast("array<string>")).otherwise(F.transform(F.array_sort(kept), lambda r: r["lang"]))
 
 
+def probed(counts: Column) -> Column:
+    """Languages of a trial recognition: a twelfth of at least 20 letters (8 %), and 15 letters of their own."""
+    own = lambda x: F.when(x == "si", counts["si"]).when(x == "ta", counts["ta"]).otherwise(counts["latin"])
+    return F.filter(languages(counts, 0.08, 20), lambda x: own(x) >= 15)
+
+
 def dominant(counts: Column) -> Column:
     """The language with most letters; of equals the last of LANGS; null without letters."""
     most = F.greatest(counts["si"], counts["ta"], counts["latin"])

@@ -12,11 +12,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import chars
+from ..functions import normalize, script
 from ..functions.tables import SINHALA_CONFUSIONS
+from . import lexicon as lexicons
+from . import ocr
 
 RULES_SCHEMA = "src string, dst string, weight float"
 
@@ -113,3 +117,38 @@ def correct_texts(texts: DataFrame, confidences: DataFrame | None, lexicon: Data
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sub", "new"))), lambda x: x["new"]), "")
     done = joined.groupBy("id").agg(ordered.alias("text"), F.count("fixed").alias("changed"))
     return texts.select("id", F.col("text").alias("_old")).join(done, "id", "left").select("id", F.coalesce("text", "_old").alias("text"), F.coalesce("changed", F.lit(0)).alias("changed"))
+
+
+def finish(pages: DataFrame, words: DataFrame | None, lexicon: DataFrame | None, rules: DataFrame | None, lang: str = "si", options: Options = Options()) -> DataFrame:
+    """Recognised pages ``(doc, page, text)`` to ``(doc, page, text, flags)``: normalised and, with a lexicon, corrected.
+
+    ``words(doc, page, token, conf)`` holds confidences, where known. Pages without a letter of ``lang`` stay as they are;
+    ``corrected:N`` says how many words changed. Null text stays null.
+    """
+    body = pages.select("doc", "page", normalize.normalize(F.col("text")).alias("text"))
+    none = F.expr("cast(array() as array<string>)")
+    if lexicon is None:
+        return body.withColumn("flags", none)
+    key = F.to_json(F.struct("doc", "page"))
+    own = script.script_counts(F.col("text"))[{"si": "si", "ta": "ta", "en": "latin"}[lang]]
+    candidates = body.where(own > 0).select(key.alias("id"), "text")
+    conf = None if words is None else ocr.confidence_map(words.select(key.alias("id"), "token", "conf"))
+    done = correct_texts(candidates, conf, lexicon, rules if rules is not None else sinhala_rules(pages.sparkSession), lang, options)
+    joined = body.withColumn("id", key).join(done.select("id", F.col("text").alias("fixed"), "changed"), "id", "left")
+    flag = F.when(F.col("changed") > 0, F.array(F.concat(F.lit("corrected:"), F.col("changed").cast("string")))).otherwise(none)
+    return joined.select("doc", "page", F.coalesce("fixed", "text").alias("text"), flag.alias("flags"))
+
+
+def load(spark: SparkSession, lang: str, path: str) -> tuple[lexicons.Lexicon | None, str | None]:
+    """The word list for correcting ``lang``, or none, and a note that says why there is none. Only Sinhala has rules."""
+    if lang != "si":
+        return None, None
+    try:
+        found = lexicons.read(spark, path)
+    except ValueError as e:
+        return None, f"{e}: recognised text is not corrected"
+    except AnalysisException:
+        return None, f"{path}: no Sinhala word list there, recognised text is not corrected"
+    if found.lang != lang or found.counts.isEmpty():
+        return None, f"{path}: not a word list of {lang}, recognised text is not corrected"
+    return found, None

@@ -17,10 +17,15 @@ def method_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc", render.method_label(F.col("kind")).alias("label")).agg(F.count("*").alias("pages"))
 
 
-def summary(pages: DataFrame) -> DataFrame:
+def summary(pages: DataFrame, key: str | None = None) -> DataFrame:
     """``pages(doc, kind, markdown, confidence, seconds)`` to one row a document: pages, methods by label, mean confidence
-    over the pages that have one, languages with at least a twentieth of the letters, failed pages, seconds."""
-    counted = pages.withColumn("c", script.script_counts(F.col("markdown"))).withColumn("label", render.method_label(F.col("kind")))
+    over the pages that have one, languages with at least a twentieth of the letters, failed pages, seconds.
+
+    With ``key``, pages of one key count once; only their counts are shuffled to tell.
+    """
+    counted = pages.withColumn("c", script.script_counts(F.col("markdown"))).withColumn("label", render.method_label(F.col("kind"))).drop("markdown")
+    if key:
+        counted = counted.dropDuplicates([key])
     per_label = counted.groupBy("doc", "label").agg(F.count("*").alias("n"), F.sum("c.si").alias("si"), F.sum("c.ta").alias("ta"), F.sum("c.latin").alias("latin"), F.sum("confidence").alias("conf"), F.count("confidence").alias("confs"), F.sum("seconds").alias("seconds"))
     methods = F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n"))))
     c = F.struct(F.sum("si").alias("si"), F.sum("ta").alias("ta"), F.sum("latin").alias("latin"))
@@ -41,11 +46,11 @@ def flagged(pages: DataFrame, most: int = 6) -> DataFrame:
 
 
 def markdown(pages: DataFrame, markers: bool = False) -> DataFrame:
-    """``pages(doc, page, markdown)`` to ``(doc, text)``: trimmed pages in order with blank lines between."""
+    """``pages(doc, page, markdown)`` to ``(doc, text)``: trimmed pages in order with blank lines between; a page delivered again counts once."""
     body = render.trim(F.coalesce("markdown", F.lit("")))
     piece = F.concat_ws("\n\n", F.format_string("<!-- page %d -->", "page"), F.when(body != "", body)) if markers else F.when(body != "", body)
     parts = pages.select("doc", "page", piece.alias("piece"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "piece"))), lambda x: x["piece"]), "\n\n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("page", "piece"))), lambda x: x["piece"]), "\n\n")
     text = F.regexp_replace(joined, f"[{chars.WS}]+\\z", "")
     return parts.groupBy("doc").agg(F.when(text == "", "").otherwise(F.concat(text, F.lit("\n"))).alias("text"))
 
@@ -60,7 +65,20 @@ def to_json(pages: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.join(grouped, "doc", "left").select("doc", F.to_json(row, {"pretty": "true"}).alias("json"))
 
 
+# Extension of each rendered form.
+EXTENSIONS = {"markdown": "md", "json": "json", "text": "txt"}
+
+
+def target_path(out: str, doc: Column, form: str, single: bool = False) -> Column:
+    """Where a rendered document goes: below ``out`` under its own path with the form's extension; one document alone goes
+    to ``out`` itself if that names a file."""
+    if single and "." in out.rstrip("/").rsplit("/", 1)[-1].lstrip("."):
+        return F.lit(out)
+    stem = F.regexp_replace(doc, "(?<=[^/])\\.[^./]*$", "")
+    return F.concat(F.lit(out.rstrip("/") + "/"), stem, F.lit("." + EXTENSIONS[form]))
+
+
 def write(texts: DataFrame, path: str, kind: str) -> None:
-    """Rendered documents as text, json or parquet files, one row a document."""
+    """Rendered documents as text, json (a line a row) or parquet files, one row a document."""
     target = texts.write.mode("overwrite")
     {"text": lambda: target.text(path), "json": lambda: target.json(path), "parquet": lambda: target.parquet(path)}[kind]()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import chars
-from ..functions import render
+from ..functions import fonts, normalize, render
 
 TSV = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf float, text string"
 
@@ -42,8 +42,19 @@ def paragraphs(words: DataFrame) -> DataFrame:
 
 
 def confidence_map(words: DataFrame) -> DataFrame:
-    """Least confidence of each normalised token: ``words(id, token, conf)``; unknown confidences are left out."""
-    return words.where("conf is not null").groupBy("id", "token").agg(F.min("conf").alias("conf"))
+    """Least confidence of each token in normal form: ``words(id, token, conf)``; unknown confidences are left out.
+
+    Distinct tokens are normalised, not their places.
+    """
+    least = words.where("conf is not null").groupBy("id", "token").agg(F.min("conf").alias("conf"))
+    return least.select("id", normalize.normalize(F.col("token")).alias("token"), "conf").groupBy("id", "token").agg(F.min("conf").alias("conf"))
+
+
+def glyph_counts(glyphs: DataFrame) -> DataFrame:
+    """Glyph rows ``(doc, page, font, ch)`` to ``(doc, page, fm, other)``: those of the convertible legacy family and all others, white space apart."""
+    fm = F.coalesce(fonts.legacy_font(F.col("font"))["family"] == "fm-abhaya", F.lit(False))
+    seen = glyphs.where(F.col("ch").rlike(f"[^{chars.WS}]"))
+    return seen.groupBy("doc", "page").agg(F.count_if(fm).alias("fm"), F.count_if(~fm).alias("other"))
 
 
 def word_breaks(glyphs: DataFrame) -> DataFrame:

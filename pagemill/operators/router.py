@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import chars
@@ -129,10 +129,11 @@ def verify(plans: DataFrame, ocr: DataFrame) -> DataFrame:
     they disagree, the kind's pages go to recognition, else they are marked as verified. ``ocr(doc, page, text)``."""
     c = script.script_counts(F.coalesce("markdown", F.lit("")))
     kind = F.when(F.col("plan") == "text", F.when(F.col("method") == "text_layer", "layer").when(F.col("method") == "legacy_converted", "converted"))
-    d = plans.withColumn("counts", c).withColumn("kind", kind).withColumn("indic", F.col("counts.si") + F.col("counts.ta"))
-    richest = Window.partitionBy("doc", "kind").orderBy(F.desc("indic"), F.desc("page"))
-    top = d.where(F.col("kind").isNotNull() & (F.col("indic") >= SAMPLE_LETTERS)).withColumn("rank", F.row_number().over(richest)).where("rank = 1")
-    read = top.join(ocr.select("doc", "page", F.col("text").alias("read")), ["doc", "page"])
+    # The cascade with its conversions runs once: its result is written to the shared folder and read three times below.
+    d = plans.withColumn("counts", c).withColumn("kind", kind).withColumn("indic", F.col("counts.si") + F.col("counts.ta")).checkpoint()
+    rich = d.where(F.col("kind").isNotNull() & (F.col("indic") >= SAMPLE_LETTERS)).groupBy("doc", "kind").agg(F.max(F.struct("indic", "page")).alias("top"))
+    chosen = rich.select("doc", "kind", F.col("top.page").alias("page"))
+    read = d.select("doc", "page", "kind", "markdown").join(chosen, ["doc", "kind", "page"]).join(ocr.select("doc", "page", F.col("text").alias("read")), ["doc", "page"])
     least = F.when(F.col("kind") == "layer", LAYER_AGREEMENT).otherwise(CONVERTED_AGREEMENT)
     scored = metrics.agreement_of(read.select("doc", "kind", normalize.canonical(F.col("markdown")).alias("a"), normalize.canonical(F.col("read")).alias("b")), ["doc", "kind"])
     verdicts = scored.select("doc", "kind", F.round("score", 2).alias("score"), (F.col("score") >= least).alias("ok"))
@@ -150,12 +151,31 @@ def verify(plans: DataFrame, ocr: DataFrame) -> DataFrame:
     )
 
 
+def resolve_langs(plans: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """Languages for pages that are to be recognised and have none: those of a trial recognition ``probes(doc, page, text)``, else English."""
+    none = F.expr("cast(array() as array<string>)")
+    if probes is None:
+        joined = plans.withColumn("found", none)
+    else:
+        texts = probes.groupBy("doc", "page").agg(script.sum_counts(script.script_counts(F.col("text"))).alias("c"))
+        joined = plans.join(texts.select("doc", "page", script.probed(F.col("c")).alias("found")), ["doc", "page"], "left")
+    open_ = (F.col("plan") == "ocr") & (F.size(F.coalesce("ocr_langs", none)) <= 0)
+    hit = open_ & (F.size("found") > 0)
+    flags = F.when(hit, F.array_append(F.coalesce("flags", none), F.concat(F.lit("probed_langs:"), script.lang_arg(F.col("found"))))).otherwise(F.col("flags"))
+    langs = F.when(hit, F.col("found")).when(open_, F.array(F.lit("en"))).otherwise(F.col("ocr_langs"))
+    return joined.withColumns({"flags": flags, "ocr_langs": langs}).drop("found")
+
+
 def assemble(plans: DataFrame, ocr: DataFrame | None = None, disabled: bool = False) -> DataFrame:
-    """Pages of the documents: a recognised text wins, else the plan's text, else the unreliable layer, marked as such."""
+    """Pages of the documents: a recognised text wins, else the plan's text, else the unreliable layer, marked as such.
+
+    ``ocr(doc, page, text, confidence)`` may have ``flags`` of its own, as ``correct.finish`` gives them.
+    """
     if ocr is None:
-        joined = plans.withColumn("read", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("float"))
+        joined = plans.withColumn("read", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("float")).withColumn("read_flags", F.lit(None).cast("array<string>"))
     else:
-        joined = plans.join(ocr.select("doc", "page", F.col("text").alias("read"), "confidence"), ["doc", "page"], "left")
+        own = F.col("flags") if "flags" in ocr.columns else F.lit(None).cast("array<string>")
+        joined = plans.join(ocr.select("doc", "page", F.col("text").alias("read"), "confidence", own.alias("read_flags")), ["doc", "page"], "left")
     why = "ocr_disabled" if disabled else "ocr_unavailable"
     use = F.col("read").isNotNull() & (F.col("plan") == "ocr")
     lost = (F.col("plan") == "ocr") & ~use
@@ -163,7 +183,7 @@ def assemble(plans: DataFrame, ocr: DataFrame | None = None, disabled: bool = Fa
     text = F.when(use, F.col("read")).when(lost, F.col("md")).otherwise(F.coalesce("markdown", F.lit("")))
     low = F.when(use & (F.col("confidence") < 70), F.array(F.lit("low_ocr_confidence")))
     none = F.expr("cast(array() as array<string>)")
-    flags = F.concat(F.coalesce("flags", none), F.coalesce(low, none), F.coalesce(F.when(lost, F.array(F.lit(f"unreliable_text_layer:{why}"))), none))
+    flags = F.concat(F.coalesce("flags", none), F.coalesce(F.when(use, F.col("read_flags")), none), F.coalesce(low, none), F.coalesce(F.when(lost, F.array(F.lit(f"unreliable_text_layer:{why}"))), none))
     reason = F.when(lost & _blank(F.col("md")), F.concat(F.lit(f"{why}: "), F.array_join("flags", ",")))
     out = joined.select("doc", "page", kind.alias("method"), text.alias("markdown"), flags.alias("flags"), F.when(use, F.col("confidence")).alias("confidence"), "moved", reason.alias("reason"))
     return out.withColumn("langs", script.languages(script.script_counts(F.col("markdown")), 0.05, 20)).withColumn("label", render.method_label(F.col("method")))
