@@ -1,18 +1,18 @@
 """Queries of the engine's operators over the test tables, and their SQL where SQL can express them.
 
-Every query reads whole tables. Repeated deliveries count once.
+Every query reads whole tables. Repeated deliveries count once: what is computed row by row is told apart by its id
+afterwards, so that results are shuffled and texts are not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import chars
 from ..functions import fonts, health, html, legacy, metrics, normalize, render, script
-from ..functions.tables import FONT_FAMILIES, FUNCTION_WORDS, LATIN_FONTS, SINHALA_CONFUSIONS
+from ..functions.tables import FONT_FAMILIES, LATIN_FONTS, SINHALA_CONFUSIONS
 from ..operators import correct, documents, evaluate, learn, lexicon, ocr, router
 from ..session import checkpoint_dir, ship
 from ..sources import files
@@ -33,7 +33,7 @@ def _query(sql: str | None = None):
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     ship(spark)
-    checkpoint_dir(spark, fallback="/tmp/pagemill-checkpoints")  # the fallback serves tests in one process only
+    checkpoint_dir(spark, fallback="/tmp/pagemill-checkpoints")  # used only where Spark is this one process
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
@@ -61,10 +61,11 @@ _N = lambda text, members: f"len(regexp_extract_all({text}, '[{members}]'))"  #
 _COUNTS = f"coalesce({_N('text', _S)}, 0) AS si, coalesce({_N('text', _T)}, 0) AS ta, coalesce({_N('text', _L)}, 0) AS latin"
 _SHARE = lambda f: f"CAST({f} / CAST(greatest(si + ta + latin, 1) AS DOUBLE) AS FLOAT)"
 _DOMINANT = "CASE WHEN greatest(si, ta, latin) = 0 THEN NULL WHEN latin >= greatest(si, ta) THEN 'en' WHEN ta >= si THEN 'ta' ELSE 'si' END"
-_LANGS = lambda share, least: (
-    f"CASE WHEN si + ta + latin < {least} THEN '' ELSE array_to_string(list_transform(list_sort(list_filter([{{'n': -si, 'p': 0, 'l': 'si', 's': {_SHARE('si')}}}, {{'n': -ta, 'p': 1, 'l': 'ta', 's': {_SHARE('ta')}}}, "
-    f"{{'n': -latin, 'p': 2, 'l': 'en', 's': {_SHARE('latin')}}}], lambda r: r.s >= CAST({share} AS FLOAT) AND r.n < 0)), lambda r: r.l), ',') END"
+_LANG_LIST = lambda share, least, own=1: (
+    f"CASE WHEN si + ta + latin < {least} THEN CAST([] AS VARCHAR[]) ELSE list_transform(list_sort(list_filter([{{'n': -si, 'p': 0, 'l': 'si', 's': {_SHARE('si')}}}, {{'n': -ta, 'p': 1, 'l': 'ta', 's': {_SHARE('ta')}}}, "
+    f"{{'n': -latin, 'p': 2, 'l': 'en', 's': {_SHARE('latin')}}}], lambda r: r.s >= CAST({share} AS FLOAT) AND r.n <= -{own})), lambda r: r.l) END"
 )
+_LANGS = lambda share, least: f"array_to_string({_LANG_LIST(share, least)}, ',')"
 _STRIPPED = "translate(regexp_replace(text, '<[^>]*(?:>|$)', '', 'g'), '*_#', '   ')"
 _TOKENS = f"list_filter(regexp_extract_all({_STRIPPED}, '[^{_W}]+'), lambda w: regexp_matches(w, '[A-Za-z][^A-Za-z]*[A-Za-z]'))"
 _GIBBERISH = f"""
@@ -88,6 +89,27 @@ _DOCS = f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 _PAGES = f"WITH d AS (SELECT DISTINCT page_id, coalesce(markdown, '') AS text FROM pages), c AS (SELECT *, {_COUNTS} FROM d)"
 
 
+# Text in normal form: composed, joiners only inside Sinhala and Tamil words (kept ones are marked, neighbours may overlap), no
+# invisible or control characters, one kind of line break, ligatures spelled out. Canonical text has single spaces as well.
+_MARKED = lambda t, before, joiner, mark: f"regexp_replace(regexp_replace({t}, '([{before}]){joiner}([{_S}{_T}])', '\\1{mark}\\2', 'g'), '([{before}]){joiner}([{_S}{_T}])', '\\1{mark}\\2', 'g')"
+_NO_VIRAMA = "\\x{d80}-\\x{dc9}\\x{dcb}-\\x{dff}\\x{b80}-\\x{bcc}\\x{bce}-\\x{bff}"
+
+
+def _normal_sql(text: str) -> str:
+    t = _MARKED(f"nfc_normalize({text})", _S + _T, "\\x{200d}", "\ue000")
+    t = _MARKED(t, _NO_VIRAMA, "\\x{200c}", "\ue001")
+    t = f"translate(regexp_replace({t}, '[\\x{{200c}}\\x{{200d}}]', '', 'g'), '\ue000\ue001', '\u200d\u200c')"
+    t = f"regexp_replace(replace({t}, chr(13) || chr(10), chr(10)), '\\r', chr(10), 'g')"
+    t = f"regexp_replace({t}, '[\\x{{feff}}\\x{{200b}}\\x{{ad}}\\x{{2060}}\\x{{180e}}\\x{{0}}-\\x{{8}}\\x{{b}}\\x{{c}}\\x{{e}}-\\x{{1f}}\\x{{7f}}-\\x{{9f}}]', '', 'g')"
+    for one, many in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st")):
+        t = f"replace({t}, '{one}', '{many}')"
+    return t
+
+
+def _canonical_sql(text: str) -> str:
+    return f"trim(regexp_replace({_normal_sql(text)}, '[{_W}]+', ' ', 'g'), ' ')"
+
+
 # --- scripts, languages, health -------------------------------------------------------------------------------------
 
 
@@ -124,9 +146,17 @@ def health_verdicts(spark, d):
 
 @_query(_PAGES + "," + _MEASURES + " SELECT page_id, round(visual_order, 4) AS visual_order, round(foreign_share, 4) AS foreign_share, round(gibberish, 4) AS gibberish, round(lost, 4) AS lost, verdict, reasons FROM w")
 def health_measures(spark, d):
-    h = health.assessed(_pages(spark, d, "markdown"), "markdown")
+    h = health.assessed(_read(spark, d, "pages").select("page_id", "markdown"), "markdown")
     r = lambda c, n: F.round(f"h.{c}", 4).alias(n)
-    return h.select("page_id", r("visual_order", "visual_order"), r("foreign", "foreign_share"), r("latin_gibberish", "gibberish"), r("replacement", "lost"), "h.verdict", F.array_join("h.reasons", "+").alias("reasons"))
+    return h.select("page_id", r("visual_order", "visual_order"), r("foreign", "foreign_share"), r("latin_gibberish", "gibberish"), r("replacement", "lost"), "h.verdict", F.array_join("h.reasons", "+").alias("reasons")).dropDuplicates(["page_id"])
+
+
+@_query("WITH d AS (SELECT DISTINCT page_id, coalesce(markdown, '') AS text, langs[1] AS expected FROM pages), c AS (SELECT *, " + _COUNTS + " FROM d)," + _MEASURES + f" SELECT page_id, coalesce(expected IN ('si', 'ta') AND si + ta + latin >= 100 AND CASE expected WHEN 'si' THEN {_SHARE('si')} ELSE {_SHARE('ta')} END < CAST(0.2 AS FLOAT) AND {_SHARE('latin')} > CAST(0.6 AS FLOAT), false) AS wrong FROM w")
+def wrong_scripts(spark, d):
+    """Pages labelled Sinhala or Tamil that are written in Latin letters."""
+    pages = _read(spark, d, "pages").select("page_id", "markdown", F.get("langs", 0).alias("expected"))
+    h = health.assessed(pages, "markdown", expected=F.col("expected"))
+    return h.select("page_id", F.array_contains("h.reasons", "wrong_script").alias("wrong")).dropDuplicates(["page_id"])
 
 
 @_query(_DOCS + f" SELECT doc_id, md5({_STRIPPED}) AS digest FROM c")
@@ -134,9 +164,17 @@ def markup_stripped(spark, d):
     return _counted(spark, d).select("doc_id", F.md5(health.strip_markup(F.col("text"))).alias("digest"))
 
 
-@_query()
+@_query(_PAGES + "," + _MEASURES + f", l AS (SELECT page_id, gibberish, {_LANG_LIST(0.03, 50, 30)} AS langs FROM w) SELECT page_id, CASE WHEN gibberish >= CAST(0.5 AS FLOAT) OR len(list_filter(langs, lambda x: x <> 'en')) = 0 THEN '' ELSE array_to_string(langs, '+') END AS hint FROM l")
 def script_hints(spark, d):
-    return health.assessed(_pages(spark, d, "markdown"), "markdown").select("page_id", F.array_join(health.script_hint(F.col("h")), "+").alias("hint"))
+    h = health.assessed(_read(spark, d, "pages").select("page_id", "markdown"), "markdown")
+    return h.select("page_id", F.array_join(health.script_hint(F.col("h")), "+").alias("hint")).dropDuplicates(["page_id"])
+
+
+@_query(_PAGES + f" SELECT page_id, array_to_string({_LANG_LIST(0.08, 20, 15)}, '+') AS langs FROM c")
+def probed_languages(spark, d):
+    """Languages that a trial recognition of each page would choose."""
+    c = _read(spark, d, "pages").select("page_id", script.script_counts(F.coalesce("markdown", F.lit(""))).alias("c"))
+    return c.select("page_id", F.array_join(script.probed(F.col("c")), "+").alias("langs")).dropDuplicates(["page_id"])
 
 
 @_query("SELECT DISTINCT source, CASE WHEN lower(trim(main_lang)) IN ('si', 'sin', 'sinhala') THEN 'si' WHEN lower(trim(main_lang)) IN ('ta', 'tam', 'tamil') THEN 'ta' WHEN lower(trim(main_lang)) IN ('en', 'eng', 'english') THEN 'en' END AS lang, CASE lower(trim(main_lang)) WHEN 'si' THEN 'sin' WHEN 'ta' THEN 'tam' ELSE 'eng' END AS arg FROM collections")
@@ -148,18 +186,27 @@ def language_names(spark, d):
 # --- normal forms and metrics ------------------------------------------------------------------------------------------
 
 
-@_query()
+@_query(f"SELECT doc_id, md5({_canonical_sql('text')}) AS digest FROM documents")
 def canonical_text(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.md5(normalize.canonical(F.col("text"))).alias("digest"))
 
 
-@_query()
-def visual_order_repair(spark, d):
-    r = _pages(spark, d, "markdown").select("page_id", normalize.repair_visual_order(F.col("markdown")).alias("r"))
-    return r.select("page_id", "r.moved", F.md5("r.text").alias("digest"))
+_PRE, _CLUSTER = "\\x{dd9}\\x{ddb}\\x{bc6}-\\x{bc8}", f"(?:[{_S_CONSONANT}](?:\\x{{dca}}\\x{{200d}}[{_S_CONSONANT}])*|[{_T_CONSONANT}])"
+_EARLY = f"(^|[^{_S_CONSONANT}{_T_CONSONANT}])((?:[{_PRE}]{_CLUSTER})+)"
 
 
-_ASCII = lambda c: f"regexp_replace({c}, '[^\\x{{1}}-\\x{{7f}}]', '?', 'g')"
+def _repaired_sql(text: str, longest: int = 12) -> str:
+    """Runs of signs in front of their consonants, marked, then mended one after the other; no run is as long as ``longest``."""
+    t = f"regexp_replace({text}, '{_EARLY}', '\\1\ue000\\2', 'g')"
+    for _ in range(longest):
+        t = f"regexp_replace({t}, '\ue000([{_PRE}])({_CLUSTER})', '\\2\\1\ue000', 'g')"
+    return f"nfc_normalize(replace({t}, '\ue000', ''))"
+
+
+@_query(f"SELECT DISTINCT page_id, CAST(list_sum(list_transform(regexp_extract_all(markdown, '{_EARLY}', 2), lambda r: len(regexp_extract_all(r, '[{_PRE}]')))) AS INT) AS found, md5({_repaired_sql('markdown')}) AS digest FROM pages")
+def visual_order_repair(spark, d):
+    r = _read(spark, d, "pages").select("page_id", normalize.repair_visual_order(F.col("markdown")).alias("r"))
+    return r.select("page_id", F.when(F.col("r.moved") > 0, F.col("r.moved")).alias("found"), F.md5("r.text").alias("digest")).dropDuplicates(["page_id"])
 
 
 def _titles(spark, d):
@@ -171,13 +218,24 @@ def _titles(spark, d):
 _TITLES = "WITH p AS (SELECT d.doc_id, d.title, c.title AS other FROM documents d JOIN (SELECT DISTINCT source, title FROM collections WHERE title IS NOT NULL) c USING (source) WHERE d.title IS NOT NULL)"
 
 
-@_query(_TITLES + f" SELECT doc_id, round(levenshtein({_ASCII('title')}, {_ASCII('other')}) / CAST(greatest(length({_ASCII('title')}), 1) AS DOUBLE), 6) AS cer FROM p")
+def _edits_sql(name: str, members: str, a: str = "title", b: str = "other") -> str:
+    """Edit distances ``name(doc_id, n, edits)`` of sequences of characters or words: each distinct member of a pair becomes one
+    ASCII character, as the SQL function compares bytes."""
+    each = lambda side, c: f"SELECT doc_id, {side} AS side, unnest({members.replace('@', c)}) AS m, unnest(range(1, len({members.replace('@', c)}) + 1)) AS pos FROM p"
+    return f""", {name}_m AS ({each(0, a)} UNION ALL {each(1, b)}), {name}_k AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY m) AS k FROM {name}_m),
+{name}_s AS (SELECT doc_id, coalesce(string_agg(chr(CAST(32 + k AS INT)), '' ORDER BY pos) FILTER (WHERE side = 0), '') AS a, coalesce(string_agg(chr(CAST(32 + k AS INT)), '' ORDER BY pos) FILTER (WHERE side = 1), '') AS b FROM {name}_k GROUP BY doc_id),
+{name} AS (SELECT p.doc_id, greatest(coalesce(length(s.a), 0), 1) AS n, coalesce(levenshtein(s.a, s.b), 0) AS edits FROM p LEFT JOIN {name}_s s USING (doc_id))"""
+
+
+_CHARS, _WORDS = "regexp_extract_all(@, '(?s).')", f"regexp_extract_all(@, '[^{_W}]+')"
+
+
+@_query(_TITLES + _edits_sql("e", _CHARS) + " SELECT doc_id, round(edits / CAST(n AS DOUBLE), 6) AS cer FROM e")
 def cer_pairs(spark, d):
-    plain = lambda c: F.regexp_replace(c, "[^\\x{1}-\\x{7f}]", "?")
-    return _titles(spark, d).select("doc_id", F.round(metrics.cer(plain("title"), plain("other")), 6).alias("cer"))
+    return _titles(spark, d).select("doc_id", F.round(metrics.cer(F.col("title"), F.col("other")), 6).alias("cer"))
 
 
-@_query()
+@_query(_TITLES + _edits_sql("e", _WORDS) + " SELECT doc_id, round(edits / CAST(n AS DOUBLE), 6) AS wer FROM e")
 def wer_pairs(spark, d):
     return _titles(spark, d).select("doc_id", F.round(metrics.wer(F.col("title"), F.col("other")), 6).alias("wer"))
 
@@ -211,23 +269,36 @@ def text_as_markdown(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.md5(render.text_to_markdown(F.col("text"))).alias("digest"))
 
 
-@_query()
+_LINE = f"regexp_replace(regexp_replace(x, '^[{_W}]+', ''), '^#+[{_W}]*', '')"
+_BARE = f"regexp_replace({_LINE}, '\\*\\*|__|</?u>', '', 'g')"
+_ROW = f"array_to_string(list_transform(string_split(regexp_replace({_BARE}, '^\\|+|\\|+$', '', 'g'), '|'), lambda y: {_TRIM('y')}), chr(9))"
+
+
+@_query(f"""WITH q AS (SELECT DISTINCT page_id, coalesce(markdown, '') AS t FROM pages), l AS (SELECT page_id, t, list_filter(list_transform(string_split(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)), lambda x: CASE WHEN regexp_matches({_LINE}, '^\\|[|: -]*$') THEN NULL WHEN starts_with({_BARE}, '|') THEN {_ROW} ELSE {_BARE} END), lambda x: x IS NOT NULL) AS kept FROM q)
+SELECT page_id, md5(CASE WHEN t = '' THEN '' ELSE array_to_string(kept, chr(10)) || CASE WHEN len(kept) > 0 THEN chr(10) ELSE '' END END) AS digest FROM l""")
 def plain_text(spark, d):
-    return _pages(spark, d, "markdown").select("page_id", F.md5(render.plain_text(F.col("markdown"))).alias("digest"))
+    return _read(spark, d, "pages").select("page_id", F.md5(render.plain_text(F.col("markdown"))).alias("digest")).dropDuplicates(["page_id"])
 
 
 @_query(f"WITH q AS (SELECT DISTINCT page_id, doc, page_number, {_TRIM('coalesce(markdown, chr(32))')} AS body FROM pages), r AS (SELECT doc, coalesce(string_agg(body, chr(10) || chr(10) ORDER BY page_number, page_id) FILTER (WHERE body <> ''), '') AS t FROM q GROUP BY doc) SELECT doc, md5(CASE WHEN t = '' THEN '' ELSE t || chr(10) END) AS digest FROM r")
 def document_markdown(spark, d):
-    p = _pages(spark, d, "doc", "page_number", "markdown").select("doc", F.struct("page_number", "page_id").alias("page"), "markdown")
+    p = _read(spark, d, "pages").select("doc", F.struct("page_number", "page_id").alias("page"), "markdown")
     return documents.markdown(p).select("doc", F.md5("text").alias("digest"))
 
 
-@_query()
+@_query("""WITH q AS (SELECT DISTINCT page_id, doc, coalesce(length(markdown), 0) AS size, len(flags) AS flags FROM pages), p AS (SELECT doc, count(*) AS pages, CAST(sum(size) AS BIGINT) AS size, count(*) FILTER (WHERE flags > 0) AS flagged FROM q GROUP BY doc), e AS (SELECT DISTINCT ON (doc) doc, doc_format AS format, nullif(len(warnings), 0) AS warnings, lipi_version AS version, metadata['title'] AS title FROM extractions)
+SELECT doc, format, coalesce(pages, 0) AS pages, CAST(coalesce(size, 0) AS BIGINT) AS size, coalesce(flagged, 0) AS flagged, CAST(warnings AS INT) AS warnings, version, title FROM e LEFT JOIN p USING (doc)""")
 def document_json(spark, d):
+    """Every document as JSON, read again: format, pages, characters of their markdown, flagged pages, warnings, version, title."""
     kind = F.col("method.kind")
     p = _pages(spark, d, "doc", "page_number", "method", "markdown", "langs", "confidence", "flags").select("doc", F.col("page_number").alias("page"), kind.alias("method"), "markdown", "langs", "confidence", F.when(F.size("flags") > 0, F.col("flags")).alias("flags"))
     e = _once(spark, d, "extractions", "doc", "doc_format", "metadata", "warnings", F.col("seconds_spent").alias("seconds"), F.col("lipi_version").alias("version"))
-    return documents.to_json(p, e).select("doc", F.length("json").alias("size"), F.md5("json").alias("digest"))
+    schema = "struct<source: string, format: string, pages: array<struct<page: int, markdown: string, flags: array<string>>>, metadata: map<string, string>, warnings: array<string>, version: string>"
+    r = documents.to_json(p, e).select("doc", F.from_json("json", schema).alias("r"))
+    pages = F.col("r.pages")
+    size = F.aggregate(pages, F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(F.length(x["markdown"]), F.lit(0)))
+    flagged = F.size(F.filter(pages, lambda x: x["flags"].isNotNull())).cast("bigint")
+    return r.select("doc", "r.format", F.size(pages).cast("bigint").alias("pages"), size.alias("size"), flagged.alias("flagged"), F.when(F.col("r.warnings").isNotNull(), F.size("r.warnings")).alias("warnings"), "r.version", F.col("r.metadata")["title"].alias("title"))
 
 
 @_query("WITH q AS (SELECT DISTINCT page_id, doc, replace(method.kind, '_', '-') AS label FROM pages) SELECT doc, label, count(*) AS pages FROM q GROUP BY doc, label")
@@ -237,17 +308,27 @@ def method_counts(spark, d):
 
 @_query(f"WITH q AS (SELECT DISTINCT page_id, doc, coalesce(markdown, '') AS text, confidence, method.kind AS kind FROM pages), n AS (SELECT *, {_COUNTS} FROM q), a AS (SELECT doc, count(*) AS pages, CAST(sum(si) AS BIGINT) AS si, CAST(sum(ta) AS BIGINT) AS ta, CAST(sum(latin) AS BIGINT) AS latin, round(avg(CAST(confidence AS DOUBLE)), 3) AS confidence, count(*) FILTER (WHERE kind = 'failed') AS failed FROM n GROUP BY doc) SELECT doc, pages, {_LANGS(0.05, 20)} AS langs, confidence, failed FROM a")
 def document_summary(spark, d):
-    p = _pages(spark, d, "doc", F.col("method.kind").alias("kind"), "markdown", F.col("confidence").cast("double").alias("confidence"), F.col("seconds_spent").alias("seconds"))
-    return documents.summary(p).select("doc", "pages", F.array_join("langs", ",").alias("langs"), F.round("confidence", 3).alias("confidence"), F.col("failed").cast("bigint").alias("failed"))
+    p = _read(spark, d, "pages").select("page_id", "doc", F.col("method.kind").alias("kind"), "markdown", F.col("confidence").cast("double").alias("confidence"), F.col("seconds_spent").alias("seconds"))
+    return documents.summary(p, "page_id").select("doc", "pages", F.array_join("langs", ",").alias("langs"), F.round("confidence", 3).alias("confidence"), F.col("failed").cast("bigint").alias("failed"))
 
 
-@_query()
+@_query(f"""WITH q AS (SELECT DISTINCT page_id, doc, coalesce(markdown, '') AS text, confidence, seconds_spent, replace(method.kind, '_', '-') AS label FROM pages), n AS (SELECT *, {_COUNTS} FROM q),
+m AS (SELECT doc, string_agg(k || ' ' || label, ', ' ORDER BY label) AS methods FROM (SELECT doc, label, count(*) AS k FROM q GROUP BY doc, label) GROUP BY doc),
+a AS (SELECT doc, CAST(sum(si) AS BIGINT) AS si, CAST(sum(ta) AS BIGINT) AS ta, CAST(sum(latin) AS BIGINT) AS latin, avg(CAST(confidence AS DOUBLE)) AS conf, sum(CAST(seconds_spent AS DOUBLE)) AS seconds FROM n GROUP BY doc),
+l AS (SELECT *, {_LANG_LIST(0.05, 20)} AS langs FROM a)
+SELECT concat_ws(' · ', doc, methods, CASE WHEN len(langs) > 0 THEN array_to_string(langs, '+') END, CASE WHEN conf IS NOT NULL THEN printf('conf %.0f', conf) END, CASE WHEN seconds IS NOT NULL THEN printf('%.1f s', seconds) END) AS line FROM l JOIN m USING (doc)""")
 def summary_lines(spark, d):
-    p = _pages(spark, d, "doc", F.col("method.kind").alias("kind"), "markdown", "confidence", F.col("seconds_spent").alias("seconds"))
-    s = documents.summary(p)
+    p = _read(spark, d, "pages").select("page_id", "doc", F.col("method.kind").alias("kind"), "markdown", F.col("confidence").cast("double").alias("confidence"), F.col("seconds_spent").cast("double").alias("seconds"))
+    s = documents.summary(p, "page_id")
     return s.select(documents.summary_line(*[F.col(c) for c in ("doc", "methods", "langs", "confidence", "seconds")]).alias("line"))
 
 
+@_query("SELECT DISTINCT doc, 'out/' || regexp_replace(doc, '([^/])\\.[^./]*$', '\\1') || '.md' AS target FROM extractions")
+def target_paths(spark, d):
+    """Where each rendered document goes."""
+    return _read(spark, d, "extractions").select("doc", documents.target_path("out/", F.col("doc"), "markdown").alias("target")).distinct()
+
+
 @_query("WITH q AS (SELECT DISTINCT page_id, doc, page_number, flags FROM pages WHERE len(flags) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page_number, flags, page_id) AS k FROM q) SELECT doc, page_number AS page, array_to_string(flags, ',') AS flags FROM r WHERE k <= 6")
 def flagged_pages(spark, d):
     p = _pages(spark, d, "doc", F.col("page_number").alias("page"), "flags")
@@ -291,7 +372,7 @@ def ocr_paragraphs(spark, d):
     return p.select(F.col("doc").alias("ocr_id"), F.md5("text").alias("digest"), "words", F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
 
 
-@_query()
+@_query(_OCR_WORDS + " SELECT doc, count(*) AS words, round(sum(CAST((length(text) * 7 + word_no) % 101 AS DOUBLE)), 3) AS conf FROM w GROUP BY doc")
 def ocr_tsv(spark, d):
     """The words written as TSV lines and parsed again."""
     w = _ocr_words(spark, d)
@@ -299,12 +380,21 @@ def ocr_tsv(spark, d):
     return ocr.parse_tsv(w.select("doc", line.alias("value"))).groupBy("doc").agg(F.count("*").alias("words"), F.round(F.sum("conf"), 3).alias("conf"))
 
 
-@_query("WITH t AS (SELECT DISTINCT ocr_id, word_confidences FROM ocr_pages), w AS (SELECT ocr_id, unnest(word_confidences) AS w FROM t) SELECT ocr_id, w.word AS token, min(w.conf) AS conf FROM w WHERE w.conf IS NOT NULL GROUP BY 1, 2")
+@_query(f"WITH t AS (SELECT DISTINCT ocr_id, word_confidences FROM ocr_pages), w AS (SELECT ocr_id, unnest(word_confidences) AS w FROM t) SELECT ocr_id, {_normal_sql('w.word')} AS token, min(w.conf) AS conf FROM w WHERE w.conf IS NOT NULL GROUP BY 1, 2")
 def confidence_map(spark, d):
     w = _once(spark, d, "ocr_pages", "ocr_id", "word_confidences").select("ocr_id", F.inline("word_confidences"))
     return ocr.confidence_map(w.select(F.col("ocr_id").alias("id"), F.col("word").alias("token"), "conf")).withColumnRenamed("id", "ocr_id")
 
 
+@_query(f"""WITH t AS (SELECT DISTINCT fw_id, doc, page, legacy, other FROM font_words), w AS (SELECT doc, page, true AS fm, unnest(legacy) AS w FROM t UNION ALL SELECT doc, page, false, unnest(other) FROM t), g AS (SELECT doc, page, fm, length(regexp_replace(w, '[{_W}]', '', 'g')) AS n FROM w)
+SELECT doc, page, CAST(coalesce(sum(n) FILTER (WHERE fm), 0) AS BIGINT) AS fm, CAST(coalesce(sum(n) FILTER (WHERE NOT fm), 0) AS BIGINT) AS other FROM g GROUP BY doc, page HAVING sum(n) > 0""")
+def glyph_counts(spark, d):
+    """Glyphs of the words whose fonts were read: those drawn by the convertible legacy font and all others."""
+    t = _once(spark, d, "font_words", "fw_id", "doc", "page", "legacy", "other")
+    words = t.select("doc", "page", F.lit("ABCDEF+FMAbhaya").alias("font"), F.explode("legacy").alias("w")).unionByName(t.select("doc", "page", F.lit("Times").alias("font"), F.explode("other").alias("w")))
+    return ocr.glyph_counts(words.select("doc", "page", "font", F.explode(F.regexp_extract_all("w", F.lit("(?s)."), F.lit(0))).alias("ch")))
+
+
 @_query("""WITH t AS (SELECT doc_id, title FROM documents WHERE title IS NOT NULL), g AS (SELECT doc_id, unnest(range(1, length(title) + 1)) AS seq, title FROM t),
 c AS (SELECT doc_id, seq, substr(title, seq, 1) AS ch, seq * 6.0 + (CASE WHEN seq % 9 = 0 THEN 3.0 ELSE 0.0 END) AS l, seq * 6.0 + 6.0 AS r, CASE WHEN seq % 31 >= 20 THEN 20.0 ELSE 0.0 END AS b FROM g),
 x AS (SELECT *, regexp_matches(ch, '^[""" + _W + """]*$') AS blank, coalesce(lag(regexp_matches(ch, '^[""" + _W + """]*$')) OVER o OR abs(b - lag(b) OVER o) > 5 OR l - lag(r) OVER o > 2, true) AS starts FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY seq)),
@@ -340,7 +430,7 @@ def lexicon_si_pruned(spark, d):
     return _lexicon(spark, d, "si").prune(3).counts
 
 
-@_query(_word_sql("ta") + f" SELECT word || chr(9) || freq AS value FROM f WHERE freq >= 2 UNION ALL SELECT '{lexicon.MAGIC} lang=ta types=' || count(*) FILTER (WHERE freq >= 2) || ' tokens=' || CAST(coalesce(sum(freq), 0) AS BIGINT) FROM f")
+@_query(_word_sql("ta") + f" SELECT word || chr(9) || freq AS value FROM f WHERE freq >= 2 UNION ALL SELECT '#pagemill-lexicon 1 lang=ta types=' || count(*) FILTER (WHERE freq >= 2) || ' tokens=' || CAST(coalesce(sum(freq), 0) AS BIGINT) FROM f")
 def lexicon_file(spark, d):
     return _lexicon(spark, d, "ta").prune(2).lines()
 
@@ -374,13 +464,26 @@ def word_corrections(spark, d):
     return correct.corrections(words.where("freq < 40").select("word"), words.where("freq >= 40"), correct.sinhala_rules(spark)).select("word", "fixed", F.round("score", 6).alias("score"))
 
 
-@_query()
+_FIXES = """, k AS (SELECT v.word, v.form, lex.freq * v.weight AS score, row_number() OVER (PARTITION BY v.word ORDER BY lex.freq * v.weight DESC, v.form) AS rank,
+lead(lex.freq * v.weight) OVER (PARTITION BY v.word ORDER BY lex.freq * v.weight DESC, v.form) AS second FROM v JOIN lex ON lex.word = v.form),
+fixes AS (SELECT word, form AS fixed FROM k WHERE rank = 1 AND score >= 0.05 AND (second IS NULL OR score >= 3.0 * second))"""
+
+
+@_query(_VARIANTS.replace("u AS (SELECT word FROM l WHERE freq < 40 AND length(word) >= 3)", f"""nt AS (SELECT ocr_id, {_normal_sql('text')} AS text FROM e), tk AS (SELECT ocr_id, unnest(regexp_extract_all(text, '[{_W}]+|[^{_W}]+')) AS token, unnest(range(1, len(regexp_extract_all(text, '[{_W}]+|[^{_W}]+')) + 1)) AS pos FROM nt),
+cf AS (SELECT ocr_id, {_normal_sql('w.word')} AS token, min(w.conf) AS conf FROM (SELECT ocr_id, unnest(word_confidences) AS w FROM (SELECT DISTINCT ocr_id, word_confidences FROM ocr_pages)) WHERE w.conf IS NOT NULL GROUP BY 1, 2),
+pt AS (SELECT ocr_id, pos, unnest(regexp_extract_all(token, '[{_S}{_J}]+|[^{_S}{_J}]+')) AS part, unnest(range(1, len(regexp_extract_all(token, '[{_S}{_J}]+|[^{_S}{_J}]+')) + 1)) AS sub, conf FROM tk LEFT JOIN cf USING (ocr_id, token)),
+cw AS (SELECT *, regexp_extract(part, '^[{_J}]*') AS lead, CASE WHEN regexp_matches(part, '[^{_J}]') THEN regexp_extract(part, '[{_J}]*$') ELSE '' END AS trail, CASE WHEN regexp_matches(part, '[{_S}{_J}]') AND coalesce(conf < 97.0, true) THEN regexp_replace(part, '^[{_J}]+|[{_J}]+$', '', 'g') END AS word FROM pt),
+u AS (SELECT DISTINCT word FROM cw WHERE word <> '' AND length(word) >= 3 AND word NOT IN (SELECT word FROM lex))""") + _FIXES + """,
+ch AS (SELECT cw.*, fixed, CASE WHEN fixed IS NOT NULL THEN lead || fixed || trail ELSE part END AS new FROM cw LEFT JOIN fixes USING (word)),
+r AS (SELECT ocr_id, string_agg(new, '' ORDER BY pos, sub) AS text, count(fixed) AS n FROM ch GROUP BY ocr_id)
+SELECT nt.ocr_id, CASE WHEN n > 0 THEN 'corrected:' || n ELSE '' END AS flags, md5(coalesce(r.text, nt.text)) AS digest FROM nt LEFT JOIN r USING (ocr_id)""")
 def text_corrections(spark, d):
+    """Every recognised page finished: normalised, corrected where a word is not sure, with a flag that counts the changes."""
     words = _si_words(spark, d).where("freq >= 40")
-    t = _once(spark, d, "ocr_pages", "ocr_id", "text", "word_confidences")
-    conf = ocr.confidence_map(t.select(F.col("ocr_id").alias("id"), F.inline("word_confidences")).select("id", F.col("word").alias("token"), "conf"))
-    done = correct.correct_texts(t.select(F.col("ocr_id").alias("id"), "text"), conf, words, correct.sinhala_rules(spark), "si")
-    return done.select(F.col("id").alias("ocr_id"), "changed", F.md5("text").alias("digest"))
+    t = _once(spark, d, "ocr_pages", "ocr_id", "text", "word_confidences").withColumn("doc", F.lit("d"))
+    conf = t.select("doc", F.col("ocr_id").alias("page"), F.inline("word_confidences")).withColumnRenamed("word", "token")
+    done = correct.finish(t.select("doc", F.col("ocr_id").alias("page"), "text"), conf, words, correct.sinhala_rules(spark))
+    return done.select(F.col("page").alias("ocr_id"), F.array_join("flags", ",").alias("flags"), F.md5("text").alias("digest"))
 
 
 # --- fonts and conversion ------------------------------------------------------------------------------------------------------------
@@ -449,58 +552,84 @@ def _recognised(spark, d):
 
 @_query()
 def router_plan(spark, d):
-    p = router.plan(_pdf_pages(spark, d))
+    p = router.resolve_langs(router.plan(_pdf_pages(spark, d)))
     return p.select(F.col("page").alias("page_id"), "plan", "method", F.array_join("flags", ",").alias("flags"), F.array_join("ocr_langs", "+").alias("ocr_langs"))
 
 
 @_query()
 def router_pages(spark, d):
-    """Planned, verified against recognition, and assembled pages."""
+    """Planned, verified against recognition, and assembled pages; recognised text is normalised and corrected."""
     read = _recognised(spark, d)
-    p = router.assemble(router.verify(router.plan(_pdf_pages(spark, d)), read), read)
+    done = correct.finish(read, None, _si_words(spark, d).where("freq >= 40"), correct.sinhala_rules(spark))
+    p = router.assemble(router.verify(router.plan(_pdf_pages(spark, d)), read), done.join(read.select("doc", "page", "confidence"), ["doc", "page"]))
     return p.select(F.col("page").alias("page_id"), "label", F.array_join("flags", ",").alias("flags"), F.array_join("langs", ",").alias("langs"), F.length("markdown").alias("chars"))
 
 
 # --- evaluation and learning -----------------------------------------------------------------------------------------------------------
 
 
-@_query(_TITLES + f", q AS (SELECT levenshtein({_ASCII('title')}, {_ASCII('other')}) / CAST(greatest(length({_ASCII('title')}), 1) AS DOUBLE) AS cer, title AS text FROM p), c AS (SELECT cer, {_COUNTS} FROM q) SELECT {_DOMINANT} AS lang, count(*) AS pages, round(avg(cer), 6) AS cer FROM c GROUP BY 1")
+_BENCH = _TITLES.replace("SELECT d.doc_id, d.title, c.title AS other", f"SELECT d.doc_id, {_canonical_sql('c.title')} AS title, {_canonical_sql('d.title')} AS other") + _edits_sql("e", _CHARS) + _edits_sql("f", _WORDS) + f", c AS (SELECT doc_id, {_COUNTS.replace('text', 'title')} FROM p), b AS (SELECT c.doc_id, {_DOMINANT} AS lang, e.edits / CAST(e.n AS DOUBLE) AS cer, f.edits / CAST(f.n AS DOUBLE) AS wer FROM c JOIN e USING (doc_id) JOIN f USING (doc_id))"
+
+
+def _bench(spark, d):
+    """Titles of documents as files, the title of their collection as the ground truth that belongs to each."""
+    t = _titles(spark, d)
+    name = lambda end: F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(end))
+    files_ = t.select(name("_scan.png").alias("file"), F.col("title").alias("markdown"), F.lit("ocr").alias("methods"), F.length("title").cast("double").alias("seconds"))
+    return evaluate.bench_run(files_, t.select(name(".gt.txt").alias("file"), F.col("other").alias("text")))
+
+
+@_query(_BENCH + " SELECT 'in/' || doc_id || '_scan.png' AS file, lang, round(cer, 6) AS cer, round(wer, 6) AS wer FROM b")
+def bench_files(spark, d):
+    return _bench(spark, d).select("file", "lang", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"))
+
+
+@_query(_BENCH + " SELECT b.lang, count(*) AS pages, round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer, round(avg(CAST(length(t.title) AS DOUBLE)), 6) AS seconds FROM b JOIN documents t USING (doc_id) GROUP BY b.lang")
 def bench_by_language(spark, d):
-    plain = lambda c: F.regexp_replace(c, "[^\\x{1}-\\x{7f}]", "?")
-    t = _titles(spark, d).select(script.dominant(script.script_counts(F.col("title"))).alias("lang"), metrics.cer(plain("title"), plain("other")).alias("cer"), F.lit(0.0).alias("wer"), F.lit(0.0).alias("seconds"))
-    return evaluate.by_language(t).select("lang", "pages", F.round("cer", 6).alias("cer"))
+    return evaluate.by_language(_bench(spark, d)).select("lang", "pages", *[F.round(c, 6).alias(c) for c in ("cer", "wer", "seconds")])
 
 
-def _runs(spark, d, shift):
-    p = _pages(spark, d, F.coalesce(F.get("langs", 0), F.lit("xx")).alias("lang"), "seconds_spent").where("seconds_spent is not null")
-    name = F.concat_ws("_", "lang", F.when(F.col("page_id") % 3 == 0, "mn").when(F.col("page_id") % 3 == 1, "sangam_mn"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, "clean").otherwise("scan"))
-    value = (F.col("page_id") * 7 + shift) % 100 / 100.0
-    return p.where(F.col("page_id") % 11 != shift).select(F.concat(name, F.lit(".png")).alias("file"), value.alias("cer"), (value * 3).alias("wer"))
+@_query()
+def bench_table(spark, d):
+    """The results as lines of a fixed-width table."""
+    return evaluate.results_table(_bench(spark, d))
 
 
-_RUN = lambda n: f"SELECT coalesce(langs[1], 'xx') || CASE page_id % 3 WHEN 0 THEN '_mn' WHEN 1 THEN '_sangam_mn' ELSE '' END || '_' || page_id || CASE WHEN page_id % 2 = 0 THEN '_clean' ELSE '_scan' END AS stem, ((page_id * 7 + {n}) % 100) / 100.0 AS cer FROM (SELECT DISTINCT page_id, langs, seconds_spent FROM pages) WHERE seconds_spent IS NOT NULL AND page_id % 11 <> {n}"
+def _runs(spark, d, value):
+    p = _pages(spark, d, F.coalesce(F.get("langs", 0), F.lit("xx")).alias("lang"), F.col("method.kind").alias("kind"), "confidence", "seconds_spent").where("confidence is not null and seconds_spent is not null")
+    name = F.concat_ws("_", "lang", F.when(F.length("lang") == 2, F.translate("kind", "_", "-")), F.col("page_id").cast("string"), F.when(F.col("confidence") >= 85, "clean").otherwise("scan"))
+    return p.select("kind", F.concat(name, F.lit(".png")).alias("file"), value.cast("double").alias("cer"), (value.cast("double") * 3).alias("wer"))
 
 
-@_query(f"""WITH b AS ({_RUN(1)}), a AS ({_RUN(2)}), j AS (SELECT stem, b.cer AS c0, a.cer AS c1, string_split(stem, '_') AS p FROM b JOIN a USING (stem)),
+_BEFORE, _AFTER = "100 - CAST(confidence AS DOUBLE)", "CAST(seconds_spent AS DOUBLE)"
+_RUN = lambda v: f"SELECT kind, coalesce(langs[1], 'xx') || '_' || replace(kind, '_', '-') || '_' || page_id || CASE WHEN confidence >= 85 THEN '_clean' ELSE '_scan' END AS stem, {v} AS cer FROM (SELECT DISTINCT page_id, langs, method.kind AS kind, confidence, seconds_spent FROM pages) WHERE confidence IS NOT NULL AND seconds_spent IS NOT NULL"
+
+
+@_query(f"""WITH b AS ({_RUN(_BEFORE)}), a AS ({_RUN(_AFTER)}), j AS (SELECT stem, b.cer AS c0, a.cer AS c1, string_split(stem, '_') AS p FROM b JOIN a USING (stem)),
 k AS (SELECT *, CASE WHEN len(p) >= 4 THEN array_to_string(p[2:len(p) - 2], '_') ELSE 'all' END AS font, p[len(p)] AS variant FROM j),
 g AS (SELECT font, variant, c0, c1 FROM k UNION ALL SELECT 'all', variant, c0, c1 FROM k UNION ALL SELECT 'all', 'all', c0, c1 FROM k)
-SELECT font, variant, count(*) AS pages, round(100 * avg(c0), 4) AS cer0, round(100 * avg(c1), 4) AS cer1, round(300 * avg(c0), 4) AS wer0, round(300 * avg(c1), 4) AS wer1 FROM g GROUP BY font, variant""")
+SELECT font, variant, count(*) AS pages, round(100 * avg(c0), 3) AS cer0, round(100 * avg(c1), 3) AS cer1, round(300 * avg(c0), 3) AS wer0, round(300 * avg(c1), 3) AS wer1 FROM g GROUP BY font, variant""")
 def compare_runs(spark, d):
-    r = evaluate.compare(_runs(spark, d, 1), _runs(spark, d, 2))
-    return r.select("font", "variant", "pages", *[F.round(c, 4).alias(c) for c in ("cer0", "cer1", "wer0", "wer1")])
+    """Two measures of all pages that have both, as two runs: what confidence lacks, and the time a page took."""
+    r = evaluate.compare(*[_runs(spark, d, v).drop("kind") for v in (100 - F.col("confidence").cast("double"), F.col("seconds_spent"))])
+    return r.select("font", "variant", "pages", *[F.round(c, 3).alias(c) for c in ("cer0", "cer1", "wer0", "wer1")])
 
 
-@_query(f"WITH b AS ({_RUN(1)}), a AS ({_RUN(2)}) SELECT count(b.stem) AS before, count(a.stem) AS after, count(*) FILTER (WHERE a.stem IS NOT NULL AND b.stem IS NOT NULL) AS common FROM b FULL JOIN a ON a.stem = b.stem")
+@_query(f"WITH b AS (SELECT * FROM ({_RUN(_BEFORE)}) WHERE kind <> 'ocr'), a AS (SELECT * FROM ({_RUN(_AFTER)}) WHERE kind <> 'office') SELECT count(b.stem) AS before, count(a.stem) AS after, count(*) FILTER (WHERE a.stem IS NOT NULL AND b.stem IS NOT NULL) AS common FROM b FULL JOIN a ON a.stem = b.stem")
 def compare_unmatched(spark, d):
-    return evaluate.unmatched(_runs(spark, d, 1), _runs(spark, d, 2))
+    """Files of two runs of which each lacks the pages of one method."""
+    run = lambda v, lacks: _runs(spark, d, v).where(F.col("kind") != lacks)
+    return evaluate.unmatched(run(100 - F.col("confidence"), "ocr"), run(F.col("seconds_spent"), "office"))
 
 
 _BUCKET = "CAST(('0x' || left(sha1(doc), 8)) AS BIGINT) % 100"
 
 
-@_query(f"WITH e AS (SELECT DISTINCT doc FROM extractions) SELECT doc, {_BUCKET} AS bucket, CASE WHEN {_BUCKET} < 80 THEN 'train' WHEN {_BUCKET} < 90 THEN 'learn' ELSE 'heldout' END AS part FROM e")
+@_query(f"WITH e AS (SELECT DISTINCT doc FROM extractions) SELECT doc, {_BUCKET} AS bucket, CASE WHEN {_BUCKET} < 80 THEN 'train' WHEN {_BUCKET} < 90 THEN 'learn' ELSE 'heldout' END AS part, row_number() OVER (PARTITION BY CASE WHEN {_BUCKET} < 80 THEN 0 WHEN {_BUCKET} < 90 THEN 1 ELSE 2 END ORDER BY sha1('7:' || doc)) AS place FROM e")
 def split_parts(spark, d):
-    return _read(spark, d, "extractions").select("doc").distinct().select("doc", evaluate.bucket(F.col("doc")).alias("bucket"), evaluate.split_of(F.col("doc")).alias("part"))
+    """Documents by set, shuffled within each."""
+    docs = _read(spark, d, "extractions").select("doc").distinct().select("doc", evaluate.bucket(F.col("doc")).alias("bucket"), evaluate.split_of(F.col("doc")).alias("part"))
+    return evaluate.shuffled(docs, "doc").withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("place")).cast("bigint"))
 
 
 @_query("WITH e AS (SELECT DISTINCT doc FROM extractions) SELECT doc FROM e ORDER BY sha1(doc), doc LIMIT 200")
@@ -557,27 +686,69 @@ def boxes_mutual_best(spark, d):
 
 
 def _noisy(spark, d):
-    """Word pairs with a known truth: Sinhala list words, some with a letter changed by a rule of the confusion table."""
+    """Word pairs with a known truth: words of recognised pages, two letters of some of them read as others."""
     w = _si_words(spark, d).where("length(word) >= 3").select("word", "freq")
-    noisy = F.when(F.pmod(F.xxhash64("word"), F.lit(3)) == 0, F.translate("word", "වතන", "චනත")).otherwise(F.col("word"))
-    return w.select(noisy.alias("word"), F.col("word").alias("truth"), F.pmod(F.xxhash64("word"), F.lit(100)).cast("double").alias("conf"), "freq")
+    noisy = F.when(F.length("word") % 3 == 0, F.translate("word", "වත", "චන")).otherwise(F.col("word"))
+    return w.select(noisy.alias("word"), F.col("word").alias("truth"), (F.length("word") * 17 % 100).cast("double").alias("conf"), F.when(F.length("word") > 6, "long").otherwise("short").alias("grp"), "freq")
 
 
-@_query()
+_NOISY = f"""WITH e AS (SELECT DISTINCT ocr_id, text FROM ocr_pages), x AS (SELECT unnest(regexp_extract_all(text, '[{_S}{_J}]+')) AS w FROM e), y AS (SELECT regexp_replace(w, '^[{_J}]+|[{_J}]+$', '', 'g') AS word FROM x), l AS (SELECT word, count(*) AS freq FROM y WHERE word <> '' GROUP BY word),
+pr AS (SELECT CASE WHEN length(word) % 3 = 0 THEN translate(word, 'වත', 'චන') ELSE word END AS word, word AS truth, CAST(length(word) * 17 % 100 AS DOUBLE) AS conf, CASE WHEN length(word) > 6 THEN 'long' ELSE 'short' END AS grp, freq FROM l WHERE length(word) >= 3)"""
+# Runs of unequal characters in the same places; no other alignment is nearer, as letters are only ever exchanged one way.
+_LEARNED = """, dp AS (SELECT word, truth, i, substr(word, i, 1) AS a, substr(truth, i, 1) AS b FROM (SELECT word, truth, unnest(range(1, length(word) + 1)) AS i FROM pr WHERE word <> truth)), dd AS (SELECT *, i - row_number() OVER (PARTITION BY word, truth ORDER BY i) AS run FROM dp WHERE a <> b),
+rr AS (SELECT string_agg(a, '' ORDER BY i) AS src, string_agg(b, '' ORDER BY i) AS dst FROM dd GROUP BY word, truth, run), rn AS (SELECT src, dst, count(*) AS n FROM rr WHERE length(src) <= 2 GROUP BY src, dst),
+ro AS (SELECT src, CAST(sum((length(word) - length(replace(word, src, ''))) // length(src)) AS BIGINT) AS occurrences FROM pr JOIN (SELECT DISTINCT src FROM rn) ON contains(word, src) GROUP BY src),
+lr AS (SELECT src, dst, n, occurrences, n / CAST(greatest(occurrences, 1) AS DOUBLE) AS probability FROM rn JOIN ro USING (src) WHERE n >= 2)"""
+
+
+@_query(_NOISY + _LEARNED + " SELECT src, dst, n, occurrences, round(probability, 9) AS probability FROM lr")
 def learned_rules(spark, d):
-    return learn.learn_rules(_noisy(spark, d))
+    return learn.learn_rules(_noisy(spark, d)).select("src", "dst", "n", "occurrences", F.round("probability", 9).alias("probability"))
 
 
-@_query()
+@_query(_NOISY + " SELECT grp, count(*) AS words, count(*) FILTER (WHERE word <> truth) AS wrong FROM pr GROUP BY grp")
+def word_accuracy(spark, d):
+    return learn.accuracy(_noisy(spark, d), ["grp"])
+
+
+@_query(_NOISY + " SELECT word AS legacy, truth AS read, count(*) AS n FROM pr WHERE contains(word, 'ච') AND conf >= 50 GROUP BY 1, 2 ORDER BY n DESC, legacy, read LIMIT 40")
+def pairs_with_code(spark, d):
+    return learn.pairs_with(_noisy(spark, d).select(F.col("word").alias("legacy"), F.col("truth").alias("read"), "conf"), "ච", 40, 50.0)
+
+
+# One ASCII character for each Sinhala letter, as the SQL function compares bytes.
+_LETTERS = "".join(chr(c) for a, z in ((0xD81, 0xD83), (0xD85, 0xD96), (0xD9A, 0xDB1), (0xDB3, 0xDBB), (0xDBD, 0xDBD), (0xDC0, 0xDC6), (0xDCA, 0xDCA), (0xDCF, 0xDD4), (0xDD6, 0xDD6), (0xDD8, 0xDDF), (0xDE6, 0xDEF), (0xDF2, 0xDF4), (0x200C, 0x200D)) for c in range(a, z + 1))
+_ASCII = "".join(chr(33 + k) for k in range(len(_LETTERS))).replace("'", "''")
+_DISTANCE = lambda a, b: f"levenshtein(translate({a}, '{_LETTERS}', '{_ASCII}'), translate({b}, '{_LETTERS}', '{_ASCII}'))"
+_SET_STEP = "SELECT {a}.rule_set, {a}.word, left({a}.form, i - 1) || dst || substr({a}.form, i + length(src)) AS form, {a}.score * weight AS score FROM {a} JOIN rules ON rules.rule_set = {a}.rule_set AND contains({a}.form, src) CROSS JOIN LATERAL unnest(range(1, length({a}.form) - length(src) + 2)) AS t(i) WHERE substr({a}.form, i, length(src)) = src"
+_GRID = f"""{_NOISY}{_LEARNED}, st AS (SELECT * FROM (VALUES ('4,0', 4, 0.0), ('4,0.01', 4, 0.01), ('4,0.05', 4, 0.05), ('10,0', 10, 0.0), ('10,0.01', 10, 0.01), ('10,0.05', 10, 0.05)) AS t(rule_set, least, share)),
+rules AS (SELECT rule_set, src, dst, CAST(CAST(greatest(probability, 0.001) AS FLOAT) AS DOUBLE) AS weight FROM lr JOIN st ON n >= least AND probability >= share WHERE length(src) <= 2 AND length(dst) <= 3),
+lex AS (SELECT truth AS word, freq FROM pr WHERE freq >= 10), u AS (SELECT DISTINCT rule_set, word FROM pr CROSS JOIN (SELECT DISTINCT rule_set FROM rules) WHERE length(word) >= 3 AND word NOT IN (SELECT word FROM lex)),
+s0 AS (SELECT rule_set, word, word AS form, CAST(1.0 AS DOUBLE) AS score FROM u),
+r1 AS ({_SET_STEP.format(a="s0")}), s1 AS (SELECT rule_set, word, form, max(score) AS score FROM r1 WHERE form <> word GROUP BY ALL),
+r2 AS ({_SET_STEP.format(a="s1")}), s2 AS (SELECT rule_set, word, form, max(score) AS score FROM r2 WHERE form <> word GROUP BY ALL),
+v AS (SELECT rule_set, word, form, max(score) AS weight FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY ALL),
+k AS (SELECT v.rule_set, v.word, v.form AS fixed, lex.freq, lex.freq * v.weight AS score, row_number() OVER w AS rank, lead(lex.freq * v.weight) OVER w AS second FROM v JOIN lex ON lex.word = v.form WINDOW w AS (PARTITION BY v.rule_set, v.word ORDER BY lex.freq * v.weight DESC, v.form)),
+cg AS (SELECT gate, min_score, margin, min_freq FROM (SELECT unnest([NULL, 93.0, 95.0, 97.0]) AS gate), (SELECT unnest([0.0, 0.02, 0.05, 0.1, 0.2, 1.0]) AS min_score), (SELECT unnest([2.0, 3.0, 5.0]) AS margin), (SELECT unnest([1, 2]) AS min_freq)),
+tr AS (SELECT k.rule_set, CAST(cg.gate AS DOUBLE) AS gate, CAST(cg.min_score AS DOUBLE) AS min_score, CAST(cg.margin AS DOUBLE) AS margin, cg.min_freq, pr.grp, pr.word, pr.truth, k.fixed, {_DISTANCE("k.fixed", "pr.truth")} - {_DISTANCE("pr.word", "pr.truth")} AS change,
+ (cg.gate IS NULL OR pr.conf IS NULL OR pr.conf < cg.gate) AND k.freq >= cg.min_freq AND k.score >= cg.min_score AND (k.second IS NULL OR k.score >= cg.margin * k.second) AS ok FROM pr JOIN k ON k.word = pr.word AND k.rank = 1 CROSS JOIN cg),
+gs AS (SELECT rule_set, gate, min_score, margin, min_freq, grp, count(*) FILTER (WHERE ok AND fixed = truth) AS fixed, count(*) FILTER (WHERE ok AND fixed <> truth AND word = truth) AS harmed, count(*) FILTER (WHERE ok AND fixed <> truth AND word <> truth) AS still, CAST(coalesce(sum(change) FILTER (WHERE ok), 0) AS BIGINT) AS edits FROM tr GROUP BY ALL)"""
+
+
+@_query(_GRID + " SELECT rule_set, gate, min_score, margin, min_freq, grp, fixed, harmed, still, edits FROM gs")
 def grid_search(spark, d):
+    """Every configuration with every set of learned rules, by group of words."""
     p = _noisy(spark, d)
     lex = p.where("freq >= 10").select(F.col("truth").alias("word"), "freq")
-    return learn.simulate(p, lex, correct.sinhala_rules(spark), learn.grid(spark))
+    rules = learn.rule_sets(learn.learn_rules(p)).checkpoint()  # a table of a few rows, read in every round of the expansion
+    return learn.simulate(p, lex, rules, learn.grid(spark), by=["grp"])
 
 
-@_query()
+@_query(_GRID + """, gt AS (SELECT rule_set, gate, min_score, margin, min_freq, CAST(sum(fixed) AS BIGINT) AS fixed, CAST(sum(harmed) AS BIGINT) AS harmed, CAST(sum(still) AS BIGINT) AS still, CAST(sum(edits) AS BIGINT) AS edits FROM gs GROUP BY ALL),
+gr AS (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY edits, harmed, rule_set, min_score, margin, min_freq) AS r FROM gt) SELECT rule_set, gate, min_score, margin, min_freq, fixed, harmed, still, edits FROM gr WHERE r = 1""")
 def grid_best(spark, d):
-    return learn.best_by_gate(grid_search(spark, d))
+    sums = [F.sum(c).alias(c) for c in ("fixed", "harmed", "still", "edits")]
+    return learn.best_by_gate(grid_search(spark, d).groupBy("rule_set", "gate", "min_score", "margin", "min_freq").agg(*sums))
 
 
 @_query()
