@@ -1,7 +1,9 @@
 """HTML to Markdown.
 
-A small tree builder over the standard tokenizer: void elements, implied end tags, raw text, and open formatting elements
-that are opened again in the next block (as browsers do). The Markdown is then written by one walk over the tree.
+A tree builder over the standard tokenizer, by the published rules for bodies of pages: void elements, implied end tags, raw
+text, formatting elements that are opened again in the next block, misnested formatting mended by adoption, and content of
+tables outside of their cells put before the table. Not built: templates, frames, foreign elements, select and the page's
+head beyond its title. The Markdown is then written by one walk over the tree.
 Null gives null; text outside any element is kept.
 """
 
@@ -22,15 +24,32 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 FORMATTING = set("a b big code em font i nobr s small strike strong tt u".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dt dd".split())
 SCOPES = set("table td th caption html template button object".split())
+TABLE_PARTS = set("table thead tbody tfoot tr".split())
+#: Elements that lead the stack back to a place in the table, and the places it goes back to.
+BACK_TO = {"caption": {"table"}, "colgroup": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
+MARKERS = set("td th caption object button".split())
 _SKIPPED, _BLOCKS = set(HTML_SKIPPED), set(HTML_BLOCKS)
 _STRUCTURE = _BLOCKS | set("table ul ol h1 h2 h3 h4 h5 h6 pre".split())
+_SPECIAL = _STRUCTURE | CLOSES_P | TABLE_PARTS | VOID | SCOPES | set("body head style script title iframe select textarea noscript".split())
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children")
+    __slots__ = ("name", "attrs", "children", "parent")
 
     def __init__(self, name: str, attrs: dict[str, str | None] | None = None):
-        self.name, self.attrs, self.children = name, attrs or {}, []
+        self.name, self.attrs, self.children, self.parent = name, attrs or {}, [], None
+
+    def put(self, child: Node | str, before: Node | None = None) -> None:
+        """Make ``child`` a child of this node, out of where it was; at the end or before another child."""
+        if isinstance(child, Node):
+            if child.parent is not None:
+                child.parent.children = [x for x in child.parent.children if x is not child]
+            child.parent = self
+        at = next((k for k, x in enumerate(self.children) if x is before), len(self.children)) if before is not None else len(self.children)
+        self.children.insert(at, child)
+
+    def copy(self) -> Node:
+        return Node(self.name, self.attrs)
 
 
 class Tree(HTMLParser):
@@ -38,54 +57,138 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
-        self.formatting: list[Node] = []  # started and not ended, in order
+        #: Formatting elements started and not ended, in order; None where a cell or the like began.
+        self.formatting: list[Node | None] = []
         self.title: str | None = None
 
+    def _in_scope(self, names: set[str], stop: set[str]) -> Node | None:
+        for n in reversed(self.open[1:]):
+            if n.name in names:
+                return n
+            if n.name in stop:
+                return None
+        return None
+
     def _pop(self, name: str, stop: set[str]) -> bool:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name == name:
-                del self.open[i:]
-                return True
-            if self.open[i].name in stop:
-                return False
-        return False
+        found = self._in_scope({name}, stop)
+        if found is None:
+            return False
+        del self.open[self.open.index(found) :]
+        if name in MARKERS:
+            while self.formatting and self.formatting.pop() is not None:
+                pass
+        return True
+
+    def _insert(self, child: Node | str, at: Node | None = None) -> None:
+        """Below the open element, or before its table if that can hold nothing but rows and cells."""
+        here = at or self.open[-1]
+        loose = isinstance(child, Node) and child.name not in TABLE_PARTS and child.name not in BACK_TO and child.name not in ("col", "script", "style") or isinstance(child, str) and bool(child.strip())
+        if here.name in TABLE_PARTS and loose:
+            table = next((n for n in reversed(self.open) if n.name == "table"), None)
+            if table is not None and table.parent is not None:
+                table.parent.put(child, before=table)
+                return
+        here.put(child)
 
     def _reopen(self) -> None:
-        for k, f in enumerate(self.formatting):
-            if f not in self.open:
-                copy = Node(f.name, f.attrs)
-                self.formatting[k] = copy
-                self.open[-1].children.append(copy)
-                self.open.append(copy)
+        """Open again what was formatting before the last block ended, from the first that isn't open."""
+        start = len(self.formatting)
+        while start and (f := self.formatting[start - 1]) is not None and f not in self.open:
+            start -= 1
+        for k in range(start, len(self.formatting)):
+            copy = self.formatting[k].copy()
+            self._insert(copy)
+            self.open.append(copy)
+            self.formatting[k] = copy
+
+    def _adopt(self, name: str) -> None:
+        """The end of a formatting element: blocks that began within it keep its format and move out of it."""
+        for _ in range(8):
+            since = next((k for k in range(len(self.formatting) - 1, -1, -1) if self.formatting[k] is None), -1)
+            own = next((f for f in reversed(self.formatting[since + 1 :]) if f.name == name), None)
+            if own is None:
+                self._end_other(name)
+                return
+            if own not in self.open:
+                self.formatting = [f for f in self.formatting if f is not own]
+                return
+            at = self.open.index(own)
+            if any(n.name in SCOPES for n in self.open[at + 1 :]):
+                return
+            block = next((n for n in self.open[at + 1 :] if n.name in _SPECIAL), None)
+            if block is None:
+                del self.open[at:]
+                self.formatting = [f for f in self.formatting if f is not own]
+                return
+            above, mark = self.open[at - 1], self.formatting.index(own)
+            last, k = block, self.open.index(block)
+            for count, n in enumerate(reversed(self.open[at + 1 : k])):  # what lies between, from the block upwards
+                if n not in self.formatting or count > 2:
+                    self.formatting = [f for f in self.formatting if f is not n]
+                    mark = min(mark, len(self.formatting))
+                    self.open.remove(n)
+                    continue
+                copy = n.copy()
+                place = self.formatting.index(n)
+                self.formatting[place] = self.open[self.open.index(n)] = copy
+                if last is block:
+                    mark = place + 1
+                copy.put(last)
+                last = copy
+            self._insert(last, above)
+            copy = own.copy()
+            for child in list(block.children):
+                copy.put(child)
+            block.children = []
+            block.put(copy)
+            before = self.formatting.index(own)
+            self.formatting.insert(mark, copy)
+            del self.formatting[before if before < mark else before + 1]
+            self.open.remove(own)
+            self.open.insert(self.open.index(block) + 1, copy)
+
+    def _end_other(self, name: str) -> None:
+        for n in reversed(self.open[1:]):
+            if n.name == name:
+                del self.open[self.open.index(n) :]
+                return
+            if n.name in _SPECIAL:
+                return
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in ("html", "body"):
             return
+        if tag in BACK_TO and (table := self._in_scope({"table"}, SCOPES - {"table", "td", "th", "caption"})) is not None:
+            # Cells and rows end what is open in the table; nothing loose stays open between them.
+            low = self.open.index(table)
+            while len(self.open) - 1 > low and self.open[-1].name not in BACK_TO[tag]:
+                if self.open.pop().name in MARKERS:
+                    while self.formatting and self.formatting.pop() is not None:
+                        pass
         if tag in CLOSES_P:
             self._pop("p", SCOPES)
         if tag == "li":
             self._pop("li", SCOPES | {"ul", "ol"})
         elif tag in ("dt", "dd"):
             self._pop("dt", SCOPES | {"dl"}) or self._pop("dd", SCOPES | {"dl"})
-        elif tag in ("td", "th"):
-            self._pop("td", {"tr", "table"}) or self._pop("th", {"tr", "table"})
-        elif tag == "tr":
-            self._pop("tr", {"table"})
-        elif tag in ("thead", "tbody", "tfoot"):
-            for x in ("thead", "tbody", "tfoot"):
-                self._pop(x, {"table"})
         elif tag == "option":
             self._pop("option", {"select"})
-        if tag in FORMATTING and tag == "a":
-            self.formatting = [f for f in self.formatting if f.name != "a"]
-        if tag not in CLOSES_P and tag not in ("tr", "td", "th", "thead", "tbody", "tfoot", "head", "title", "script", "style"):
+        if tag == "a" and any(f is not None and f.name == "a" for f in self.formatting):
+            self._adopt("a")
+            self.formatting = [f for f in self.formatting if f is None or f.name != "a"]
+        if tag not in CLOSES_P and tag not in BACK_TO and tag not in ("table", "head", "title", "script", "style"):
             self._reopen()
         node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
+        self._insert(node)
         if tag in VOID:
             return
         self.open.append(node)
+        if tag in MARKERS:
+            self.formatting.append(None)
         if tag in FORMATTING:
+            alike = [f for f in self.formatting if f is not None and (f.name, f.attrs) == (tag, node.attrs)]
+            if len(alike) > 2:  # of more than three equal ones the first is forgotten
+                self.formatting = [f for f in self.formatting if f is not alike[0]]
             self.formatting.append(node)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -93,22 +196,25 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in FORMATTING:
-            for k in range(len(self.formatting) - 1, -1, -1):
-                if self.formatting[k].name == tag:
-                    del self.formatting[k]
-                    break
-        if tag == "br":
+            self._adopt(tag)
+        elif tag == "br":
             self.handle_starttag("br", [])
+        elif tag == "p" and self._in_scope({"p"}, SCOPES) is None:
+            self._insert(Node("p"))
+        elif tag in ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"):
+            self._pop(tag, {"table"} - {tag})
+        elif tag in _SPECIAL and tag not in VOID:
+            self._pop(tag, SCOPES - {tag})
         elif tag not in ("html", "body") and tag not in VOID:
-            self._pop(tag, SCOPES - {tag} if tag not in ("table", "td", "th", "tr") else {"table"} - {tag})
+            self._end_other(tag)
 
     def handle_data(self, data: str) -> None:
         here = self.open[-1].name
         if here == "title" and self.title is None:
             self.title = data
-        if data.strip() and here not in ("script", "style", "title", "head", "table", "tr"):
+        if data.strip() and here not in ("script", "style", "title", "head"):
             self._reopen()
-        self.open[-1].children.append(data)
+        self._insert(data)
 
 
 def _collapse(s: str) -> str:

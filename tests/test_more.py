@@ -3,6 +3,7 @@
 import io
 import math
 import random
+import re
 import statistics
 import zipfile
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill import session
-from pagemill.functions import health, metrics, render, script
+from pagemill.functions import health, html, metrics, render, script
 from pagemill.operators import correct, documents, evaluate, lexicon, ocr, router
 from pagemill.sources import files, office
 
@@ -189,8 +190,6 @@ def test_error_rates_of_long_texts(spark):
 
 def test_health_of_words_against_expressions():
     """Sums over looked-up words equal counting the whole text at once, for tags, marks, odd spaces and long words."""
-    import re
-
     rng = random.Random(3)
     parts = ["the", "Of", "*a*nd", "x%y", "ñandu", "ගම්ම", "ෙක", "க்", "ගaé", "<b class='x y'>", "</b>", "#", "12", " ", " ", "\x1cz", "a" * 90, "‍", "<unclosed of the"]
     table = health._Table()
@@ -241,3 +240,35 @@ def test_router_converts_once(spark):
     read = spark.createDataFrame([], "doc string, page int, text string, confidence double")
     plan = router.verify(router.plan(pages), read)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") <= 2
+
+
+def drawn(page):
+    """The tree of a page, written out again."""
+    tree = html.Tree()
+    tree.feed(page)
+    tree.close()
+    write = lambda n: n if isinstance(n, str) else f"<{n.name}>" + "".join(map(write, n.children)) + f"</{n.name}>"
+    return "".join(map(write, tree.root.children))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a<b>c<i>d</b>e</i>f</p>", "<p>a<b>c<i>d</i></b><i>e</i>f</p>"), ("<b>a<p>c</b>d</p>", "<b>a</b><p><b>c</b>d</p>"), ("<a>x<div>y<div>z</a>u</div>v</div>", "<a>x</a><div><a>y</a><div><a>z</a>u</div>v</div>"),
+        ("<table><b><tr><td>x</td></tr>y</table>z", "<b></b><b>y</b><table><tr><td>x</td></tr></table><b>z</b>"), ("<table>x<td>y</td>z</table>", "xz<table><td>y</td></table>"), ("<div><b>x</div>y", "<div><b>x</b></div><b>y</b>"),
+        ("<b><em><u1><u2><u3><aside></b></em>", "<b><em><u1><u2><u3></u3></u2></u1></em></b><aside><b></b></aside>"), ("<b>x<table><tr><td>y</table>z", "<b>x<table><tr><td>y</td></tr></table>z</b>"), ("</p>x</b>", "<p></p>x"), ("<a href=1>x<a href=2>y", "<a>x</a><a>y</a>"),
+    ],
+)
+def test_misnested_pages(page, want):
+    assert drawn(page) == want
+
+
+def test_pages_of_random_tags():
+    """No order of tags loses a word or fails."""
+    rng = random.Random(21)
+    names = "p b i a div table tr td th li ul h2 span blockquote br font em tbody caption button".split()
+    for _ in range(400):
+        words = [f"w{k}" for k in range(rng.randint(1, 12))]
+        page = "".join(w + " " + "".join(rng.choice(["<%s>", "</%s>", "<%s>"]) % rng.choice(names) for _ in range(rng.randint(0, 4))) for w in words)
+        assert sorted(re.findall(r"w\d+", drawn(page))) == sorted(words)
+        html.html_to_markdown(page)
