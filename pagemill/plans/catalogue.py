@@ -15,7 +15,7 @@ from ..functions import fonts, health, html, legacy, metrics, normalize, render,
 from ..functions.tables import FONT_FAMILIES, LATIN_FONTS, SINHALA_CONFUSIONS
 from ..operators import correct, documents, evaluate, learn, lexicon, ocr, router
 from ..session import checkpoint_dir, ship
-from ..sources import files
+from ..sources import deliveries, files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -38,11 +38,13 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str, *columns) -> DataFrame:
-    return _read(spark, d, "pages").select("page_id", *columns).dropDuplicates(["page_id"])
+    return _once(spark, d, "pages", "page_id", *columns)
 
 
 def _once(spark: SparkSession, d: str, table: str, key: str, *columns) -> DataFrame:
-    return _read(spark, d, table).select(key, *columns).dropDuplicates([key])
+    """Each record once; only those that may be repeated are shuffled if they carry texts."""
+    rows = _read(spark, d, table).select(key, *columns)
+    return deliveries.once(rows, key) if {"text", "markdown"} & set(rows.columns) else rows.dropDuplicates([key])
 
 
 # --- SQL fragments ------------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagemill import session
 from pagemill.functions import health, html, metrics, render, script
 from pagemill.operators import correct, documents, evaluate, lexicon, ocr, router
-from pagemill.sources import files, office
+from pagemill.sources import deliveries, files, office
 
 
 def archive(**members):
@@ -272,3 +272,14 @@ def test_pages_of_random_tags():
         page = "".join(w + " " + "".join(rng.choice(["<%s>", "</%s>", "<%s>"]) % rng.choice(names) for _ in range(rng.randint(0, 4))) for w in words)
         assert sorted(re.findall(r"w\d+", drawn(page))) == sorted(words)
         html.html_to_markdown(page)
+
+
+def test_repeated_deliveries_count_once(spark):
+    rng = random.Random(14)
+    rows = [(rng.choice([None, *range(4000)]), "t") for _ in range(3000)]
+    df = spark.createDataFrame([(k, f"text of {k}") for k, _ in rows], "id bigint, text string").repartition(4)
+    got = deliveries.once(df, "id")
+    assert sorted((r.id is not None, r.id or 0, r.text) for r in got.collect()) == sorted((k is not None, k or 0, f"text of {k}") for k in {k for k, _ in rows})
+    assert deliveries.once(df.limit(0), "id").count() == 0 and deliveries.once(df.where("id = 7").limit(1), "id").count() <= 1
+    two = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", 2, "x"), (None, 1, "x"), (None, 1, "x")], "k string, i int, text string")
+    assert deliveries.once(two, "k", "i").count() == 3
