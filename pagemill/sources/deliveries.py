@@ -37,7 +37,8 @@ def once(df: DataFrame, *key: str) -> DataFrame:
     place = F.shiftrightunsigned(F.xxhash64(*key), 64 - BITS)
     again = df.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(place.alias("_place"))
     schema = "_part bigint, _bits binary"
-    known = again.mapInArrow(_fill, schema).groupBy("_part").applyInArrow(_unite, schema)
+    empty = df.sparkSession.range(1 << (BITS - PART)).select(F.col("id").alias("_part"), F.lit(bytes(1 << (PART - 3))).alias("_bits"))  # the filter is as large for few records as for many
+    known = again.mapInArrow(_fill, schema).unionByName(empty).groupBy("_part").applyInArrow(_unite, schema)
     byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_place & {(1 << PART) - 1}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     bit = F.expr("cast(7 - _place % 8 as int)")
     placed = df.withColumn("_place", place).join(F.broadcast(known.withColumnRenamed("_part", "_own")), F.shiftright("_place", PART) == F.col("_own"), "left")
