@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.deliveries import once
 from . import encoding, languages, leaks, lookalike, scans, sentences, split, terms, tokens
 from .common import scan
 
@@ -20,7 +21,7 @@ def _visible(spark: SparkSession, d: str) -> DataFrame:
 def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
     """Every page and list word in its consistent form."""
     texts = _visible(spark, d)
-    return lookalike.canonical(texts, lookalike.learn(texts)).select("record_kind", "id", "text").distinct()
+    return lookalike.canonical(once(texts, "record_kind", "id"), lookalike.learn(texts)).select("record_kind", "id", "text")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +59,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units of every page, with their order, kind and stored text."""
     pages = scan(spark, d, "pages", F.col("page_id").alias("record_id"), F.col("markdown").alias("text"))
-    return sentences.sentences(pages, sentences.learn(pages)).withColumnRenamed("record_id", "page_id").distinct()
+    return sentences.sentences(once(pages, "record_id"), sentences.learn(pages)).withColumnRenamed("record_id", "page_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.deliveries import once
 from .common import batch, map_batches
 
 # Usual misreadings of scanned letters, as read and as printed, by script.
@@ -284,7 +285,7 @@ class Findings:
     def __init__(self, spark: SparkSession, pages: DataFrame, labelled: DataFrame | None = None):
         self.spark = spark
         confs = F.col("confs") if "confs" in pages.columns else F.lit(None).cast("array<float>")
-        self.pages = pages.where("length(trim(text)) > 0").select(F.col("ocr_id").cast("bigint"), "doc", "text", confs.alias("confs")).dropDuplicates(["ocr_id"])
+        self.pages = once(pages.where("length(trim(text)) > 0").select(F.col("ocr_id").cast("bigint"), "doc", "text", confs.alias("confs")), "ocr_id")
         words = STOP_WORDS if labelled is None else telling_words(labelled)
         self.stops = _telling(words)
         self.counted = counts(self.pages, self.stops).checkpoint()
